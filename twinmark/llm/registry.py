@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_scan, tokens
+from . import near_dedup, packing, quality_rules, token_scan, tokens
 from .common import table
 
 
@@ -36,9 +36,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), pattern(), keep_ids=False)
 
 
+def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_documents(table(spark, sf_dir, "documents"), words=4)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_separator_token_counts, op3_best_fit_packing, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_separator_token_counts, op2_setsketch_near_dedup, op3_best_fit_packing, op4_byte_bpe, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_setsketch_near_dedup": near_dedup.ORACLE_SQL,
+        "op5_quality_rules": quality_rules.ORACLE_SQL,
+    }

@@ -82,7 +82,6 @@ def read_flat(spark: SparkSession, path: str, *, dtype: str = "<u2", block_ids:
                 for no, start in enumerate(range(0, len(data), size)):
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([no], pa.int64()), pa.array([data[start : start + size].to_pybytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file_id", "block_no", "payload", "doc_ids"])
 
-    small_batches(spark, 1)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCK_SCHEMA)
 
 
