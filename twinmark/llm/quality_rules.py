@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, texts
 
@@ -168,9 +169,7 @@ def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
             columns = list(zip(*(measure(text.as_py()) for text in batch.column(at)), strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*names, *own])
 
-    schema = docs.schema
-    for name in own:
-        schema = schema.add(name, "long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in own)])
     return docs.mapInArrow(run, schema).where(f"not ({conditions})").select(*[F.col(f"`{n}`") for n in names])
 
 
