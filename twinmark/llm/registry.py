@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, near_dedup, packing, quality_rules, token_scan, tokens
+from . import importance, language, near_dedup, packing, quality_rules, token_scan, tokens
 from .common import table
 
 
@@ -45,12 +45,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_separator_token_counts, op2_setsketch_near_dedup, op3_best_fit_packing, op4_byte_bpe, op5_quality_rules, op7_importance_resampling)}
+    return {f.__name__: f for f in (op1_separator_token_counts, op2_setsketch_near_dedup, op3_best_fit_packing, op4_byte_bpe, op5_quality_rules, op6_byte_cnn_language, op7_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
