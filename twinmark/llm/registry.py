@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, language, licenses, near_dedup, packing, quality_rules, token_scan, tokens, toxicity
+from . import embedding_dedup, importance, language, licenses, near_dedup, packing, quality_rules, token_scan, tokens, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pruned_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -62,12 +66,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_separator_token_counts, op2_setsketch_near_dedup, op3_best_fit_packing, op4_byte_bpe, op5_quality_rules, op6_byte_cnn_language, op7_importance_resampling, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_separator_token_counts, op2_setsketch_near_dedup, op3_best_fit_packing, op4_byte_bpe, op5_quality_rules, op6_byte_cnn_language, op7_importance_resampling, op8_pruned_graph_dedup, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_setsketch_near_dedup": near_dedup.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_pruned_graph_dedup": embedding_dedup.ORACLE_SQL,
         "op9_license_scan": licenses.oracle(),
     }
