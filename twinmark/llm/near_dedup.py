@@ -33,7 +33,6 @@ BASE, RATE, LAST = 1.001, 20.0, 65535
 RULE_OUT = 36.0
 #: Buckets up to this size give all their pairs at once; larger ones first compare all members with one of them.
 SMALL = 5
-HUB_ROUNDS = 3
 
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -203,6 +202,46 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def prefix_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold, found without comparing all with all.
+
+    ``open_rows`` has id and component.  Two sets of n and m shingles at threshold t have at least
+    o = ceil(t / (1 + t) (n + m)) in common.  With the shingles of all sets in one order, the rarest first, they then
+    share one among the first n - o + 1 of the one and the first m - o + 1 of the other.  So a copy with many
+    shingles of its own meets nobody.  On each shingle, rows of the most frequent component are only met by rows
+    of others.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, raw in enumerate(batch.column(2)):
+                members = np.frombuffer(raw.as_buffer(), np.int64)
+                same = lambda column, n=len(members), k=k: pa.array(np.full(n, column[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([same(batch.column(0)), same(batch.column(1)), pa.array(np.full(len(members), len(members))), pa.array(members)], names=["id", "component", "n", "h"])
+
+    rows = open_rows.join(sets, "id").select("id", "component", "members").mapInArrow(spread, "id long, component long, n long, h long")
+    rows = store(rows, "open-shingles")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = rows.join(often, "h").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("common"))
+    longest = f"(n - ({percent} * n + 99) div 100 + 1)"  # the bound for the smallest partner
+    common = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    placed = (
+        own.withColumn("lone", F.expr("n - size(common)"))
+        .where(f"lone < {longest}")
+        .select("id", "component", "n", "lone", F.posexplode(F.expr(f"slice(common, 1, cast({longest} - lone as int))")).alias("k", "s"))
+        .select("id", "component", "n", F.col("s.h").alias("h"), F.expr("lone + k + 1").alias("place"))
+    )
+    placed = store(placed, "prefixes")
+    counts = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("h").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", F.col("top.component").alias("main"))
+    split = store(placed.join(main, "h"), "split-shingles")
+    side = lambda df, x: df.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "place")])
+    met = side(split.where("component <> main"), "a").join(side(split, "b"), "h").where(
+        f"component_a <> component_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and place_a <= n_a - {common} + 1 and place_b <= n_b - {common} + 1"
+    )
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def link_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate documents: doc_id, n_shingles, component_id, kept, one row per input row.
 
@@ -214,9 +253,9 @@ def link_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     table gives no rows.
 
     Candidates come from shared band keys.  A bucket of more than SMALL classes is not expanded into pairs: its
-    members are compared with the one among them that meets the most others, and what is still in another
-    component is compared with a next one.  Pairs that remain unlinked after HUB_ROUNDS rounds are then all
-    compared, so no link between components is lost; links inside a component change nothing and are left out.
+    members are compared with the one among them that meets the most others.  Where a bucket's members are then
+    still in several components, pairs between those come from the rarest shingles of their sets, so no link
+    between components is lost; links inside a component change nothing and are left out.
     """
     small_batches(docs.sparkSession)
     drawn = store(sketch(docs, words=words, id_col=id_col, text_col=text_col), "sketches")
@@ -234,36 +273,21 @@ def link_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     spread = small.select("ids", F.posexplode("ids").alias("k", "a")).select("a", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("b"))
     degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
     large = store(met.where(f"size > {SMALL}").join(degree, "id").select("key", "id", "degree"), "large-buckets")
+    hubs = large.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("top")).select("key", (-F.col("top.order")).alias("hub"))
+    star = large.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
-    def hubs(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("top")).select("key", (-F.col("top.order")).alias("hub"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        candidates = store(filtered(ordered(pairs), reps, percent), "candidates")
-        needed = candidates.select(F.col("a").alias("id")).unionAll(candidates.select(F.col("b").alias("id"))).distinct()
-        known = needed.join(reps.select("id", "digest"), "id")
-        sets = store(sets_of(docs, known, words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"]), "sets")
-        return store(verified(candidates, sets, percent), "links")
-
-    star = large.join(hubs(large), "key").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = confirm(spread.unionAll(star))
+    candidates = store(filtered(ordered(spread.unionAll(star)), reps, percent), "candidates")
+    needed = candidates.select(F.col("a").alias("id")).unionAll(candidates.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
+    sets = store(sets_of(docs, needed.join(reps.select("id", "digest"), "id"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"]), "sets")
+    links = store(verified(candidates, sets, percent), "links")
     found = store(connected_components(links), "components")
 
-    for turn in range(HUB_ROUNDS + 1):
-        placed = large.join(found, "id", "left").select("key", "id", "degree", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        open_rows = store(placed.join(split, "key"), "open-buckets")
-        if open_rows.isEmpty():
-            break
-        settled = hubs(open_rows).join(open_rows.select("key", F.col("id").alias("hub"), F.col("component").alias("main")), ["key", "hub"])
-        minor = open_rows.join(settled.select("key", "main"), "key").where("component <> main").drop("main")
-        if turn < HUB_ROUNDS:  # the next hub comes from outside the first hub's component
-            second = hubs(minor).join(minor.select("key", F.col("id").alias("hub"), F.col("component").alias("own")), ["key", "hub"])
-            pairs = open_rows.join(second, "key").where("component <> own").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        else:
-            other = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = minor.select("key", F.col("id").alias("a"), "component").join(other, "key").where("component <> other").select("a", "b")
-        more = confirm(pairs)
+    placed = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_rows = store(placed.join(split, "key").select("id", "component").distinct(), "open")
+    if not open_rows.isEmpty():
+        rest = store(filtered(ordered(prefix_pairs(open_rows, sets, percent)), reps, percent), "candidates")
+        more = store(verified(rest, sets, percent), "links")
         if not more.isEmpty():
             stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             found = store(connected_components(stars.unionAll(more)), "components")
