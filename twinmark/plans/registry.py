@@ -1,20 +1,336 @@
-"""Names, queries and oracle SQL of the linkage engine."""
+"""Names, queries and oracle SQL of the linkage engine over the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vocab
+from ..functions.attributes import enrich
+from ..functions.text import domain_text, tokens
+from ..operators import blocking, classic, evaluation, evidence, groups, results, similarity, validation
+from ..operators.decisions import confidence_level
+from ..sources import export, ingest, store
+from . import oracle, scan
+from .part_master import FIELDS, duckdb_view, part_master
+
+WITH = f"with {oracle.RECORDS}"
+PAIRS = f"{WITH}, {oracle.pair_tables(FIELDS)}"
+
+
+def joined(x) -> Column:
+    return F.array_join(x, "|")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(part_master(spark, sf_dir))
+
+
+def pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return blocking.candidate_pairs(records(spark, sf_dir), FIELDS, **options)
+
+
+def record_pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    own = records(spark, sf_dir)
+    return blocking.join_records(blocking.candidate_pairs(own, FIELDS, **options), own)
+
+
+def with_fields(df: DataFrame) -> DataFrame:
+    matched, mismatched = blocking.field_matches(FIELDS)
+    return df.withColumn("matched_fields", matched).withColumn("mismatched_fields", mismatched)
+
+
+def normalize_records(spark, sf_dir):
+    return records(spark, sf_dir).select("rec_idx", "normalized_part_no", "normalized_description", "normalized_text")
+
+
+def normalize_documents(spark, sf_dir):
+    text = read(spark, sf_dir, "documents").select("doc_id", domain_text("text").alias("t"))
+    return text.select("doc_id", F.size(tokens("t")).cast("long").alias("n_tokens"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+def technical_tokens(spark, sf_dir):
+    return records(spark, sf_dir).select("rec_idx", *[joined(f"technical.{n}").alias(n) for n in oracle.TECHNICAL])
+
+
+def extract_attributes(spark, sf_dir):
+    return records(spark, sf_dir).select("rec_idx", *[joined(f"attrs.{n}").alias(n) for n in oracle.ATTRIBUTES])
+
+
+def variant_attributes(spark, sf_dir):
+    return records(spark, sf_dir).select("rec_idx", *[joined(f"variants.{n}").alias(n.lower()) for n in oracle.VARIANTS])
+
+
+def record_flags(spark, sf_dir):
+    return records(spark, sf_dir).select("rec_idx", joined(F.array_sort("raw_context")).alias("raw_context"), "is_generic", "family")
+
+
+def csv_canonical(spark, sf_dir):
+    raw = read(spark, sf_dir, "supplier").selectExpr("s_name as ` part_no `", "case s_suppkey % 4 when 0 then 'NA' when 1 then 'null' else s_name end as Description", "cast(s_nationkey as string) as PART_TYPE", "'' as inventory_uom")
+    return ingest.missing_as_null(ingest.canonical_columns(raw))
+
+
+def profile_validate(spark, sf_dir):
+    df = part_master(spark, sf_dir)
+    return validation.profile(df, ["HSN_SAC_CODE", "PRODUCT_CATEGORY_ID", "MASTER_PART_DESCRIPTION"]).toDF("record_count", "empty_descriptions", "blank_hsn", "blank_category", "blank_master")
+
+
+def high_null_fields(spark, sf_dir):
+    return validation.sparse_fields(part_master(spark, sf_dir), ["HSN_SAC_CODE", "HAZARD_CODE", "MASTER_PART_DESCRIPTION"])
+
+
+def repeated_part_rows(spark, sf_dir):
+    return validation.repeated_part_rows(read(spark, sf_dir, "part").selectExpr("case when p_partkey % 9 = 0 then null else p_name end as PART_NO"))
+
+
+def sensitive_patterns(spark, sf_dir):
+    return validation.sensitive_patterns(read(spark, sf_dir, "documents"))
+
+
+def block_index(spark, sf_dir):
+    return blocking.blocks(records(spark, sf_dir), FIELDS).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_records"), F.min("rec_idx").alias("first_record"))
+
+
+def shown_pairs(df):
+    return df.select("idx_a", "idx_b", joined("candidate_reasons").alias("candidate_reasons"), joined("matched_blocks").alias("matched_blocks"))
+
+
+def candidate_pairs(spark, sf_dir):
+    return shown_pairs(pairs(spark, sf_dir))
+
+
+def candidate_pairs_cross_site(spark, sf_dir):
+    return shown_pairs(pairs(spark, sf_dir, cross_site=True))
+
+
+CAP = 3000
+
+
+def candidate_pairs_capped(spark, sf_dir):
+    return shown_pairs(pairs(spark, sf_dir, most=CAP))
+
+
+def records_without_candidates(spark, sf_dir):
+    found = pairs(spark, sf_dir)
+    met = found.select(F.col("idx_a").alias("rec_idx")).union(found.select("idx_b"))
+    return part_master(spark, sf_dir).select("rec_idx", "PART_NO").join(met, "rec_idx", "left_anti")
+
+
+def matched_fields(spark, sf_dir):
+    return with_fields(record_pairs(spark, sf_dir, cross_site=True)).select("idx_a", "idx_b", joined("matched_fields").alias("matched_fields"), joined("mismatched_fields").alias("mismatched_fields"))
+
+
+def set_scores(spark, sf_dir):
+    df = with_fields(record_pairs(spark, sf_dir))
+    return df.select(
+        "idx_a", "idx_b", similarity.technical_score().alias("technical_score"), similarity.structured_score().alias("structured_score"), similarity.business_score(F.col("matched_fields"), F.col("mismatched_fields")).alias("business_score")
+    )
+
+
+def text_pairs(spark, sf_dir):
+    df = record_pairs(spark, sf_dir)
+    return df.select(F.col("a.text_description").alias("ta"), F.col("b.text_description").alias("tb")).distinct()
+
+
+def tfidf_pairs(spark, sf_dir):
+    found = text_pairs(spark, sf_dir)
+    return similarity.with_text_scores(found, F.col("ta"), F.col("tb")).select("ta", "tb", "tfidf_score")
+
+
+def fuzzy_pairs(spark, sf_dir):
+    found = text_pairs(spark, sf_dir)
+    return similarity.with_text_scores(found, F.col("ta"), F.col("tb")).select("ta", "tb", "fuzzy_score")
+
+
+def part_no_similarity(spark, sf_dir):
+    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec_idx"), domain_text("s_name").alias("normalized_part_no"), F.col("s_nationkey").alias("n"))
+    side = lambda s: own.select(F.col("n"), F.struct("rec_idx", "normalized_part_no").alias(s))
+    return similarity.with_part_scores(side("a").join(side("b"), "n").where("a.rec_idx < b.rec_idx")).select(F.col("a.rec_idx").alias("idx_a"), F.col("b.rec_idx").alias("idx_b"), "part_no_similarity")
+
+
+def classic_guards(spark, sf_dir):
+    df = record_pairs(spark, sf_dir).withColumn("variant_mismatches", classic.variant_mismatches())
+    guard = df.select("idx_a", "idx_b", classic.hard_guard(df, vocab.SCAN_MODES[0]).alias("g"))
+    return guard.select("idx_a", "idx_b", "g.status", "g.rule_decision", "g.rejection_reason", "g.score", "g.explanation")
+
+
+def evidence_guards(spark, sf_dir):
+    df = evidence.findings(with_fields(record_pairs(spark, sf_dir)), cross_site=False)
+    data = F.exists("rule_evidence", lambda d: d["severity"] == "data_conflict")
+    return df.select("idx_a", "idx_b", joined("conflict_types").alias("conflict_types"), joined("warning_types").alias("warning_types"), data.alias("data_conflict"))
+
+
+def classic_scan(spark, sf_dir):
+    return results.candidates(scan.decided_pairs(part_master(spark, sf_dir), FIELDS, engine="classic"))
+
+
+def evidence_scan(spark, sf_dir):
+    return results.candidates(scan.decided_pairs(part_master(spark, sf_dir), FIELDS, engine="evidence"))
+
+
+SHOWN = ("idx_a", "idx_b", "similarity_score", "confidence_level", "description_similarity", "tfidf_score", "fuzzy_score", "part_no_similarity", "technical_token_score", "business_status", "rule_decision", "rejection_reason", "recommended_action", "explanation")
+
+
+def classic_results(spark, sf_dir):
+    return classic_scan(spark, sf_dir).select(*SHOWN)
+
+
+def evidence_results(spark, sf_dir):
+    return evidence_scan(spark, sf_dir).select(*SHOWN)
+
+
+def evidence_status_summary(spark, sf_dir):
+    return results.status_counts(evidence_scan(spark, sf_dir))
+
+
+def guard_status_summary(spark, sf_dir):
+    return results.status_counts(classic_guards(spark, sf_dir).where("status is not null"), "status")
+
+
+def review_filter(spark, sf_dir):
+    rows = classic_guards(spark, sf_dir).where("status is not null").select("idx_a", "idx_b", F.col("score").alias("similarity_score"), F.col("status").alias("business_status"))
+    return results.kept(rows, 46.0, results.allowed_statuses("review"))
+
+
+def scored_by_structure(spark, sf_dir):
+    """Candidates scored by structure alone, in the shape that groups read."""
+    df = record_pairs(spark, sf_dir).withColumn("similarity_score", similarity.structured_score())
+    record = [F.col(f"{s}.{f}").alias(f"{f.lower()}_{s}") for s in "ab" for f in ("CONTRACT", "PART_NO", "DESCRIPTION")]
+    empty = F.array().cast("array<string>")
+    return df.select("idx_a", "idx_b", *record, "similarity_score", confidence_level(F.col("similarity_score")).alias("confidence_level"), empty.alias("matched_evidence"), empty.alias("mismatched_fields"), F.array().cast(f"array<{classic.DIFFERENCE}>").alias("differences"), F.lit("").alias("explanation"))
+
+
+GROUP_MINIMUM = 90.0
+
+
+def duplicate_groups(spark, sf_dir):
+    return groups.duplicate_groups(scored_by_structure(spark, sf_dir), GROUP_MINIMUM).select("group_id", "group_name", "part_count", "pair_count", "average_score", "top_score", "confidence_level", "summary")
+
+
+def group_members(spark, sf_dir):
+    return groups.members(scored_by_structure(spark, sf_dir), GROUP_MINIMUM)
+
+
+def export_rows(spark, sf_dir):
+    df = record_pairs(spark, sf_dir).withColumn("variant_mismatches", classic.variant_mismatches())
+    df = with_fields(df).withColumn("g", classic.hard_guard(df, vocab.SCAN_MODES[0])).where("g is not null")
+    found = df.select(
+        F.col("a.PART_NO").alias("part_no_a"),
+        F.concat(F.lit("="), F.col("b.DESCRIPTION")).alias("description_b"),
+        F.col("g.score").alias("similarity_score"),
+        F.col("g.explanation").alias("explanation"),
+        "matched_fields",
+        F.col("matched_fields").alias("matched_evidence"),
+        F.col("a.attrs.color").alias("application_context_a"),
+        F.col("a.variants").alias("variant_attributes_a"),
+    )
+    kept = ("part_no_a", "description_a", "description_b", "similarity_score", "score", "reason", "matched_fields", "matched_evidence", "application_context_a", "variant_attributes_a", "review_status")
+    return export.export_rows(found).select(*kept)
+
+
+def feedback_latest(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderstatus").alias("decision"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("feedback_id"))
+    return store.latest_feedback(rows, ["candidate_id"]).select("candidate_id", "decision", "feedback_id")
+
+
+def evaluation_metrics(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels")
+    return evaluation.metrics(labels.select(F.col("toxic").alias("expected_label"), (F.col("quality") == 0).cast("int").alias("guess")))
+
+
+def synthetic_scan(spark, sf_dir):
+    """A scan of made-up records, as many as there are parts, up to the pair cap of an interactive scan."""
+    made = ingest.synthetic(spark, read(spark, sf_dir, "supplier").count() * 5)
+    found = scan.run_scan(made, ["CONTRACT", "UNIT_MEAS", "PRIME_COMMODITY"], threshold=70.0, most=vocab.PAIR_LIMIT).candidates
+    return found.select(*SHOWN)
+
+
+def field_catalogue(spark, sf_dir):
+    return spark.createDataFrame(list(vocab.FIELDS), "field string, display string, required boolean")
+
+
+QUERIES = (
+    normalize_records, normalize_documents, technical_tokens, extract_attributes, variant_attributes, record_flags, csv_canonical, profile_validate, high_null_fields, repeated_part_rows,
+    sensitive_patterns, block_index, candidate_pairs, candidate_pairs_cross_site, candidate_pairs_capped, records_without_candidates, matched_fields, set_scores, tfidf_pairs, fuzzy_pairs,
+    part_no_similarity, classic_guards, evidence_guards, classic_results, evidence_results, evidence_status_summary, guard_status_summary, review_filter, duplicate_groups, group_members,
+    export_rows, feedback_latest, evaluation_metrics, synthetic_scan, field_catalogue,
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the decided candidate pairs of the part master by status."""
-    return queries()["evidence_status_summary"](spark, sf_dir)
+    return evidence_status_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    o = oracle
+    show = lambda names, prefix="": ", ".join(f"{o.joined(prefix + n)} as {n}" for n in names)
+    matched, mismatched = o.field_lists(FIELDS)
+    blank = lambda f: f"count(*) filter (where {o.strip(f)} = '')"
+    cells = []
+    for kind, pattern, _ in vocab.SENSITIVE:
+        for column in ("text", "lang", "source"):
+            cells.append(f"select '{kind}' as warning_type, '{column}' as c, count(*) filter (where regexp_matches(coalesce({column}, ''), '{pattern}')) as n from documents")
+    guard_rows = f"{PAIRS}, gd as ({o.classic_guards()})"
+    node = lambda s: f"concat_ws('|', coalesce({s}.CONTRACT, ''), coalesce({s}.PART_NO, ''), coalesce({s}.DESCRIPTION, ''))"
+    scored = f"sc as (select idx_a, idx_b, {node('a')} as node_a, {node('b')} as node_b, {o.structured_score()} as similarity_score from {o.both()}), sl as (select *, case when similarity_score >= 90 then 'HIGH' when similarity_score >= 75 then 'MEDIUM' when similarity_score >= 60 then 'LOW' else 'IGNORE' end as level from sc)"
+    grouped = f"{PAIRS.replace('with ', 'with recursive ', 1)}, {scored}, {o.groups('sl', GROUP_MINIMUM)}"
+    variants = "{" + ", ".join(f"'{n}': a.v_{n}" for n in o.VARIANTS) + "}"
+    return {
+        "normalize_records": f"{WITH} select rec_idx, npart as normalized_part_no, ndesc as normalized_description, ntext as normalized_text from rec",
+        "normalize_documents": f"with a as (select doc_id, {o.normalize('text')} as n from documents), b as (select doc_id, {o.expand('n')} as t from a) select doc_id, len({o.words('t')}) as n_tokens, md5(t) as text_md5 from b",
+        "technical_tokens": f"{WITH} select rec_idx, {show(o.TECHNICAL)} from rec",
+        "extract_attributes": f"{WITH} select rec_idx, {show(o.ATTRIBUTES, 'at_')} from rec",
+        "variant_attributes": f"{WITH} select rec_idx, {', '.join(f'{o.joined(f"v_{n}")} as {n.lower()}' for n in o.VARIANTS)} from rec",
+        "record_flags": f"{WITH} select rec_idx, {o.joined('raw_context')} as raw_context, is_generic, family from rec",
+        "csv_canonical": "select s_name as PART_NO, case when s_suppkey % 4 in (0, 1) then null else s_name end as DESCRIPTION, cast(s_nationkey as varchar) as TYPE_CODE, cast(null as varchar) as UNIT_MEAS from supplier",
+        "profile_validate": f"with pm as ({duckdb_view()}) select count(*) as record_count, {blank('DESCRIPTION')} as empty_descriptions, {blank('HSN_SAC_CODE')} as blank_hsn, {blank('PRODUCT_CATEGORY_ID')} as blank_category, {blank('MASTER_PART_DESCRIPTION')} as blank_master from pm",
+        "high_null_fields": f"with pm as ({duckdb_view()}), f as ("
+        + " union all ".join(f"select '{f}' as field, {blank(f)} / count(*) as share from pm" for f in ("HSN_SAC_CODE", "HAZARD_CODE", "MASTER_PART_DESCRIPTION"))
+        + ") select field, floor(share * 1000 + 0.5) / 10 as percent from f where share >= 0.5",
+        "repeated_part_rows": "select cast(coalesce(sum(n), 0) as bigint) as repeated_rows from (select count(*) as n from part group by case when p_partkey % 9 = 0 then '' else p_name end) where n > 1",
+        "sensitive_patterns": f"with c as ({' union all '.join(cells)}) select warning_type, cast(sum(n) as bigint) as n_cells, string_agg(c, ', ' order by c) as columns from c where n > 0 group by 1",
+        "block_index": f"{PAIRS} select split_part(key, ':', 1) as kind, key, count(*) as n_records, min(rec_idx) as first_record from bl group by 1, 2",
+        "candidate_pairs": f"{PAIRS} select * from prs",
+        "candidate_pairs_cross_site": f"{WITH}, {o.pair_tables(FIELDS, cross_site=True)} select * from prs",
+        "candidate_pairs_capped": f"{WITH}, {o.pair_tables(FIELDS, cap=CAP)} select * from prs",
+        "records_without_candidates": f"{PAIRS} select rec_idx, PART_NO from pm where rec_idx not in (select idx_a from prs union select idx_b from prs)",
+        "matched_fields": f"{WITH}, {o.pair_tables(FIELDS, cross_site=True)} select idx_a, idx_b, {o.joined(matched)} as matched_fields, {o.joined(mismatched)} as mismatched_fields from {o.both()}",
+        "set_scores": f"{PAIRS} select idx_a, idx_b, {o.technical_score()} as technical_score, {o.structured_score()} as structured_score, {o.business_score(FIELDS)} as business_score from {o.both()}",
+        "tfidf_pairs": f"{PAIRS}, st as (select rec_idx, {o.similarity_words('ndesc0')} as t from rec), {o.gram_cosine('select distinct a.t as ta, b.t as tb from prs join st a on a.rec_idx = idx_a join st b on b.rec_idx = idx_b')} select ta, tb, tfidf_score from cosines",
+        "part_no_similarity": f"with s as (select s_suppkey as i, s_nationkey as n, replace({o.expand(o.normalize('s_name'))}, ' ', '') as t from supplier), p as (select a.i as idx_a, b.i as idx_b, a.t as ta, b.t as tb from s a join s b on a.n = b.n and a.i < b.i) "
+        f"select idx_a, idx_b, case when ta = '' or tb = '' then 0 else {o.round2(f'200.0::double * {o.common_length("ta", "tb")} / (length(ta) + length(tb))')} end as part_no_similarity from p",
+        "classic_guards": f"{PAIRS} {o.classic_guards()}",
+        "evidence_guards": f"{PAIRS} {o.evidence_guards()}",
+        "guard_status_summary": f"{guard_rows} select coalesce(status, 'TOTAL') as status, count(*) as n from gd where status is not null group by rollup (status)",
+        "review_filter": f"{guard_rows} select idx_a, idx_b, score as similarity_score, status as business_status from gd where score >= 46 and status in ({', '.join(map(o.quoted, vocab.REVIEW_STATUSES))})",
+        "group_members": f"{grouped} select n as node, c as component from comp",
+        "duplicate_groups": f"""{grouped},
+ pg as (select c, count(*) as pair_count, floor(avg(similarity_score) * 100 + 0.5) / 100 as average_score, max(similarity_score) as top_score, min((idx_a, idx_b)) as first from adm join comp on comp.n = node_a group by c),
+ parts as (select c, n, regexp_replace(n, '^[^|]*[|][^|]*[|]', '') as d from comp),
+ ng as (select c, count(*) as part_count, arg_min(d, (length(d), lower(d))) as group_name from parts group by c)
+ select row_number() over (order by first) as group_id, group_name, part_count, pair_count, average_score, top_score,
+  case when top_score >= 90 then 'HIGH' when top_score >= 75 then 'MEDIUM' when top_score >= 60 then 'LOW' else 'IGNORE' end as confidence_level,
+  part_count || ' parts are connected by ' || pair_count || ' medium/high confidence candidate pair(s). No shared business fields were available. Review the pair-level evidence before making a master-data decision.' as summary
+ from pg join ng using (c)""",
+        "export_rows": f"""{PAIRS}, gd as ({o.classic_guards()})
+ select a.PART_NO as part_no_a, '' as description_a, '''=' || b.DESCRIPTION as description_b, cast(gd.score as varchar) as similarity_score, cast(gd.score as varchar) as score, gd.explanation as reason,
+  cast(to_json({matched}) as varchar) as matched_fields, array_to_string({matched}, '; ') as matched_evidence, cast(to_json(a.at_color) as varchar) as application_context_a,
+  cast(to_json({variants}) as varchar) as variant_attributes_a, '' as review_status
+ from gd join rec a on a.rec_idx = gd.idx_a join rec b on b.rec_idx = gd.idx_b where gd.status is not null""",
+        "feedback_latest": "select o_custkey as candidate_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as decision, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as feedback_id from orders group by 1",
+        "evaluation_metrics": "with c as (select count(*) filter (where quality = 0 and toxic = 1) as tp, count(*) filter (where quality = 0 and toxic = 0) as fp, count(*) filter (where quality <> 0 and toxic = 1) as fn, count(*) filter (where quality <> 0 and toxic = 0) as tn from labels) "
+        "select *, case when tp + fp > 0 then floor(tp / (tp + fp) * 1000 + 0.5) / 1000 else 0 end as precision, case when tp + fn > 0 then floor(tp / (tp + fn) * 1000 + 0.5) / 1000 else 0 end as recall, case when 2 * tp + fp + fn > 0 then floor(2 * tp / (2 * tp + fp + fn) * 1000 + 0.5) / 1000 else 0 end as f1_score from c",
+        "field_catalogue": "select * from (values " + ", ".join(f"({o.quoted(f)}, {o.quoted(d)}, {str(r).lower()})" for f, d, r in vocab.FIELDS) + ") v(field, display, required)",
+    }
+
