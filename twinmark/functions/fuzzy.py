@@ -10,8 +10,10 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def round2(x: float) -> float:
@@ -41,18 +43,23 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common_length(places(a), len(a), b) / total if total else 100.0
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def token_set_parts(a: str, b: str) -> float | tuple[str, str, float]:
+    """The score if it is known at once, else the two texts to compare and what they reach at least."""
     left, right = set(a.split()), set(b.split())
     if not left or not right:
         return 0.0
     both = " ".join(sorted(left & right))
     if both and (left <= right or right <= left):
         return 100.0
-    one, two = (" ".join([both, *sorted(x)]).strip() if both else " ".join(sorted(x)) for x in (left - right, right - left))
-    found = ratio(one, two)
-    if both:
-        found = max(found, 200.0 * len(both) / (len(both) + len(one)), 200.0 * len(both) / (len(both) + len(two)))
-    return found
+    one, two = (" ".join([both, *sorted(x)] if both else sorted(x)) for x in (left - right, right - left))
+    least = max(200.0 * len(both) / (len(both) + len(x)) for x in (one, two)) if both else 0.0
+    return one, two, least
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """Best ratio of the shared tokens, and of the shared tokens with those of either side."""
+    ready = token_set_parts(a, b)
+    return ready if isinstance(ready, float) else max(ready[2], ratio(ready[0], ready[1]))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -63,10 +70,20 @@ def partial_ratio(a: str, b: str) -> float:
 
     def best(short: str, long: str) -> float:
         at, n, found = places(short), len(short), 0.0
+        need, have, shared = Counter(short), Counter(), 0  # shared bounds what a window can have in common
         for end in range(1, len(long) + n):
-            window = long[max(0, end - n) : end]
-            if 2.0 * min(n, len(window)) / (n + len(window)) * 100 > found:
-                found = max(found, 200.0 * common_length(at, n, window) / (n + len(window)))
+            if end <= len(long):
+                c = long[end - 1]
+                have[c] += 1
+                shared += have[c] <= need[c]
+            if end > n:
+                c = long[end - n - 1]
+                shared -= have[c] <= need[c]
+                have[c] -= 1
+            window_size = min(end, len(long)) - max(0, end - n)
+            if 200.0 * shared / (n + window_size) > found:
+                window = long[max(0, end - n) : end]
+                found = max(found, 200.0 * common_length(at, n, window) / (n + window_size))
         return found
 
     return max(best(short, long), best(long, short)) if len(a) == len(b) else best(short, long)
@@ -83,21 +100,127 @@ def grams(text: str) -> dict[str, int]:
                 found[padded] += 1
                 break
             found.update(padded[k : k + n] for k in range(len(padded) - n + 1))
-    return found
+    return dict(found)
 
 
-#: Weight of an n-gram that only one of two texts has; one that both have weighs 1.
-ALONE = 1.0 + math.log(1.5)
+@lru_cache(maxsize=50_000)
+def squares(text: str) -> int:
+    return sum(n * n for n in grams(text).values())
+
+
+#: Squared weight of an n-gram that only one of two texts has; one that both have weighs 1.
+ALONE = (1.0 + math.log(1.5)) ** 2
 
 
 def ngram_cosine(a: str, b: str) -> float:
     """Cosine of tf-idf vectors fitted on just these two texts, times 100."""
     x, y = grams(a), grams(b)
-    if not x or not y:
+    shared = x.keys() & y.keys()
+    if not shared:
         return 0.0
-    dot = sum(n * y[g] for g, n in x.items() if g in y)
-    norm = lambda own, other: sum((n * (1.0 if g in other else ALONE)) ** 2 for g, n in own.items())
-    return 100.0 * dot / math.sqrt(norm(x, y) * norm(y, x))
+    dot, own_x, own_y = 0, 0, 0
+    for g in shared:
+        n, m = x[g], y[g]
+        dot += n * m
+        own_x += n * n
+        own_y += m * m
+    return 100.0 * dot / math.sqrt((own_x + (squares(a) - own_x) * ALONE) * (own_y + (squares(b) - own_y) * ALONE))
+
+
+#: Texts up to this length fit a machine word, and pairs of a chunk are scored together.
+WORD, CHUNK = 63, 1000
+
+
+def common_lengths(short: list[str], owner: np.ndarray, other: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``short[owner[k]]`` and ``other[k]`` for all k at once.
+
+    The bit rows of all pairs advance together, one character of the other text a step.  ASCII texts of at most
+    WORD characters.
+    """
+    masks = np.zeros((len(short), 128), np.uint64)
+    for row, text in enumerate(short):
+        for k, c in enumerate(text.encode("ascii")):
+            masks[row, c] |= np.uint64(1 << k)
+    masks[:, 0] = 0
+    width = max(map(len, other), default=0)
+    codes = np.frombuffer("".join([o.ljust(width, "\0") for o in other]).encode("ascii"), np.uint8).reshape(len(other), width)
+    sizes = np.array([len(t) for t in short], np.uint64)
+    full = ((np.uint64(1) << sizes) - np.uint64(1))[owner]
+    state, flat, base = full.copy(), masks.ravel(), owner.astype(np.int64) * 128
+    for column in np.ascontiguousarray(codes.T):
+        hit = state & flat[base + column]
+        state = (state + hit) | (state - hit)
+    return sizes[owner].astype(np.int64) - np.bitwise_count(state & full).astype(np.int64)
+
+
+def windows(short: str, long: str) -> list[str]:
+    """All windows of the shorter text's length, cut off at both ends of the longer one."""
+    n = len(short)
+    return [long[max(0, end - n) : end] for end in range(1, len(long) + n)]
+
+
+def best_windows(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Partial ratio of (shorter, longer) pairs: best over windows, together for all pairs."""
+    cut = [windows(a, b) for a, b in pairs]
+    owner = np.repeat(np.arange(len(pairs)), [len(w) for w in cut])
+    flat = [w for own in cut for w in own]
+    total = np.array([len(a) for a, _ in pairs])[owner] + np.array([len(w) for w in flat])
+    scores = 200.0 * common_lengths([a for a, _ in pairs], owner, flat) / total
+    return np.maximum.reduceat(scores, np.concatenate([[0], np.cumsum([len(w) for w in cut])[:-1]]))
+
+
+def fits(*texts: str) -> bool:
+    return all(0 < len(t) <= WORD and t.isascii() and "\0" not in t for t in texts)
+
+
+def ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """``ratio`` of many pairs."""
+    out = [0.0] * len(pairs)
+    at = [k for k, p in enumerate(pairs) if fits(*p)]
+    if at:
+        common = common_lengths([pairs[k][0] for k in at], np.arange(len(at)), [pairs[k][1] for k in at])
+        for k, n in zip(at, common.tolist(), strict=True):
+            out[k] = 200.0 * n / (len(pairs[k][0]) + len(pairs[k][1]))
+    for k in set(range(len(pairs))) - set(at):
+        out[k] = ratio(*pairs[k])
+    return out
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """``partial_ratio`` of many pairs of texts that are not blank."""
+    out = [0.0] * len(pairs)
+    tasks: list[tuple[str, str]] = []
+    owner: list[int] = []
+    for k, (a, b) in enumerate(pairs):
+        if not fits(a, b):
+            out[k] = partial_ratio(a, b)
+            continue
+        short, long = sorted((a, b), key=len)
+        tasks.append((short, long))
+        owner.append(k)
+        if len(a) == len(b):
+            tasks.append((long, short))
+            owner.append(k)
+    if tasks:
+        for k, score in zip(owner, best_windows(tasks).tolist(), strict=True):
+            out[k] = max(out[k], score)
+    return out
+
+
+def token_set_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """``token_set_ratio`` of many pairs."""
+    out = [0.0] * len(pairs)
+    tasks: list[tuple[int, str, str]] = []
+    for k, (a, b) in enumerate(pairs):
+        ready = token_set_parts(a, b)
+        if isinstance(ready, float):
+            out[k] = ready
+        else:
+            out[k] = ready[2]
+            tasks.append((k, ready[0], ready[1]))
+    for (k, _, _), score in zip(tasks, ratios([t[1:] for t in tasks]), strict=True):
+        out[k] = max(out[k], score)
+    return out
 
 
 def text_scores(a: str | None, b: str | None) -> tuple[float, float]:
@@ -111,23 +234,37 @@ def part_score(a: str | None, b: str | None) -> float:
     return round2(ratio(a, b)) if a and b else 0.0
 
 
+def score_many(pairs: list[tuple[str, str]]) -> list[tuple[float, float]]:
+    """``text_scores`` of many pairs."""
+    out = [(0.0, 0.0)] * len(pairs)
+    at = [k for k, (a, b) in enumerate(pairs) if a and b]
+    for start in range(0, len(at), CHUNK):
+        part = at[start : start + CHUNK]
+        own = [pairs[k] for k in part]
+        for k, (a, b), tokens, partial in zip(part, own, token_set_ratios(own), partial_ratios(own), strict=True):
+            out[k] = round2(ngram_cosine(a, b)), round2(0.6 * tokens + 0.4 * partial)
+    return out
+
+
 def score_texts(pairs: DataFrame) -> DataFrame:
     """(text_a, text_b) with tfidf_score and fuzzy_score; give it distinct pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [text_scores(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            scores = score_many(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s[0] for s in scores], pa.float64()), pa.array([s[1] for s in scores], pa.float64())], names=["text_a", "text_b", "tfidf_score", "fuzzy_score"])
 
     return pairs.select("text_a", "text_b").mapInArrow(run, "text_a string, text_b string, tfidf_score double, fuzzy_score double")
 
 
-def score_parts(pairs: DataFrame) -> DataFrame:
-    """(part_a, part_b) with part_no_similarity; texts without spaces, best distinct."""
+def add_part_scores(pairs: DataFrame, part_a: str, part_b: str) -> DataFrame:
+    """Adds part_no_similarity of two columns in one narrow pass; part numbers hardly repeat, so pairs are not made distinct."""
+    at_a, at_b, names = pairs.columns.index(part_a), pairs.columns.index(part_b), pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [part_score(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["part_a", "part_b", "part_no_similarity"])
+            own = [(a or "", b or "") for a, b in zip(batch.column(at_a).to_pylist(), batch.column(at_b).to_pylist(), strict=True)]
+            scores = [round2(x) if a and b else 0.0 for (a, b), x in zip(own, ratios(own), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "part_no_similarity"])
 
-    return pairs.select("part_a", "part_b").mapInArrow(run, "part_a string, part_b string, part_no_similarity double")
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("part_no_similarity", T.DoubleType())]))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from . import similarity
-from .blocking import field_matches
+from .blocking import field_matches, join_records
 from .decisions import DIFFERENCE, chosen, confidence_level, difference, differs, score_status, side_value
+from .reuse import reused
 from .similarity import same_set
 
 GUARD = f"struct<status:string,rule_decision:string,rejection_reason:string,score:double,explanation:string,differences:array<{DIFFERENCE}>>"
@@ -67,15 +68,26 @@ def duplicate_text() -> Column:
     )
 
 
-def decide(pairs: DataFrame, fields=(), mode: str = vocab.SCAN_MODES[0]) -> DataFrame:
-    """Decides pairs with record structs a and b.
+def decide(pairs: DataFrame, enriched: DataFrame, fields=(), mode: str = vocab.SCAN_MODES[0]) -> DataFrame:
+    """Decides pairs (idx_a, idx_b) of enriched records; the result carries both records as structs a and b.
 
-    Pairs that a hard guard stops never reach the string metrics; the others are scored, then softened.
+    What the rules need is taken from the records first, so that only narrow rows go on: pairs that a hard guard stops
+    never reach the string metrics, the others are scored, then softened.
     """
+    ready = join_records(pairs, enriched)
     matched, mismatched = field_matches(fields)
-    ready = pairs.withColumn("matched_fields", matched).withColumn("mismatched_fields", mismatched).withColumn("variant_mismatches", variant_mismatches())
-    ready = ready.withColumn("guard", hard_guard(ready, mode))
-    zero = F.lit(0.0)
+    ready = ready.withColumn("matched_fields", matched).withColumn("mismatched_fields", mismatched).withColumn("variant_mismatches", variant_mismatches())
+    left, right = F.col("a.raw_context"), F.col("b.raw_context")
+    ready = ready.select(
+        *pairs.columns,
+        "matched_fields",
+        "mismatched_fields",
+        hard_guard(ready, mode).alias("guard"),
+        similarity.technical_score().alias("technical_token_score"),
+        (F.col("a.is_generic") != F.col("b.is_generic")).alias("generic"),
+        F.when((F.size(left) > 0) & (F.size(right) > 0) & ~same_set(left, right), F.struct(F.array_sort(left).alias("a"), F.array_sort(right).alias("b"))).alias("context"),
+    )
+    ready, zero = reused(ready, "guarded-pairs"), F.lit(0.0)
     stopped = (
         ready.where(F.col("guard").isNotNull())
         .withColumns({n: zero for n in ("tfidf_score", "fuzzy_score", "description_similarity", "part_no_similarity", "technical_token_score")})
@@ -83,26 +95,25 @@ def decide(pairs: DataFrame, fields=(), mode: str = vocab.SCAN_MODES[0]) -> Data
         .withColumns({n: F.col(f"guard.{n}") for n in ("status", "rule_decision", "rejection_reason", "explanation", "differences")})
         .withColumn("warnings", F.array().cast("array<string>"))
     )
-    scored = similarity.classic_scores(ready.where(F.col("guard").isNull()))
-    generic = F.col("a.is_generic") != F.col("b.is_generic")
-    left, right = F.col("a.raw_context"), F.col("b.raw_context")
-    context = (F.size(left) > 0) & (F.size(right) > 0) & ~same_set(left, right)
-    sides = [F.array_join(F.array_sort(x), ", ") for x in (left, right)]
-    context_text = F.concat(F.lit("Application context appears different: "), sides[0], F.lit(" vs "), sides[1], F.lit("."))
+    scored = similarity.classic_scores(similarity.string_scores(ready.where(F.col("guard").isNull()), enriched, {"text_description": ""}))
+    generic, context = F.col("generic"), F.col("context").isNotNull()
+    context_text = F.concat(F.lit("Application context appears different: "), F.array_join("context.a", ", "), F.lit(" vs "), F.array_join("context.b", ", "), F.lit("."))
     cap = F.least(F.when(generic, F.lit(65.0)).otherwise(F.lit(100.0)), F.when(context, F.lit(78.0)).otherwise(F.lit(100.0)))
     softened = (
-        scored.withColumn("generic_soft", generic)
-        .withColumn("context_soft", context)
-        .withColumn("status", F.when(context, vocab.POSSIBLE).when(generic, vocab.INSUFFICIENT).otherwise(score_status(F.col("final_score"))))
+        scored.withColumn("status", F.when(context, vocab.POSSIBLE).when(generic, vocab.INSUFFICIENT).otherwise(score_status(F.col("final_score"))))
         .withColumn("rule_decision", F.when(context | generic, "DOWNGRADE").otherwise("ALLOW"))
         .withColumn("rejection_reason", F.when(context, "APPLICATION_CONTEXT_MISMATCH").when(generic, "GENERIC_DESCRIPTION").otherwise(""))
         .withColumn("warnings", chosen([F.when(generic, F.lit("One description is too generic to confirm duplicate identity.")), F.when(context, context_text)], "string"))
         .withColumn("explanation", F.concat_ws(" ", duplicate_text(), "warnings"))
         .withColumn("final_score", F.least(F.col("final_score"), cap))
-        .withColumn("differences", chosen([F.when(context, difference(kind="APPLICATION_CONTEXT", label="Application context", a=F.array_sort(left), b=F.array_sort(right)))], DIFFERENCE))
-        .drop("generic_soft", "context_soft")
+        .withColumn("differences", chosen([F.when(context, difference(kind="APPLICATION_CONTEXT", label="Application context", a=F.col("context.a"), b=F.col("context.b")))], DIFFERENCE))
     )
-    both = stopped.unionByName(softened).drop("guard", "variant_mismatches")
-    level = confidence_level(F.col("final_score"))
+    both = stopped.unionByName(softened).drop("guard", "generic", "context")
     action = F.create_map(*[F.lit(v) for pair in vocab.LEVEL_ACTIONS.items() for v in pair])
-    return both.withColumn("confidence_level", level).withColumn("recommended_action", action[F.col("confidence_level")]).withColumn("scan_mode", F.lit(mode)).withColumn("matched_evidence", F.col("matched_fields"))
+    decided = (
+        both.withColumn("confidence_level", confidence_level(F.col("final_score")))
+        .withColumn("recommended_action", action[F.col("confidence_level")])
+        .withColumn("scan_mode", F.lit(mode))
+        .withColumn("matched_evidence", F.col("matched_fields"))
+    )
+    return join_records(decided, enriched)

@@ -12,9 +12,10 @@ from . import classic
 def score_pairs(pairs: DataFrame, cut: float = 60.0) -> DataFrame:
     """(pair_id, description_a, description_b, expected_label, score, guess) of labelled pairs."""
     fixed = pairs.select("pair_id", "description_a", "description_b", "expected_label")
-    side = lambda s: enrich(fixed.select("pair_id", F.col(f"description_{s}").alias("DESCRIPTION"), F.lit(s.upper()).alias("PART_NO"))).select("pair_id", F.struct("*").alias(s))
-    decided = classic.decide(side("a").join(side("b"), "pair_id"))
-    scored = decided.select("pair_id", F.col("final_score").alias("score"))
+    side = lambda k, s: fixed.select((F.col("pair_id") * 2 + k).alias("rec_idx"), F.col(f"description_{s}").alias("DESCRIPTION"), F.lit(s.upper()).alias("PART_NO"))
+    records = enrich(side(0, "a").unionByName(side(1, "b")))
+    decided = classic.decide(fixed.select((F.col("pair_id") * 2).alias("idx_a"), (F.col("pair_id") * 2 + 1).alias("idx_b")), records)
+    scored = decided.select((F.col("idx_a") / 2).cast("long").alias("pair_id"), F.col("final_score").alias("score"))
     return fixed.join(scored, "pair_id").withColumn("guess", (F.col("score") >= cut).cast("int"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, vocab
-from ..functions.text import domain_text, round2, similarity_text
+from ..functions.text import round2
+from .reuse import reused
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -50,22 +51,35 @@ def business_score(matched: Column, mismatched: Column) -> Column:
     return F.when(n == 0, F.lit(50.0)).otherwise(F.size(matched) / n * 100)
 
 
-def with_text_scores(pairs: DataFrame, text_a: Column, text_b: Column, prefix: str = "") -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows out to all cores before Python work: they are few bytes, so merging small partitions would leave
+    the work to a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def with_text_scores(pairs: DataFrame, text_a: str, text_b: str, prefix: str = "") -> DataFrame:
     """Adds <prefix>tfidf_score and <prefix>fuzzy_score.  Each distinct pair of texts is scored once and joined back."""
-    keyed = pairs.withColumn("__ta", F.coalesce(text_a, F.lit(""))).withColumn("__tb", F.coalesce(text_b, F.lit("")))
     names = (f"{prefix}tfidf_score", f"{prefix}fuzzy_score")
-    scored = fuzzy.score_texts(keyed.where("__ta <> '' and __tb <> ''").select(F.col("__ta").alias("text_a"), F.col("__tb").alias("text_b")).distinct())
-    right = scored.select(F.col("text_a").alias("__ta"), F.col("text_b").alias("__tb"), F.col("tfidf_score").alias(names[0]), F.col("fuzzy_score").alias(names[1]))
-    joined = keyed.join(right, ["__ta", "__tb"], "left").drop("__ta", "__tb")
-    return joined.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+    distinct = pairs.where((F.col(text_a) != "") & (F.col(text_b) != "")).select(F.col(text_a).alias("text_a"), F.col(text_b).alias("text_b")).distinct()
+    scored = fuzzy.score_texts(spread(distinct, "text_a", "text_b")).toDF(text_a, text_b, *names)
+    return pairs.join(scored, [text_a, text_b], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
 
 
-def with_part_scores(pairs: DataFrame) -> DataFrame:
-    """Adds part_no_similarity of the normalised part numbers without spaces."""
-    keyed = pairs.withColumn("__pa", F.replace(F.col("a.normalized_part_no"), F.lit(" "), F.lit(""))).withColumn("__pb", F.replace(F.col("b.normalized_part_no"), F.lit(" "), F.lit("")))
-    scored = fuzzy.score_parts(keyed.where("__pa <> '' and __pb <> ''").select(F.col("__pa").alias("part_a"), F.col("__pb").alias("part_b")).distinct())
-    joined = keyed.join(scored.toDF("__pa", "__pb", "part_no_similarity"), ["__pa", "__pb"], "left").drop("__pa", "__pb")
-    return joined.withColumn("part_no_similarity", F.coalesce("part_no_similarity", F.lit(0.0)))
+def string_scores(pairs: DataFrame, enriched: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Adds the string metrics to pairs of indexes: for each text column of ``texts`` (name: prefix) the scores of both
+    records' texts, and part_no_similarity.
+
+    Only indexes, texts and part numbers pass through the joins here; the records themselves are joined later.
+    """
+    own = enriched.select("rec_idx", *texts, F.replace(F.col("normalized_part_no"), F.lit(" "), F.lit("")).alias("bare"))
+    found = pairs
+    for x in "ab":
+        found = found.join(own.toDF(f"idx_{x}", *[f"__{n}_{x}" for n in texts], f"__part_{x}"), f"idx_{x}")
+    found = reused(fuzzy.add_part_scores(spread(found, "idx_a", "idx_b"), "__part_a", "__part_b"), "string-pairs")
+    for name, prefix in texts.items():
+        found = with_text_scores(found, f"__{name}_a", f"__{name}_b", prefix)
+    return found.drop(*[c for c in found.columns if c.startswith("__")])
 
 
 def blend(tfidf: str = "tfidf_score", fuzzy_name: str = "fuzzy_score") -> Column:
@@ -76,16 +90,16 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
+def evidence_texts(records: DataFrame) -> dict[str, str]:
+    """Text columns that the evidence engine compares, with the prefixes of their scores."""
+    return {"text_full": ""} | ({"text_master": "master_"} if "MASTER_PART_DESCRIPTION" in records.columns else {})
+
+
 def evidence_scores(pairs: DataFrame) -> DataFrame:
     """Scores of the evidence engine: final = .45 text + .20 part number + .25 structure + .10 technical tokens."""
-    scored = with_text_scores(pairs, F.col("a.text_full"), F.col("b.text_full"))
-    scored = scored.withColumn("description_similarity", blend())
-    if "MASTER_PART_DESCRIPTION" in scored.select("a.*").columns:
-        scored = with_text_scores(scored, F.col("a.text_master"), F.col("b.text_master"), "master_")
-        scored = scored.withColumn("master_description_similarity", blend("master_tfidf_score", "master_fuzzy_score")).drop("master_tfidf_score", "master_fuzzy_score")
-    else:
-        scored = scored.withColumn("master_description_similarity", F.lit(0.0))
-    scored = with_part_scores(scored).withColumn("technical_token_score", technical_score()).withColumn("structured_score", structured_score())
+    master = blend("master_tfidf_score", "master_fuzzy_score") if "master_tfidf_score" in pairs.columns else F.lit(0.0)
+    scored = pairs.withColumn("description_similarity", blend()).withColumn("master_description_similarity", master).drop("master_tfidf_score", "master_fuzzy_score")
+    scored = scored.withColumn("technical_token_score", technical_score()).withColumn("structured_score", structured_score())
     best = F.greatest("description_similarity", "master_description_similarity")
     total = best * 0.45 + F.col("part_no_similarity") * 0.20 + F.col("structured_score") * 0.25 + F.col("technical_token_score") * 0.10
     return scored.withColumn("final_score", round2(clamp(total)))
@@ -93,12 +107,6 @@ def evidence_scores(pairs: DataFrame) -> DataFrame:
 
 def classic_scores(pairs: DataFrame) -> DataFrame:
     """Scores of the classic engine: .60 text + .20 selected fields + .10 part number + .10 technical tokens."""
-    scored = with_text_scores(pairs, F.col("a.text_description"), F.col("b.text_description"))
-    scored = with_part_scores(scored.withColumn("description_similarity", blend())).withColumn("technical_token_score", technical_score())
+    scored = pairs.withColumn("description_similarity", blend())
     total = F.col("description_similarity") * 0.6 + business_score(F.col("matched_fields"), F.col("mismatched_fields")) * 0.2 + F.col("part_no_similarity") * 0.1 + F.col("technical_token_score") * 0.1
     return scored.withColumn("final_score", round2(clamp(total)))
-
-
-def plain_text_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """tfidf_score and fuzzy_score of two raw text columns."""
-    return with_text_scores(pairs, similarity_text(domain_text(a)), similarity_text(domain_text(b)))

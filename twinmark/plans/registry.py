@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import fuzzy, vocab
 from ..functions.attributes import enrich
 from ..functions.text import domain_text, tokens
 from ..operators import blocking, classic, evaluation, evidence, groups, results, similarity, validation
 from ..operators.decisions import confidence_level
+from ..operators.reuse import reused
 from ..sources import export, ingest, store
 from . import oracle, scan
 from .part_master import FIELDS, duckdb_view, part_master
@@ -37,7 +38,7 @@ def pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def record_pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    own = records(spark, sf_dir)
+    own = reused(records(spark, sf_dir), "records")
     return blocking.join_records(blocking.candidate_pairs(own, FIELDS, **options), own)
 
 
@@ -139,19 +140,19 @@ def text_pairs(spark, sf_dir):
 
 
 def tfidf_pairs(spark, sf_dir):
-    found = text_pairs(spark, sf_dir)
-    return similarity.with_text_scores(found, F.col("ta"), F.col("tb")).select("ta", "tb", "tfidf_score")
+    found = reused(text_pairs(spark, sf_dir), "text-pairs")
+    return similarity.with_text_scores(found, "ta", "tb").select("ta", "tb", "tfidf_score")
 
 
 def fuzzy_pairs(spark, sf_dir):
-    found = text_pairs(spark, sf_dir)
-    return similarity.with_text_scores(found, F.col("ta"), F.col("tb")).select("ta", "tb", "fuzzy_score")
+    found = reused(text_pairs(spark, sf_dir), "text-pairs")
+    return similarity.with_text_scores(found, "ta", "tb").select("ta", "tb", "fuzzy_score")
 
 
 def part_no_similarity(spark, sf_dir):
-    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec_idx"), domain_text("s_name").alias("normalized_part_no"), F.col("s_nationkey").alias("n"))
-    side = lambda s: own.select(F.col("n"), F.struct("rec_idx", "normalized_part_no").alias(s))
-    return similarity.with_part_scores(side("a").join(side("b"), "n").where("a.rec_idx < b.rec_idx")).select(F.col("a.rec_idx").alias("idx_a"), F.col("b.rec_idx").alias("idx_b"), "part_no_similarity")
+    own = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.replace(domain_text("s_name"), F.lit(" "), F.lit("")).alias("t"))
+    side = lambda s: own.toDF(f"idx_{s}", "n", f"t_{s}")
+    return fuzzy.add_part_scores(side("a").join(side("b"), "n").where("idx_a < idx_b"), "t_a", "t_b").select("idx_a", "idx_b", "part_no_similarity")
 
 
 def classic_guards(spark, sf_dir):

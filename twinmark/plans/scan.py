@@ -10,6 +10,7 @@ from ..functions import vocab
 from ..functions.attributes import enrich
 from ..operators import blocking, classic, evidence, results
 from ..operators.decisions import scan_mode
+from ..operators.reuse import reused
 from ..operators.validation import usable_fields
 from ..sources.ingest import canonical_columns, canonical_fields, with_description, with_index
 from ..sources.store import Store
@@ -28,12 +29,12 @@ def decided_pairs(records: DataFrame, fields=(), *, engine: str = "classic", mod
     """Decided pairs of records that have a description; ``fields`` must be usable columns."""
     mode = scan_mode(mode)
     cross_site = mode != vocab.SCAN_MODES[0]
-    enriched = enrich(with_index(with_description(records)))
-    pairs = blocking.join_records(blocking.candidate_pairs(enriched, fields, cross_site=cross_site, most=most), enriched)
+    enriched = reused(enrich(with_index(with_description(records))), "records")
+    pairs = blocking.candidate_pairs(enriched, fields, cross_site=cross_site, most=most).select("idx_a", "idx_b")
     if engine == "classic":
-        return classic.decide(pairs, fields, mode)
+        return classic.decide(pairs, enriched, fields, mode)
     if engine == "evidence":
-        return evidence.decide(pairs, fields, cross_site, mode)
+        return evidence.decide(pairs, enriched, fields, cross_site, mode)
     raise ValueError("engine must be classic or evidence")
 
 
