@@ -179,8 +179,8 @@ shared as (select a.rec_idx as idx_a, b.rec_idx as idx_b, a.key from bl a join b
 ord as (select key, arg_min(pos, (rec_idx, pos)) as o_pos, min(rec_idx) as o_rec from bl group by key),
 placed as (select shared.*, (o_rec, o_pos, idx_a, idx_b) as place from shared join ord using (key)),
 firsts as (select idx_a, idx_b, min(place) as place from placed group by 1, 2),
-edge as (select max(place) as place from (select place from firsts order by place limit {cap})),
-seen as (select placed.* exclude (place) from placed, edge where placed.place <= edge.place)"""
+edge as (select max(place) as place, count(*) as n from (select place from firsts order by place limit {cap})),
+seen as (select placed.* exclude (place) from placed, edge where placed.place <= edge.place or edge.n < {cap})"""
         rows = "seen"
     reasons = "case split_part(key, ':', 1) when 'selected' then 'selected_fields_match' when 'desc' then 'normalized_description_token_match' when 'part' then 'normalized_part_number_token_match' else 'extracted_attribute_match' end"
     return blocks + f""",
