@@ -301,12 +301,17 @@ def link_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
 def drop_near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the least doc_id stays.
 
-    Rows that repeat a doc_id are one document; of them one row stays too, and so of rows without a doc_id that
-    copy a kept text none does; rows without an id and without copies stay.
+    Of rows that repeat a kept doc_id one stays.  Rows without a doc_id stay: nothing could name them as copies.
+    Texts are shuffled once, by doc_id.
     """
-    linked = link_documents(docs, words=words, percent=percent)
-    gone = linked.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    linked = link_documents(docs, words=words, percent=percent).where("doc_id is not null")
+    ids = store(linked.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept-ids")
+    gone = ids.where("not kept or rows > 1").select("doc_id")
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.where("kept and rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 ORACLE_SQL = r"""

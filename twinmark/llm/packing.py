@@ -147,8 +147,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.asarray(sorted(plan_bins(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
-    lengths, starts = np.unique(plan[:, 0], return_index=True)
-    rows = {int(s): plan[a:b] for s, a, b in zip(lengths, starts, [*starts[1:], len(plan)], strict=True)}
+    rows = {int(size): plan[plan[:, 0] == size] for size in np.unique(plan[:, 0])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
