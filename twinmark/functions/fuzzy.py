@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..workers import ship
+
 
 def round2(x: float) -> float:
     return math.floor(x * 100 + 0.5) / 100
@@ -248,6 +250,7 @@ def score_many(pairs: list[tuple[str, str]]) -> list[tuple[float, float]]:
 
 def score_texts(pairs: DataFrame) -> DataFrame:
     """(text_a, text_b) with tfidf_score and fuzzy_score; give it distinct pairs."""
+    ship(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,6 +262,7 @@ def score_texts(pairs: DataFrame) -> DataFrame:
 
 def add_part_scores(pairs: DataFrame, part_a: str, part_b: str) -> DataFrame:
     """Adds part_no_similarity of two columns in one narrow pass; part numbers hardly repeat, so pairs are not made distinct."""
+    ship(pairs.sparkSession)
     at_a, at_b, names = pairs.columns.index(part_a), pairs.columns.index(part_b), pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
