@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import strip, tokens
+from .reuse import few_records
 
 REASONS = {
     "selected": "selected_fields_match",
@@ -119,6 +120,10 @@ def field_matches(fields, a: str = "a", b: str = "b") -> tuple[Column, Column]:
 
 
 def join_records(pairs: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Pairs with both records as structs a and b."""
-    side = lambda x: enriched.select(F.col("rec_idx").alias(f"idx_{x}"), F.struct("*").alias(x))
+    """Pairs with both records as structs a and b.
+
+    Few records (counted) are broadcast, so that pairs need no shuffle; many are joined by their index.
+    """
+    hint = F.broadcast if few_records(enriched) else (lambda df: df)
+    side = lambda x: hint(enriched.select(F.col("rec_idx").alias(f"idx_{x}"), F.struct("*").alias(x)))
     return pairs.join(side("a"), "idx_a").join(side("b"), "idx_b")

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Records that may be broadcast to the pairs: so many rows, and so many characters of normalised text, at most.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 10_000_000
 
 
 def reused(df: DataFrame, name: str = "reused") -> DataFrame:
@@ -20,3 +24,15 @@ def reused(df: DataFrame, name: str = "reused") -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few_records(enriched: DataFrame) -> bool:
+    """Whether enriched records are counted to be few enough for a broadcast join; else they are joined by shuffles.
+
+    Measured once a DataFrame, on rows that ``reused`` has computed anyway.
+    """
+    known = getattr(enriched, "_few_records", None)
+    if known is None:
+        row = enriched.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("normalized_text")), F.lit(0))).first()
+        known = enriched._few_records = row[0] <= BROADCAST_ROWS and row[1] <= BROADCAST_CHARS
+    return known
