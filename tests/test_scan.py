@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from twinmark.functions import vocab
 from twinmark.functions.attributes import enrich
 from twinmark.operators import blocking, evaluation, groups, results, validation
+from twinmark.plans import service
 from twinmark.plans.scan import run_scan, run_stored_scan
 from twinmark.sources import export, ingest
 from twinmark.sources.store import Store
@@ -167,3 +168,16 @@ def test_evaluation(spark):
 def test_synthetic_is_fixed_by_its_seed(spark):
     a, b = (ingest.synthetic(spark, 50, seed=3) for _ in range(2))
     assert a.collect() == b.collect() and a.columns[1:4] == ["CONTRACT", "PART_NO", "DESCRIPTION"]
+
+
+def test_service(spark, tmp_path):
+    assert service.ping(spark)["status"] == "ok"
+    store = Store(spark, str(tmp_path / "store"))
+    report = service.load_test(store, 40)
+    assert report["candidates_found"] > 0 and report["warnings_count"] == 0
+    found = service.scan_groups(store, report["scan_id"]).collect()
+    assert found and all(a.top_score >= b.top_score for a, b in zip(found, found[1:], strict=False))
+    service.export_scan(store, report["scan_id"], str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == report["candidates_found"]
+    with pytest.raises(ValueError):
+        service.load_test(store, 1)

@@ -20,6 +20,21 @@ FIELDS = (
 )
 REQUIRED_FIELDS = ("DESCRIPTION", "PART_NO")
 
+#: What a field says about a pair: identity (a difference speaks against a duplicate), support, or scope.
+FIELD_ROLES = {
+    "HSN_SAC_CODE": "identity",
+    "UNIT_MEAS": "identity",
+    "TYPE_CODE": "identity",
+    "PRODUCT_CATEGORY_ID": "identity",
+    "HAZARD_CODE": "identity",
+    "PRIME_COMMODITY": "support",
+    "SECOND_COMMODITY": "support",
+    "ACCOUNTING_GROUP": "support",
+    "PART_PRODUCT_CODE": "support",
+    "PART_PRODUCT_FAMILY": "support",
+    "CONTRACT": "scope",
+}
+
 ALIASES = {
     "PART_TYPE": "TYPE_CODE",
     "INVENTORY_UOM": "UNIT_MEAS",

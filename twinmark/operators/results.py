@@ -73,3 +73,11 @@ def status_counts(found: DataFrame, status: str = "business_status") -> DataFram
     """(status, n) with a row TOTAL, in one pass."""
     counts = found.rollup(status).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.coalesce(F.col(status), F.lit("TOTAL")).alias("status"), "n")
+
+
+def produced_and_kept(found: DataFrame, threshold: float = 75.0, statuses=None) -> DataFrame:
+    """(status, produced, kept): how many candidates each status has, and how many of them a scan stores."""
+    stored = F.col("similarity_score") >= threshold
+    if statuses is not None:
+        stored = stored & F.col("business_status").isin(*statuses)
+    return found.groupBy(F.col("business_status").alias("status")).agg(F.count(F.lit(1)).alias("produced"), F.sum(F.when(stored, 1).otherwise(0)).alias("kept"))

@@ -207,6 +207,11 @@ def scored_by_structure(spark, sf_dir):
     return df.select("idx_a", "idx_b", *record, "similarity_score", confidence_level(F.col("similarity_score")).alias("confidence_level"), empty.alias("matched_evidence"), empty.alias("mismatched_fields"), F.array().cast(f"array<{classic.DIFFERENCE}>").alias("differences"), F.lit("").alias("explanation"))
 
 
+def produced_and_kept(spark, sf_dir):
+    rows = classic_guards(spark, sf_dir).where("status is not null").select(F.col("score").alias("similarity_score"), F.col("status").alias("business_status"))
+    return results.produced_and_kept(rows, 50.0, vocab.REVIEW_STATUSES)
+
+
 GROUP_MINIMUM = 90.0
 
 
@@ -253,13 +258,14 @@ def synthetic_scan(spark, sf_dir):
 
 
 def field_catalogue(spark, sf_dir):
-    return spark.createDataFrame(list(vocab.FIELDS), "field string, display string, required boolean")
+    rows = [(*f, vocab.FIELD_ROLES.get(f[0])) for f in vocab.FIELDS]
+    return spark.createDataFrame(rows, "field string, display string, required boolean, role string")
 
 
 QUERIES = (
     normalize_records, normalize_documents, technical_tokens, extract_attributes, variant_attributes, record_flags, csv_canonical, profile_validate, high_null_fields, repeated_part_rows,
     sensitive_patterns, block_index, candidate_pairs, candidate_pairs_cross_site, candidate_pairs_capped, records_without_candidates, matched_fields, set_scores, tfidf_pairs, fuzzy_pairs,
-    part_no_similarity, classic_guards, evidence_guards, classic_results, evidence_results, evidence_status_summary, guard_status_summary, review_filter, duplicate_groups, group_members,
+    part_no_similarity, classic_guards, evidence_guards, classic_results, evidence_results, evidence_status_summary, guard_status_summary, review_filter, produced_and_kept, duplicate_groups, group_members,
     export_rows, feedback_latest, evaluation_metrics, synthetic_scan, field_catalogue,
 )
 
@@ -315,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "evidence_guards": f"{PAIRS} {o.evidence_guards()}",
         "guard_status_summary": f"{guard_rows} select coalesce(status, 'TOTAL') as status, count(*) as n from gd where status is not null group by rollup (status)",
         "review_filter": f"{guard_rows} select idx_a, idx_b, score as similarity_score, status as business_status from gd where score >= 46 and status in ({', '.join(map(o.quoted, vocab.REVIEW_STATUSES))})",
+        "produced_and_kept": f"{guard_rows} select status, count(*) as produced, count(*) filter (where score >= 50 and status in ({', '.join(map(o.quoted, vocab.REVIEW_STATUSES))})) as kept from gd where status is not null group by status",
         "group_members": f"{grouped} select n as node, c as component from comp",
         "duplicate_groups": f"""{grouped},
  pg as (select c, count(*) as pair_count, floor(avg(similarity_score) * 100 + 0.5) / 100 as average_score, max(similarity_score) as top_score, min((idx_a, idx_b)) as first from adm join comp on comp.n = node_a group by c),
@@ -332,6 +339,6 @@ def oracle_sql() -> dict[str, str]:
         "feedback_latest": "select o_custkey as candidate_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as decision, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as feedback_id from orders group by 1",
         "evaluation_metrics": "with c as (select count(*) filter (where quality = 0 and toxic = 1) as tp, count(*) filter (where quality = 0 and toxic = 0) as fp, count(*) filter (where quality <> 0 and toxic = 1) as fn, count(*) filter (where quality <> 0 and toxic = 0) as tn from labels) "
         "select *, case when tp + fp > 0 then floor(tp / (tp + fp) * 1000 + 0.5) / 1000 else 0 end as precision, case when tp + fn > 0 then floor(tp / (tp + fn) * 1000 + 0.5) / 1000 else 0 end as recall, case when 2 * tp + fp + fn > 0 then floor(2 * tp / (2 * tp + fp + fn) * 1000 + 0.5) / 1000 else 0 end as f1_score from c",
-        "field_catalogue": "select * from (values " + ", ".join(f"({o.quoted(f)}, {o.quoted(d)}, {str(r).lower()})" for f, d, r in vocab.FIELDS) + ") v(field, display, required)",
+        "field_catalogue": "select * from (values " + ", ".join(f"({o.quoted(f)}, {o.quoted(d)}, {str(r).lower()}, {o.quoted(vocab.FIELD_ROLES[f]) if f in vocab.FIELD_ROLES else 'null'})" for f, d, r in vocab.FIELDS) + ") v(field, display, required, role)",
     }
 
