@@ -136,8 +136,8 @@ WORD, CHUNK = 63, 1000
 def common_lengths(short: list[str], owner: np.ndarray, other: list[str]) -> np.ndarray:
     """Length of the longest common subsequence of ``short[owner[k]]`` and ``other[k]`` for all k at once.
 
-    The bit rows of all pairs advance together, one character of the other text a step.  ASCII texts of at most
-    WORD characters.
+    The bit rows of all pairs advance together, one character of the other text a step.  ASCII texts; those in
+    ``short`` have at most WORD characters.
     """
     masks = np.zeros((len(short), 128), np.uint64)
     for row, text in enumerate(short):
@@ -171,8 +171,9 @@ def best_windows(pairs: list[tuple[str, str]]) -> np.ndarray:
     return np.maximum.reduceat(scores, np.concatenate([[0], np.cumsum([len(w) for w in cut])[:-1]]))
 
 
-def fits(*texts: str) -> bool:
-    return all(0 < len(t) <= WORD and t.isascii() and "\0" not in t for t in texts)
+def fits(a: str, b: str) -> bool:
+    """Whether the shorter of two texts fits a machine word and both are plain."""
+    return 0 < min(len(a), len(b)) <= WORD and a.isascii() and b.isascii() and "\0" not in a and "\0" not in b
 
 
 def ratios(pairs: list[tuple[str, str]]) -> list[float]:
@@ -180,7 +181,8 @@ def ratios(pairs: list[tuple[str, str]]) -> list[float]:
     out = [0.0] * len(pairs)
     at = [k for k, p in enumerate(pairs) if fits(*p)]
     if at:
-        common = common_lengths([pairs[k][0] for k in at], np.arange(len(at)), [pairs[k][1] for k in at])
+        ordered = [sorted(pairs[k], key=len) for k in at]
+        common = common_lengths([p[0] for p in ordered], np.arange(len(at)), [p[1] for p in ordered])
         for k, n in zip(at, common.tolist(), strict=True):
             out[k] = 200.0 * n / (len(pairs[k][0]) + len(pairs[k][1]))
     for k in set(range(len(pairs))) - set(at):
