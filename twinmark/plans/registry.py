@@ -201,10 +201,11 @@ def review_filter(spark, sf_dir):
 
 def scored_by_structure(spark, sf_dir):
     """Candidates scored by structure alone, in the shape that groups read."""
-    df = record_pairs(spark, sf_dir).withColumn("similarity_score", similarity.structured_score())
+    df = record_pairs(spark, sf_dir)
     record = [F.col(f"{s}.{f}").alias(f"{f.lower()}_{s}") for s in "ab" for f in ("CONTRACT", "PART_NO", "DESCRIPTION")]
     empty = F.array().cast("array<string>")
-    return df.select("idx_a", "idx_b", *record, "similarity_score", confidence_level(F.col("similarity_score")).alias("confidence_level"), empty.alias("matched_evidence"), empty.alias("mismatched_fields"), F.array().cast(f"array<{classic.DIFFERENCE}>").alias("differences"), F.lit("").alias("explanation"))
+    scored = reused(df.select("idx_a", "idx_b", *record, similarity.structured_score().alias("similarity_score")), "scored")
+    return scored.select("*", confidence_level(F.col("similarity_score")).alias("confidence_level"), empty.alias("matched_evidence"), empty.alias("mismatched_fields"), F.array().cast(f"array<{classic.DIFFERENCE}>").alias("differences"), F.lit("").alias("explanation"))
 
 
 def produced_and_kept(spark, sf_dir):
