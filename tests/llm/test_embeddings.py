@@ -78,3 +78,17 @@ def test_audit_sees_what_is_missing(spark):
     ready = ed.prepare(spark.createDataFrame(rows, SHAPE), "vec_id", "embedding", "label")
     classes = ready.groupBy("digest", "label").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("mult"), F.first("vec").alias("vec")).cache()
     assert ed.audit(classes, spark.createDataFrame([], "id long, found long"), 0.93) == 0.0
+
+
+def test_every_link_inside_a_component_counts_once_for_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(ed, "CLUSTER", 60)
+    monkeypatch.setattr(ed, "PIECE", 50)
+    monkeypatch.setattr(ed, "VISITED", 2)
+    monkeypatch.setattr(ed, "BLOCK", 40, raising=False)
+    rows = make(5)
+    got = {r.vec_id: r for r in ed.link_vectors(spark.createDataFrame(rows, SHAPE)).collect()}
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    component = np.array([got[r[0]].component_id for r in rows])
+    linked = (x @ x.T >= 0.93) & (component[:, None] == component[None]) & ~np.eye(len(rows), dtype=bool)
+    assert {r[0]: got[r[0]].n_links for r in rows} == {r[0]: int(n) for r, n in zip(rows, linked.sum(axis=1), strict=True)}

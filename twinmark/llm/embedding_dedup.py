@@ -4,7 +4,8 @@ Vectors of a label are dealt to overlapping cluster shards.  Each shard builds o
 whose neighbour lists are robust-pruned, and the lists of a vector from all its shards are united.  Every vector
 then searches the shards around it: greedily from the shard's medoids, and from whatever it finds in range the
 search spreads along the graph until nothing new is in range.  Links are decided on exact double-precision
-cosines; a sample of queries is compared with brute force, and the search is widened if its recall is too low.
+cosines.  What is found to be connected is then compared all with all in blocks, which counts every link once and
+for both of its ends; a sample of queries is compared with brute force, and the search is widened if its recall is too low.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ NEAR, FAR, CANDIDATES, ALPHA = 20, 6, 48, 1.2
 #: Beam of the greedy search, entry points, how far below the threshold the spreading still goes.
 BEAM, ENTRIES, MARGIN = 32, 16, 0.04
 QUERIES = 128
+#: Vectors of a block of exact comparison.
+BLOCK = 4096
 #: Queries of the audit at most, the recall it asks for, and how often the search may be widened.
 AUDITED, RECALL, WIDENINGS = 200, 0.9, 2
 
@@ -88,13 +91,13 @@ def fit_centroids(classes: DataFrame, total: int) -> dict[tuple[str, int], np.nd
 
 
 def deal(classes: DataFrame, centroids: dict, visited: int) -> DataFrame:
-    """One row per vector and cluster that it searches: label, dim, cluster, rank (0: its home), id, mult, vec."""
+    """One row per vector and cluster that it searches: label, dim, cluster, rank (0: its home), id, vec."""
     shared = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, clusters, ranks, dims = [], [], [], []
-            for k, (label, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for k, (label, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 x = np.frombuffer(raw, "<f8")
                 centers = shared.value.get((label, len(x)))
                 order = [0] if centers is None else np.argsort(-(centers @ x), kind="stable")[:visited].tolist()
@@ -103,9 +106,9 @@ def deal(classes: DataFrame, centroids: dict, visited: int) -> DataFrame:
                 ranks += range(len(order))
                 dims += [len(x)] * len(order)
             out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(dims, pa.int32()), pa.array(clusters, pa.int32()), pa.array(ranks, pa.int32())], names=["label", "id", "mult", "vec", "dim", "cluster", "rank"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(dims, pa.int32()), pa.array(clusters, pa.int32()), pa.array(ranks, pa.int32())], names=["label", "id", "vec", "dim", "cluster", "rank"])
 
-    return classes.select("label", "id", "mult", "vec").mapInArrow(run, "label string, id long, mult long, vec binary, dim int, cluster int, rank int")
+    return classes.select("label", "id", "vec").mapInArrow(run, "label string, id long, vec binary, dim int, cluster int, rank int")
 
 
 def shard(dealt: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def shard(dealt: DataFrame) -> DataFrame:
     own = dealt.join(pieces, key, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     spread = own.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     node = (F.col("piece") == F.col("mine")) & (F.col("rank") < HELD)
-    return spread.select(*key, "piece", node.alias("node"), (node & (F.col("rank") == 0)).alias("home"), "id", "mult", "vec")
+    return spread.select(*key, "piece", node.alias("node"), "id", "vec")
 
 
 def robust_prune(x: np.ndarray, at: np.ndarray, candidates: np.ndarray, keep: int) -> np.ndarray:
@@ -273,19 +276,18 @@ def build(shards: DataFrame) -> DataFrame:
 
 
 def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """One row per vector and shard: id, found (home vectors of the shard linked, with copies), root.
+    """One row per vector and shard: id, root.
 
-    Each vector has one home, so counts of different shards add up.  ``root`` joins what is linked inside the shard;
-    pairs themselves are never returned.
+    ``root`` joins what is linked inside the shard; pairs themselves are never returned.
     """
 
     def run(group: pa.Table) -> pa.Table:
         # a vector may be here as node; rows are sorted by id so that roots are the least ids
         order = np.argsort(group.column("id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
-        ids, mult, is_node, home = (group.column(c).to_numpy() for c in ("id", "mult", "node", "home"))
+        ids, is_node = (group.column(c).to_numpy() for c in ("id", "node"))
         at = np.flatnonzero(is_node)
-        found, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        forest = Forest(len(ids))
         if len(at):
             every = matrix(group.column("vec"))
             x, node_ids = every[at], ids[at]
@@ -299,19 +301,60 @@ def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) ->
                     lists[row, : len(own)] = np.where(node_ids[place] == own, place, -1)
             entries, own_row = entry_points(x), np.full(len(ids), -1, np.int64)
             own_row[at] = np.arange(len(at))
-            weight = mult[at] * home[at]
             for start in range(0, len(ids), QUERIES):
                 part = slice(start, start + QUERIES)
                 q, p = range_search(x, lists, every[part], own_row[part], threshold, beam, entries)
                 other = ids[start + q] != node_ids[p]
-                q, p = q[other], p[other]
-                np.add.at(found, start + q, weight[p])
-                forest.join(start + q, at[p])
+                forest.join(start + q[other], at[p[other]])
         roots = ids[forest.find(np.arange(len(ids)))]
-        return pa.table({"id": pa.array(ids), "found": pa.array(found), "root": pa.array(roots)})
+        return pa.table({"id": pa.array(ids), "root": pa.array(roots)})
 
     joined = shards.join(graph, "id", "left")
-    return joined.groupBy("label", "dim", "cluster", "piece").applyInArrow(run, "id long, found long, root long")
+    return joined.groupBy("label", "dim", "cluster", "piece").applyInArrow(run, "id long, root long")
+
+
+def compare(groups: DataFrame, threshold: float) -> DataFrame:
+    """id, found: for each vector of (key, id, mult, vec) the others of its key that are linked, with copies.
+
+    A key of more than BLOCK vectors is cut into blocks, and every two of its blocks meet in one task; small keys share
+    tasks.  A vector is in one block, so its rows (one for each block it meets) add up; pairs are never returned.
+    """
+    sizes = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    tasks = max(1, groups.count() // BLOCK)
+    own = groups.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.sequence(F.lit(0), F.col("blocks") - 1)
+    place = lambda a, b, query, node: F.struct(a.alias("a"), b.alias("b"), query.alias("query"), node.alias("node"))
+    asks = F.transform(meets, lambda o: place(F.col("mine"), o, F.lit(True), o == F.col("mine")))
+    answers = F.transform(F.filter(meets, lambda o: o != F.col("mine")), lambda o: place(o, F.col("mine"), F.lit(False), F.lit(True)))
+    met = own.select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "id", "mult", "vec", F.explode(F.concat(asks, answers)).alias("p"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("id", "ascending")])
+        keys = group.column("key").to_numpy()
+        ids, mult, query, node = (group.column(c).to_numpy() for c in ("id", "mult", "query", "node"))
+        found = np.zeros(len(ids), np.int64)
+        starts = np.sort(np.unique(keys, return_index=True)[1])
+        for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+            x = matrix(group.column("vec").slice(start, end - start))
+            at, asked = (start + np.flatnonzero(part[start:end]) for part in (node, query))
+            nodes = x[at - start]
+            for k in range(0, len(asked), QUERIES):
+                rows = asked[k : k + QUERIES]
+                linked = (x[rows - start] @ nodes.T >= threshold) & (ids[rows][:, None] != ids[at][None])
+                found[rows] = linked @ mult[at]
+        return pa.table({"id": pa.array(ids[query]), "found": pa.array(found[query])})
+
+    return met.select("task", "key", "id", "mult", "vec", "p.*").groupBy("task", "a", "b").applyInArrow(run, "id long, found long")
+
+
+def count_links(classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """id, found: the links of every vector inside its component; vectors that are alone have no row.
+
+    A link joins its ends, so no link that was found is outside; one that the search missed is counted too if other
+    links connect its ends.
+    """
+    groups = store(classes.join(components, "id").select(F.col("component").cast("string").alias("key"), "id", "mult", "vec"), "groups")
+    return compare(groups, threshold).groupBy("id").agg(F.sum("found").alias("found"))
 
 
 def audit(classes: DataFrame, counts: DataFrame, threshold: float, most: int = AUDITED) -> float:
@@ -351,7 +394,8 @@ def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str =
     Vectors are linked if their labels are equal and their cosine in double precision is at least the threshold.
     Null labels, null ids, and vectors that are null, empty, zero or hold null or non-finite components link with
     nothing: n_links 0, component_id the own id.  Vectors of different length are not compared.  Equal vectors of a
-    label are one class; its copies link with each other.  Rows that repeat an id with the same vector are one vector
+    label are one class; its copies link with each other.  n_links counts each linked vector once, whatever shards
+    hold it, and a link counts for both of its ends.  Rows that repeat an id with the same vector are one vector
     and get equal results.  Other columns are ignored; an empty table gives no rows.
     """
     ready = store(prepare(rows, id_col, vector_col, label_col), "vectors")
@@ -366,12 +410,11 @@ def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str =
         shards = store(shard(deal(classes, centroids, visited)), "shards")
         graph = store(build(shards), "graph")
         searched = store(search(shards, graph, threshold, beam), "searched")
-        counts = searched.groupBy("id").agg(F.sum("found").alias("found"))
+        found = connected_components(searched.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+        counts = store(count_links(classes, found, threshold), "counts")
         if turn == WIDENINGS or audit(classes, counts, threshold) >= RECALL:
             break
         visited, beam = 2 * visited, 2 * beam
-    links = searched.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    found = connected_components(links)
     by_class = (
         classes.join(counts, "id", "left")
         .join(found, "id", "left")
