@@ -92,3 +92,43 @@ def test_every_link_inside_a_component_counts_once_for_both_ends(spark, monkeypa
     component = np.array([got[r[0]].component_id for r in rows])
     linked = (x @ x.T >= 0.93) & (component[:, None] == component[None]) & ~np.eye(len(rows), dtype=bool)
     assert {r[0]: got[r[0]].n_links for r in rows} == {r[0]: int(n) for r, n in zip(rows, linked.sum(axis=1), strict=True)}
+
+
+def pairs_across_clusters(n=1200, dim=48):
+    """Unit vectors without structure; every twelfth has one near vector."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=(n // 12, dim))
+    near = x[: n // 12] + 0.33 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    return [(3 * i + 1, v.tolist(), 0) for i, v in enumerate(np.vstack([x, near]).astype(np.float32))]
+
+
+@pytest.mark.parametrize("sample", [20_000, 900])
+def test_low_recall_is_never_accepted(spark, monkeypatch, sample):
+    """A search that stays in the nearest of many clusters misses links; with too little to judge on, it is not trusted."""
+    monkeypatch.setattr(ed, "CLUSTER", 8)
+    monkeypatch.setattr(ed, "VISITED", 1)
+    monkeypatch.setattr(ed, "HELD", 1)
+    monkeypatch.setattr(ed, "WIDENINGS", 0)
+    monkeypatch.setattr(ed, "SAMPLE", sample)
+    monkeypatch.setattr(ed, "RECALL", 0.999)
+    rows = pairs_across_clusters()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.link_vectors(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == brute(rows)
+
+
+def test_recall_is_that_of_the_sparse_queries_too(spark):
+    truth = {1: 1000, 2: 1, 3: 1, 4: 1, 5: 0}
+    assert ed.recall(truth, spark.createDataFrame([(1, 1000)], "id long, found long")) == 0.25
+    assert ed.recall(truth, spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "id long, found long")) == 3 / 1003
+    assert ed.recall({5: 0}, spark.createDataFrame([(5, 0)], "id long, found long")) == 1.0
+
+
+def test_exact_comparison_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 40)
+    rows = make(2)
+    ready = ed.prepare(spark.createDataFrame(rows, SHAPE), "vec_id", "embedding", "label")
+    groups = ready.select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("mult"), "vec")
+    got = ed.compare(groups, 0.93, roots=True).groupBy("id").agg(F.sum("found").alias("n")).collect()
+    assert {r.id: r.n for r in got} == {i: n for i, (n, _) in brute(rows).items()}

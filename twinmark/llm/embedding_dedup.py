@@ -5,15 +5,18 @@ whose neighbour lists are robust-pruned, and the lists of a vector from all its
 then searches the shards around it: greedily from the shard's medoids, and from whatever it finds in range the
 search spreads along the graph until nothing new is in range.  Links are decided on exact double-precision
 cosines.  What is found to be connected is then compared all with all in blocks, which counts every link once and
-for both of its ends; a sample of queries is compared with brute force, and the search is widened if its recall is too low.
+for both of its ends.  A sample of queries is compared with brute force after every search; the search is widened
+while its recall is too low, and if that does not help, vectors are compared all with all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ BEAM, ENTRIES, MARGIN = 32, 16, 0.04
 QUERIES = 128
 #: Vectors of a block of exact comparison.
 BLOCK = 4096
-#: Queries of the audit at most, the recall it asks for, and how often the search may be widened.
+#: Queries with links that the audit judges on, the recall it asks for, and how often the search may be widened.
 AUDITED, RECALL, WIDENINGS = 200, 0.9, 2
 
 
@@ -291,14 +294,16 @@ def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) ->
         if len(at):
             every = matrix(group.column("vec"))
             x, node_ids = every[at], ids[at]
-            near = group.column("neighbours").take(pa.array(at)).to_pylist()
-            width = max((len(own) for own in near if own), default=1)
-            lists = np.full((len(at), width), -1, np.int64)
-            for row, own in enumerate(near):
-                if own:
-                    place = np.searchsorted(node_ids, own)
-                    place = np.where(place < len(node_ids), place, 0)
-                    lists[row, : len(own)] = np.where(node_ids[place] == own, place, -1)
+            near = group.column("neighbours").take(pa.array(at))
+            row = np.repeat(np.arange(len(at)), pc.fill_null(pc.list_value_length(near), 0).to_numpy())
+            own = pc.list_flatten(near).to_numpy()
+            place = np.searchsorted(node_ids, own)
+            place = np.where(place < len(node_ids), place, 0)
+            here = node_ids[place] == own  # the others are nodes of other shards
+            row, place = row[here], place[here]
+            count = np.bincount(row, minlength=len(at))
+            lists = np.full((len(at), max(1, count.max())), -1, np.int64)
+            lists[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = place
             entries, own_row = entry_points(x), np.full(len(ids), -1, np.int64)
             own_row[at] = np.arange(len(at))
             for start in range(0, len(ids), QUERIES):
@@ -313,11 +318,13 @@ def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) ->
     return joined.groupBy("label", "dim", "cluster", "piece").applyInArrow(run, "id long, root long")
 
 
-def compare(groups: DataFrame, threshold: float) -> DataFrame:
-    """id, found: for each vector of (key, id, mult, vec) the others of its key that are linked, with copies.
+def compare(groups: DataFrame, threshold: float, roots: bool = False) -> DataFrame:
+    """id, found, root: for each vector of (key, id, mult, vec) the others of its key that are linked, with copies, and
+    the least id that the links of these two blocks connect it with.
 
     A key of more than BLOCK vectors is cut into blocks, and every two of its blocks meet in one task; small keys share
     tasks.  A vector is in one block, so its rows (one for each block it meets) add up; pairs are never returned.
+    Without ``roots`` the root is the own id.
     """
     sizes = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     tasks = max(1, groups.count() // BLOCK)
@@ -332,7 +339,7 @@ def compare(groups: DataFrame, threshold: float) -> DataFrame:
         group = group.sort_by([("key", "ascending"), ("id", "ascending")])
         keys = group.column("key").to_numpy()
         ids, mult, query, node = (group.column(c).to_numpy() for c in ("id", "mult", "query", "node"))
-        found = np.zeros(len(ids), np.int64)
+        found, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         starts = np.sort(np.unique(keys, return_index=True)[1])
         for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
             x = matrix(group.column("vec").slice(start, end - start))
@@ -342,9 +349,13 @@ def compare(groups: DataFrame, threshold: float) -> DataFrame:
                 rows = asked[k : k + QUERIES]
                 linked = (x[rows - start] @ nodes.T >= threshold) & (ids[rows][:, None] != ids[at][None])
                 found[rows] = linked @ mult[at]
-        return pa.table({"id": pa.array(ids[query]), "found": pa.array(found[query])})
+                for row in np.flatnonzero(linked.any(axis=1)) if roots else ():
+                    same = np.unique(forest.find(np.append(at[linked[row]], rows[row])))
+                    forest.parent[same[1:]] = same[0]
+        root = ids[forest.find(np.arange(len(ids)))]
+        return pa.table({"id": pa.array(ids[query]), "found": pa.array(found[query]), "root": pa.array(root[query])})
 
-    return met.select("task", "key", "id", "mult", "vec", "p.*").groupBy("task", "a", "b").applyInArrow(run, "id long, found long")
+    return met.select("task", "key", "id", "mult", "vec", "p.*").groupBy("task", "a", "b").applyInArrow(run, "id long, found long, root long")
 
 
 def count_links(classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -357,17 +368,29 @@ def count_links(classes: DataFrame, components: DataFrame, threshold: float) ->
     return compare(groups, threshold).groupBy("id").agg(F.sum("found").alias("found"))
 
 
-def audit(classes: DataFrame, counts: DataFrame, threshold: float, most: int = AUDITED) -> float:
-    """Share of the true links of sampled vectors that were found; 1 if they have none.
+def true_links(classes: DataFrame, threshold: float, most: int = AUDITED) -> dict[int, int] | None:
+    """True links, with copies, of vectors drawn by hash order: ten times as many each time, until ``most`` of them have
+    links or all are drawn; none if SAMPLE vectors are too few for that.
 
-    At most ``most`` query vectors go to all executors and are compared with every row in blocks; one row a query
-    and task is shuffled.
+    The queries go to all executors and are compared with every row in blocks; one row a query and task is shuffled.
     """
-    sample = classes.join(counts, "id", "left").select("id", "label", "vec", F.coalesce("found", F.lit(0)).alias("found")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most).collect()
-    asked: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    for label, size in {(r["label"], len(r["vec"])) for r in sample}:
-        own = [r for r in sample if (r["label"], len(r["vec"])) == (label, size)]
-        asked[label, size] = (np.array([r["id"] for r in own]), np.frombuffer(b"".join(r["vec"] for r in own), "<f8").reshape(len(own), -1))
+    drawn = most
+    while True:
+        sample = classes.select("id", "label", "vec").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(drawn).collect()
+        truth = {r["id"]: 0 for r in sample} | compare_sample(classes, sample, threshold)
+        if sum(n > 0 for n in truth.values()) >= most or len(sample) < drawn:
+            return truth
+        if drawn >= SAMPLE:
+            return None
+        drawn = min(10 * drawn, SAMPLE)
+
+
+def compare_sample(classes: DataFrame, sample: list, threshold: float) -> dict[int, int]:
+    """True links of the sampled rows, by brute force."""
+    queries: dict[tuple[str, int], list] = {}
+    for r in sample:
+        queries.setdefault((r["label"], len(r["vec"])), []).append(r)
+    asked = {key: (np.array([r["id"] for r in own]), np.frombuffer(b"".join(r["vec"] for r in own), "<f8").reshape(len(own), -1)) for key, own in queries.items()}
     shared = classes.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,16 +399,35 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, most: int = A
             frame = batch.to_pandas()
             for (label, size), part in frame.groupby([frame["label"], frame["vec"].str.len()]):
                 if (label, size) in shared.value:
-                    ids, queries = shared.value[label, size]
-                    x = np.frombuffer(b"".join(part["vec"]), "<f8").reshape(len(part), -1)
-                    linked = (queries @ x.T >= threshold) & (ids[:, None] != part["id"].to_numpy()[None])
-                    for i, n in zip(ids.tolist(), (linked * part["mult"].to_numpy()[None]).sum(axis=1).tolist(), strict=True):
-                        total[i] = total.get(i, 0) + n
+                    ids, vectors = shared.value[label, size]
+                    x, others, mult = np.frombuffer(b"".join(part["vec"]), "<f8").reshape(len(part), -1), part["id"].to_numpy(), part["mult"].to_numpy()
+                    for k in range(0, len(ids), QUERIES):
+                        own = ids[k : k + QUERIES]
+                        linked = (vectors[k : k + QUERIES] @ x.T >= threshold) & (own[:, None] != others[None])
+                        for i, n in zip(own.tolist(), (linked @ mult).tolist(), strict=True):
+                            total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["id", "n"])
 
-    truth = {r["id"]: r["n"] for r in classes.select("id", "label", "mult", "vec").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    true = sum(truth.values())
-    return sum(min(r["found"], truth.get(r["id"], 0)) for r in sample) / true if true else 1.0
+    found = classes.select("id", "label", "mult", "vec").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return {r["id"]: r["n"] for r in found.collect()}
+
+
+def recall(truth: dict[int, int], counts: DataFrame) -> float:
+    """The lower of two recalls of the vectors in ``truth``: over all their links, in which dense groups weigh most, and
+    the mean over the vectors that have links, in which each weighs the same.  1 if none has a link."""
+    true = {i: n for i, n in truth.items() if n}
+    if not true:
+        return 1.0
+    asked = counts.sparkSession.createDataFrame([(i,) for i in true], "id long")
+    found = {r["id"]: r["found"] for r in counts.join(F.broadcast(asked), "id").select("id", "found").collect()}
+    hit = {i: min(found.get(i, 0), n) for i, n in true.items()}
+    return min(sum(hit.values()) / sum(true.values()), sum(hit[i] / n for i, n in true.items()) / len(true))
+
+
+def audit(classes: DataFrame, counts: DataFrame, threshold: float, most: int = AUDITED) -> float | None:
+    """Recall of ``counts`` on sampled vectors; none if too few of them have links to judge on."""
+    truth = true_links(classes, threshold, most)
+    return None if truth is None else recall(truth, counts)
 
 
 def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -395,7 +437,8 @@ def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str =
     Null labels, null ids, and vectors that are null, empty, zero or hold null or non-finite components link with
     nothing: n_links 0, component_id the own id.  Vectors of different length are not compared.  Equal vectors of a
     label are one class; its copies link with each other.  n_links counts each linked vector once, whatever shards
-    hold it, and a link counts for both of its ends.  Rows that repeat an id with the same vector are one vector
+    hold it, and a link counts for both of its ends.  The recall of the links is at least RECALL on sampled vectors, or all
+    vectors of a label are compared.  Rows that repeat an id with the same vector are one vector
     and get equal results.  Other columns are ignored; an empty table gives no rows.
     """
     ready = store(prepare(rows, id_col, vector_col, label_col), "vectors")
@@ -405,16 +448,30 @@ def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str =
     )
     total = classes.count()
     centroids = fit_centroids(classes, total)
+    # labels of one shard say nothing about those whose vectors search only some clusters: each kind is judged alone
+    key = F.concat_ws(":", (F.length("vec") / 8).cast("int"), "label")
+    spread = key.isin([f"{size}:{label}" for label, size in centroids])
+    kinds = [classes.where(spread), classes.where(~spread)] if centroids else [classes]
+    truths = [true_links(kind, threshold) for kind in kinds]
+
+    def connect(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+        return found, store(count_links(classes, found, threshold), "counts")
+
     visited, beam = VISITED, BEAM
     for turn in range(WIDENINGS + 1):
         shards = store(shard(deal(classes, centroids, visited)), "shards")
         graph = store(build(shards), "graph")
         searched = store(search(shards, graph, threshold, beam), "searched")
-        found = connected_components(searched.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-        counts = store(count_links(classes, found, threshold), "counts")
-        if turn == WIDENINGS or audit(classes, counts, threshold) >= RECALL:
+        found, counts = connect(searched.select("id", "root"))
+        low = [kind for kind, truth in zip(kinds, truths, strict=True) if truth is None or recall(truth, counts) < RECALL]
+        if not low or None in truths:
             break
         visited, beam = 2 * visited, 2 * beam
+    if low:
+        # no evidence, or too low a recall after all widening: compare all with all there
+        exact = reduce(DataFrame.unionAll, [compare(kind.select(key.alias("key"), "id", "mult", "vec"), threshold, roots=True).select("id", "root") for kind in low])
+        found, counts = connect(searched.select("id", "root").unionAll(store(exact, "exact")))
     by_class = (
         classes.join(counts, "id", "left")
         .join(found, "id", "left")
