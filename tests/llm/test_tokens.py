@@ -149,3 +149,16 @@ def test_empty_tables(nothing, files):
     assert tokens.encode_documents(nothing, files[0], files[2]).count() == 0
     assert token_scan.count_document_tokens(nothing, files[0], files[2], 50256).count() == 0
     assert packing.pack_documents(nothing, files[1], files[2]).count() == 0
+
+
+def test_added_tokens_inside_a_text_keep_their_ids(spark, files):
+    texts = ["plain words", "more plain words", "and again", "a <|endoftext|> b", "<|endoftext|>" * 3, "a <|endoftext| b", "word <|endoftext|>" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(files[1])
+    assert tokenizer.encode(texts[3], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = set()
+    for doc_id, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want |= {(doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes())) for start, length in packing.cut(len(ids), 1024)}
+    got = packing.pack_documents(docs, files[1], files[2]).collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, store, texts
-from .tokens import encode, vocabulary_encoder, vocabulary_tokenizer
+from .tokens import added_tokens, encode, vocabulary_encoder, vocabulary_tokenizer
 
 CAPACITY = 1024
 END_ID = 2
@@ -41,15 +41,16 @@ def tokenize_pieces(docs: DataFrame, json_path: str, pattern: str, *, capacity:
     ``part`` and ``local_rank`` number the pieces of equal length inside a task, so that ranks over the whole
     corpus need only counts.  Ids are those of the ``tokenizers`` file.  An encoder built from the vocabulary in
     that file finds them several times faster; each task compares its first texts with the library's own ids and
-    uses the library for all its texts if any differ.
+    uses the library for all its texts if any differ.  Texts that hold an added token of the file go to the library.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast, slow = vocabulary_encoder(json_path, pattern), vocabulary_tokenizer(json_path)
         part, seen, left = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), COMPARED
-        find = lambda text: encode(fast, text)
+        added = added_tokens(json_path)
         exact = lambda text: slow.encode(text or "", add_special_tokens=False).ids
+        find = lambda text: exact(text) if added and text and added.search(text) else encode(fast, text)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

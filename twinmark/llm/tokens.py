@@ -42,17 +42,23 @@ def byte_symbols() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=4)
 def vocabulary_tokenizer(json_path: str):
-    """The ``tokenizers`` object of a local file; special strings inside a text are ordinary text."""
+    """The ``tokenizers`` object of a local file, as the library reads it: added tokens inside a text keep their ids."""
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(json_path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(json_path)
+
+
+@functools.lru_cache(maxsize=4)
+def added_tokens(json_path: str):
+    """A pattern of the added tokens of a ``tokenizers`` file, which only the library itself finds; none if it has none."""
+    with open(json_path, encoding="utf-8") as file:
+        found = [x["content"] for x in json.load(file).get("added_tokens") or [] if x["content"]]
+    return re.compile("|".join(map(re.escape, found))) if found else None
 
 
 @functools.lru_cache(maxsize=4)
 def vocabulary_encoder(json_path: str, pattern: str):
-    """A fast encoder with the vocabulary of a ``tokenizers`` file, whose ids order its merges."""
+    """A fast encoder with the vocabulary of a ``tokenizers`` file, whose ids order its merges; it knows no added tokens."""
     import tiktoken
 
     with open(json_path, encoding="utf-8") as file:
