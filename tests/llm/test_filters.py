@@ -179,3 +179,17 @@ def test_quotation():
     assert not toxicity.context(["what", "an", "idiot", "this", "is"], 2)[0]
     assert toxicity.context(["the", "“idiot”", "again"], 1)[0]
     assert pytest.importorskip("numpy") is not None
+
+
+@pytest.mark.parametrize("term", ["zug", "z" * 45])
+def test_short_and_long_words_can_be_terms(spark, term):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(200):
+        text, toxic = rng.choice(words, 12).tolist(), int(i % 4 == 0)
+        rows.append((i, " ".join([*text[:6], *[term] * toxic, *text[6:]]), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, docs).collect()}
+    assert all(got[i].predicted == toxic for i, _, toxic in rows)
+    assert all((got[i].n_hits > 0) >= toxic for i, _, toxic in rows)

@@ -217,7 +217,7 @@ def contexts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 padded = ["", *words, ""]
                 rows = {}
                 for k, word in enumerate(words):
-                    if 3 < len(word) <= 40:
+                    if len(word) > 2:
                         rows[word, xxhash.xxh3_64_intdigest(f"{padded[k]} {padded[k + 2]}") - (1 << 63)] = None
                 if rows:
                     names, uses = zip(*rows, strict=True)
