@@ -38,7 +38,6 @@ _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 PLACES = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SALTS = _RANDOM.integers(0, 1 << 63, REGISTERS // BAND, dtype=np.uint64)
 
 
 class WordHashes(dict):
@@ -91,11 +90,6 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """One key a band: BAND registers of 16 bits are 64 bits."""
-    return (np.ascontiguousarray(values).view("<u8") ^ SALTS) * PLACES[32]
-
-
 def likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Log-likelihood of similarity ``j`` given how many registers are larger, smaller and equal; ``u`` is the
     first set's share of both sizes, which are known exactly."""
@@ -122,7 +116,7 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
 
 
 def sketch(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), registers, keys of every whole text; narrow, no shuffle."""
+    """doc_id, n_shingles, digest (of the set), registers of every whole text; narrow, no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,15 +126,24 @@ def sketch(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_
             for text in batch.column(1):
                 members = shingles(text.as_py(), words, hashes)
                 if len(members):
-                    values = registers(members)
-                    rows.append((len(members), xxhash.xxh3_128_digest(members.tobytes()), values.tobytes(), band_keys(values).view(np.int64)))
+                    rows.append((len(members), xxhash.xxh3_128_digest(members.tobytes()), registers(members).tobytes()))
                 else:
-                    rows.append((0, None, None, None))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_shingles", "digest", "registers", "keys"])
+                    rows.append((0, None, None))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_shingles", "digest", "registers"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, keys array<long>")
+
+def band_keys(reps: DataFrame) -> DataFrame:
+    """(id, key): one row a band, keyed by the band's number and its bytes of the registers; a pass in the JVM.
+
+    Two bands with one key by chance cost a comparison and change no result.
+    """
+    width = 2 * BAND
+    each = reps.select("id", "registers", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))).alias("band"))
+    return each.select("id", F.xxhash64("band", F.substring(F.col("registers"), F.col("band") * width + 1, F.lit(width))).alias("key"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -262,28 +265,31 @@ def link_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     reps = store(
         drawn.where("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("keys").alias("keys")),
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")),
         "classes",
     )
-    bands = reps.select("id", F.explode("keys").alias("key"))
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = store(bands.join(sizes, "key"), "buckets")
+    # one aggregate finds the shared keys and, where two classes share one, their pair; only larger buckets need their members
+    bands = band_keys(reps)
+    shared = store(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("size > 1"), "shared-keys")
+    twos = shared.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    met = store(bands.join(shared.where("size > 2").select("key", "size"), "key"), "buckets")
 
     small = met.where(f"size <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     spread = small.select("ids", F.posexplode("ids").alias("k", "a")).select("a", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("b"))
     degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
     large = store(met.where(f"size > {SMALL}").join(degree, "id").select("key", "id", "degree"), "large-buckets")
-    hubs = large.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("top")).select("key", (-F.col("top.order")).alias("hub"))
-    star = large.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    # the aggregates by key are written first, so that a bucket of very many members can be split in the joins
+    hubs = store(large.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("order"))).alias("top")).select("key", (-F.col("top.order")).alias("hub")), "hubs")
+    star = large.select("key", "id").join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
-    candidates = store(filtered(ordered(spread.unionAll(star)), reps, percent), "candidates")
+    candidates = store(filtered(ordered(twos.unionAll(spread).unionAll(star)), reps, percent), "candidates")
     needed = candidates.select(F.col("a").alias("id")).unionAll(candidates.select(F.col("b").alias("id"))).unionAll(large.select("id")).distinct()
     sets = store(sets_of(docs, needed.join(reps.select("id", "digest"), "id"), words=words, id_col=id_col, text_col=text_col).dropDuplicates(["id"]), "sets")
     links = store(verified(candidates, sets, percent), "links")
     found = store(connected_components(links), "components")
 
     placed = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    split = store(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "split-buckets")
     open_rows = store(placed.join(split, "key").select("id", "component").distinct(), "open")
     if not open_rows.isEmpty():
         rest = store(filtered(ordered(prefix_pairs(open_rows, sets, percent)), reps, percent), "candidates")
