@@ -71,6 +71,11 @@ def test_candidate_rules(spark):
     assert pairs() == {(1, 2), (1, 4), (2, 3), (2, 4), (4, 5)}
     assert pairs(cross_site=True) == {(1, 2), (1, 4), (2, 3), (2, 4), (1, 5), (2, 5), (3, 5), (4, 5)}
     assert len(pairs(cross_site=True, most=3)) == 3
+    for most, reached in ((8, True), (9, False)):
+        found, said = blocking.limited_pairs(df, ["F"], cross_site=True, most=most)
+        assert found.count() == 8 and [w["warning_type"] for w in said] == ["PAIR_LIMIT_REACHED"] * reached
+    rows = blocking.candidate_pairs(df, ["F"], cross_site=True).collect()
+    assert len(rows) == len({(r.idx_a, r.idx_b) for r in rows})
     plan = blocking.candidate_pairs(df, ["F"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -78,12 +83,12 @@ def test_candidate_rules(spark):
 def test_validation(spark):
     rows = [("A", "x", "mail me: a.b@c.org", None), ("A", " ", "job-1234", ""), (None, "y", "", "v")]
     df = spark.createDataFrame(rows, "PART_NO string, DESCRIPTION string, NOTE string, F string")
-    report = validation.validate(df, ["F", "GONE"])
-    assert report["valid"] and report["record_count"] == 3 and report["empty_descriptions_count"] == 1 and report["duplicate_part_number_count"] == 2
-    assert report["high_null_selected_fields"] == {"F": 66.7} and report["missing_optional_selected_columns"] == ["GONE"]
-    kinds = {w["warning_type"] for w in report["warnings"]}
-    assert {"EMPTY_DESCRIPTION", "DUPLICATE_PART_NO", "MISSING_SELECTED_FIELD", "HIGH_NULL_FIELD", "POSSIBLE_EMAIL", "POSSIBLE_PROJECT_REFERENCE"} <= kinds
-    assert not validation.validate(df.select("NOTE"))["valid"]
+    said = {r.warning_type: r for r in validation.warnings(df, ["F", "GONE"]).collect()}
+    assert set(said) == {"EMPTY_DESCRIPTION", "DUPLICATE_PART_NO", "MISSING_SELECTED_FIELD", "HIGH_NULL_FIELD", "POSSIBLE_EMAIL", "POSSIBLE_PROJECT_REFERENCE"}
+    assert said["EMPTY_DESCRIPTION"].message.startswith("1 record(s)") and said["DUPLICATE_PART_NO"].message.startswith("2 row(s)")
+    assert said["HIGH_NULL_FIELD"].message == "Selected field F is 66.7% empty." and said["MISSING_SELECTED_FIELD"].subject == "GONE"
+    assert not validation.missing_required(df) and validation.missing_required(df.select("NOTE")) == ["DESCRIPTION", "PART_NO"]
+    assert "POSSIBLE_EMAIL" not in {r.warning_type for r in validation.warnings(df, sensitive=False).collect()}
     assert validation.parse_fields('["a", "b "]') == ["A", "B"] == validation.parse_fields("a, b,")
     with pytest.raises(ingest.RecordError):
         validation.parse_fields("[a")
@@ -110,10 +115,14 @@ def test_groups(spark):
     shape = "idx_a long, idx_b long, contract_a string, part_no_a string, description_a string, contract_b string, part_no_b string, description_b string, similarity_score double, confidence_level string, matched_evidence array<string>, mismatched_fields array<string>, differences array<struct<type:string,feature:string>>, explanation string"
     row = lambda a, b, score, level: (a, b, "S", f"P{a}", f"item {a}", "S", f"P{b}", f"item {b}", score, level, ["F"], [], [("t", None)], "")
     df = spark.createDataFrame([row(1, 2, 88.0, "MEDIUM"), row(2, 3, 92.0, "HIGH"), row(5, 6, 65.0, "LOW"), row(7, 8, 76.0, "MEDIUM")], shape)
-    got = [r.asDict(recursive=True) for r in groups.duplicate_groups(df).orderBy("group_id").collect()]
+    got = [r.asDict(recursive=True) for r in groups.duplicate_groups(df, nested=True).orderBy("group_id").collect()]
     assert [(g["group_id"], g["part_count"], g["pair_count"], g["average_score"], g["top_score"], g["confidence_level"], g["group_name"]) for g in got] == [(1, 3, 2, 90.0, 92.0, "HIGH", "item 1"), (2, 2, 1, 76.0, 76.0, "MEDIUM", "item 7")]
     assert [p["part_no"] for p in got[0]["parts"]] == ["P1", "P2", "P3"] and [p["similarity_score"] for p in got[0]["pairs"]] == [92.0, 88.0]
     assert got[0]["matched_fields"] == ["F"] and got[0]["mismatched_fields"] == ["t"]
+    parts, pairs = groups.group_rows(df)
+    assert parts.count() == 5 and pairs.count() == 3 and "parts" not in groups.duplicate_groups(df).columns
+    ranked = groups.numbered(spark.range(1000).selectExpr("id * 7 % 1009 as x"), "x", "n").collect()
+    assert [r.n for r in sorted(ranked)] == list(range(1, 1001))
     chain = spark.range(40).selectExpr("cast(id as string) a", "cast(id + 1 as string) b")
     assert groups.components(chain).select("component").distinct().count() == 1
     assert groups.duplicate_groups(df.where("similarity_score < 70")).isEmpty()
@@ -158,6 +167,13 @@ def test_store(spark, tmp_path):
     assert store.scans().where("status = 'FAILED'").count() == 1
 
 
+def test_a_scan_without_candidates_can_be_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    scan_id = run_stored_scan(store, ingest.from_records(spark, [{"PART_NO": "A", "DESCRIPTION": "pipe"}]))
+    assert store.ranked_candidates(scan_id).count() == 0 and store.summary()["candidates"] == 0
+    assert store.scans().first().total_candidates == 0
+
+
 def test_evaluation(spark):
     rows = [(0, "MCB30A", "MCB 30 Amp", 1), (1, "Bolt 10MM", "Bolt 12MM", 0), (2, "Bicycle tire", "Paint brush", 1)]
     scored = evaluation.score_pairs(spark.createDataFrame(rows, "pair_id long, description_a string, description_b string, expected_label int"))
@@ -179,5 +195,12 @@ def test_service(spark, tmp_path):
     assert found and all(a.top_score >= b.top_score for a, b in zip(found, found[1:], strict=False))
     service.export_scan(store, report["scan_id"], str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == report["candidates_found"]
+    assert service.load_test(store, 60, most=5)["warnings_count"] == 1
+    kept = service.kept_data(store)
+    assert {r.table for r in kept.select("table").collect()} == {"scans", "candidates", "warnings", "feedback"} and kept.where("column = 'similarity_score'").count() == 1
+    service.write_synthetic(spark, 30, str(tmp_path / "made"))
+    made = ingest.read_csv(spark, str(tmp_path / "made"))
+    assert made.count() == 30 and "PART_NO" in made.columns
+    assert service.kept_data(store, str(tmp_path / "made")).where("table = 'input' and column like 'sha256:%'").count() >= 1
     with pytest.raises(ValueError):
         service.load_test(store, 1)

@@ -194,3 +194,14 @@ EXPORT_COLUMNS = (
     "technical_token_score", "matched_fields", "mismatched_fields", "explanation",
     "reason", "final_score", "score", "recommended_action", "review_status",
 )
+
+#: Plain values that must match the given behaviour: texts of warnings, by kind.
+WARNING_TEXTS = {
+    "EMPTY_DESCRIPTION": "{n} record(s) have empty descriptions and will be skipped.",
+    "DUPLICATE_PART_NO": "{n} row(s) use a repeated part number.",
+    "MISSING_SELECTED_FIELD": "Selected field {field} is unavailable and will be ignored.",
+    "HIGH_NULL_FIELD": "Selected field {field} is {percent}% empty.",
+    "SENSITIVE": "Detected {n} {what} in columns: {columns}. Review data handling before sharing exports.",
+    "IGNORED_FIELD": "Selected field {field} is unavailable and was ignored.",
+    "PAIR_LIMIT_REACHED": "Candidate generation stopped at the safety limit of {most} pairs.",
+}

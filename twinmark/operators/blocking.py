@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import strip, tokens
-from .reuse import few_records
+from .reuse import few_records, reused
 
 REASONS = {
     "selected": "selected_fields_match",
@@ -49,8 +49,12 @@ def blocks(enriched: DataFrame, fields=()) -> DataFrame:
     return enriched.select("rec_idx", F.posexplode(block_keys(enriched, fields)).alias("pos", "b")).select("rec_idx", "b.kind", "b.key", "pos")
 
 
-def shared_keys(enriched: DataFrame, fields=(), cross_site: bool = False) -> DataFrame:
-    """(idx_a, idx_b, kind, key) of pairs that share a key and may be compared; idx_a < idx_b.
+def matches(enriched: DataFrame, fields=(), cross_site: bool = False) -> DataFrame:
+    """(idx_a, idx_b, keys) of pairs that share block keys and may be compared, each pair once; idx_a < idx_b.
+
+    Every record carries all its keys to each of its blocks, and a pair is kept in the block of the least key that both
+    have.  So no pair is made twice, none is shuffled again to be made distinct, and what it shares is known where it
+    is found.
 
     Two values of a selected field (and of the site, unless ``cross_site``) are compatible if they are equal or one is
     blank.  Records that have all of them are joined on key and values together, which keeps the block of a
@@ -59,50 +63,61 @@ def shared_keys(enriched: DataFrame, fields=(), cross_site: bool = False) -> Dat
     scope = list(fields) + ([] if cross_site or "CONTRACT" in fields else ["CONTRACT"])
     values = [field_value(enriched, f).alias(f"v{k}") for k, f in enumerate(scope)]
     names = [f"v{k}" for k in range(len(scope))]
-    rows = enriched.select("rec_idx", F.lower(strip("PART_NO")).alias("p"), *values, F.explode(block_keys(enriched, fields)).alias("b")).select("rec_idx", "p", *names, "b.kind", "b.key")
+    own = reused(enriched.select("rec_idx", F.lower(strip("PART_NO")).alias("p"), *values, F.transform(block_keys(enriched, fields), lambda b: b["key"]).alias("keys")), "block-keys")
     complete = reduce(lambda a, b: a & b, [F.col(n) != "" for n in names], F.lit(True))
-    rows = rows.withColumn("complete", complete)
+    rows = own.select("*", F.explode("keys").alias("key"), complete.alias("complete"))
 
     def side(x: str, only) -> DataFrame:
-        return rows.where(only).select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec_idx", "p", "complete", "kind", *names)], F.col("key").alias(f"key_{x}"))
+        return rows.where(only).select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec_idx", "p", "complete", "keys", "key", *names)])
 
-    distinct_part = (F.col("p_a") == "") | (F.col("p_a") != F.col("p_b"))
+    shared = F.array_intersect("keys_a", "keys_b")
+    once = (F.col("key_a") == F.array_min(shared)) & ((F.col("p_a") == "") | (F.col("p_a") != F.col("p_b")))
     key = F.col("key_a") == F.col("key_b")
     same = [F.col(f"{n}_a") == F.col(f"{n}_b") for n in names]
-    whole = side("a", F.col("complete")).join(side("b", F.col("complete")), reduce(lambda a, b: a & b, same, key) & (F.col("rec_idx_a") < F.col("rec_idx_b")) & distinct_part)
-    pairs = whole.select(F.col("rec_idx_a").alias("idx_a"), F.col("rec_idx_b").alias("idx_b"), F.col("kind_a").alias("kind"), F.col("key_a").alias("key"))
+    whole = side("a", F.col("complete")).join(side("b", F.col("complete")), reduce(lambda a, b: a & b, same, key) & (F.col("rec_idx_a") < F.col("rec_idx_b")) & once)
+    shown = (F.least("rec_idx_a", "rec_idx_b").alias("idx_a"), F.greatest("rec_idx_a", "rec_idx_b").alias("idx_b"), shared.alias("keys"))
+    pairs = whole.select(*shown)
     if not names:
         return pairs
     fits = [(F.col(f"{n}_a") == "") | (F.col(f"{n}_b") == "") | s for n, s in zip(names, same, strict=True)]
-    once = F.col("complete_b") & (F.col("rec_idx_a") != F.col("rec_idx_b")) | (~F.col("complete_b") & (F.col("rec_idx_a") < F.col("rec_idx_b")))
-    partial = side("a", ~F.col("complete")).join(side("b", F.lit(True)), reduce(lambda a, b: a & b, fits, key) & once & distinct_part)
-    return pairs.unionAll(partial.select(F.least("rec_idx_a", "rec_idx_b").alias("idx_a"), F.greatest("rec_idx_a", "rec_idx_b").alias("idx_b"), F.col("kind_a").alias("kind"), F.col("key_a").alias("key")))
+    ordered = F.col("complete_b") & (F.col("rec_idx_a") != F.col("rec_idx_b")) | (~F.col("complete_b") & (F.col("rec_idx_a") < F.col("rec_idx_b")))
+    partial = side("a", ~F.col("complete")).join(side("b", F.lit(True)), reduce(lambda a, b: a & b, fits, key) & ordered & once)
+    return pairs.unionAll(partial.select(*shown))
 
 
-def capped(shared: DataFrame, index: DataFrame, most: int) -> DataFrame:
-    """The rows that a scan in block order sees until it has admitted ``most`` pairs.
+def capped(found: DataFrame, index: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The pairs that a scan in block order has admitted when it stops at ``most``, and whether it stops there.
 
-    Blocks come in the order of their first record and key position, pairs inside a block in index order.  One row
-    (the last admitted place) reaches the driver.
+    Blocks come in the order of their first record and key position, pairs inside a block in index order; of an admitted
+    pair only the keys that were met before the stop count.  One row (the last admitted place) reaches the driver.
     """
     order = index.groupBy("key").agg(F.min(F.struct("rec_idx", "pos")).alias("o"))
-    placed = shared.join(order, "key").withColumn("place", F.struct("o.rec_idx", "o.pos", "idx_a", "idx_b")).drop("o")
+    shared = found.select("idx_a", "idx_b", F.explode("keys").alias("key"))
+    placed = reused(shared.join(order, "key").withColumn("place", F.struct("o.rec_idx", "o.pos", "idx_a", "idx_b")).drop("o"), "placed-pairs")
     firsts = placed.groupBy("idx_a", "idx_b").agg(F.min("place").alias("place"))
     last = firsts.orderBy("place").limit(most).agg(F.max("place").alias("place"), F.count(F.lit(1)).alias("n")).first()
     if last["n"] < most:
-        return placed.drop("place")
+        return found, False
     p = last["place"]
     edge = F.struct(*[F.lit(p[k]).alias(n) for k, n in enumerate(("rec_idx", "pos", "idx_a", "idx_b"))])
-    return placed.where(F.col("place") <= edge).drop("place")
+    return placed.where(F.col("place") <= edge).groupBy("idx_a", "idx_b").agg(F.collect_set("key").alias("keys")), True
+
+
+def limited_pairs(enriched: DataFrame, fields=(), *, cross_site: bool = False, most: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """idx_a, idx_b, candidate_reasons, matched_blocks of each pair, and a warning if ``most`` stopped the search."""
+    found, warnings = matches(enriched, fields, cross_site), []
+    if most is not None:
+        found, reached = capped(found, blocks(enriched, fields), most)
+        if reached:
+            warnings.append({"warning_type": "PAIR_LIMIT_REACHED", "message": vocab.WARNING_TEXTS["PAIR_LIMIT_REACHED"].format(most=most)})
+    kind = lambda k: F.substring_index(k, ":", 1)
+    reason = lambda k: reduce(lambda c, x: c.when(kind(k) == x, F.lit(REASONS[x])), list(REASONS)[1:], F.when(kind(k) == "selected", F.lit(REASONS["selected"])))
+    return found.select("idx_a", "idx_b", F.array_sort(F.array_distinct(F.transform("keys", reason))).alias("candidate_reasons"), F.array_sort("keys").alias("matched_blocks")), warnings
 
 
 def candidate_pairs(enriched: DataFrame, fields=(), *, cross_site: bool = False, most: int | None = None) -> DataFrame:
     """idx_a, idx_b, candidate_reasons, matched_blocks: each pair once, with what it shares."""
-    shared = shared_keys(enriched, fields, cross_site)
-    if most is not None:
-        shared = capped(shared, blocks(enriched, fields), most)
-    reason = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(REASONS[k])), list(REASONS)[1:], F.when(F.col("kind") == "selected", F.lit(REASONS["selected"])))
-    return shared.groupBy("idx_a", "idx_b").agg(F.sort_array(F.collect_set(reason)).alias("candidate_reasons"), F.sort_array(F.collect_set("key")).alias("matched_blocks"))
+    return limited_pairs(enriched, fields, cross_site=cross_site, most=most)[0]
 
 
 def field_matches(fields, a: str = "a", b: str = "b") -> tuple[Column, Column]:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import enrich
 from . import classic
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(pair_id, description_a, description_b, expected_label) of CSV files of labelled pairs."""
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(F.col("pair_id").cast("long"), "description_a", "description_b", F.col("expected_label").cast("int"))
+
+
 def score_pairs(pairs: DataFrame, cut: float = 60.0) -> DataFrame:
     """(pair_id, description_a, description_b, expected_label, score, guess) of labelled pairs."""
     fixed = pairs.select("pair_id", "description_a", "description_b", "expected_label")

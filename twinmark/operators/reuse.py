@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records that may be broadcast to the pairs: so many rows, and so many characters of normalised text, at most.
-BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 10_000_000
+#: Records that may be broadcast to the pairs: so many rows, and so many characters of all that is sent, at most.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 32_000_000
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a session on a single machine may do without one."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="twinmark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def reused(df: DataFrame, name: str = "reused") -> DataFrame:
@@ -29,10 +41,10 @@ def reused(df: DataFrame, name: str = "reused") -> DataFrame:
 def few_records(enriched: DataFrame) -> bool:
     """Whether enriched records are counted to be few enough for a broadcast join; else they are joined by shuffles.
 
-    Measured once a DataFrame, on rows that ``reused`` has computed anyway.
+    Measured once a DataFrame, over all columns, on rows that ``reused`` has computed anyway.
     """
     known = getattr(enriched, "_few_records", None)
     if known is None:
-        row = enriched.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("normalized_text")), F.lit(0))).first()
+        row = enriched.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
         known = enriched._few_records = row[0] <= BROADCAST_ROWS and row[1] <= BROADCAST_CHARS
     return known

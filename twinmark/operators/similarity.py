@@ -96,10 +96,12 @@ def evidence_texts(records: DataFrame) -> dict[str, str]:
 
 
 def evidence_scores(pairs: DataFrame) -> DataFrame:
-    """Scores of the evidence engine: final = .45 text + .20 part number + .25 structure + .10 technical tokens."""
+    """Scores of the evidence engine: final = .45 text + .20 part number + .25 structure + .10 technical tokens.
+
+    ``pairs`` has the string scores, technical_token_score and structured_score.
+    """
     master = blend("master_tfidf_score", "master_fuzzy_score") if "master_tfidf_score" in pairs.columns else F.lit(0.0)
     scored = pairs.withColumn("description_similarity", blend()).withColumn("master_description_similarity", master).drop("master_tfidf_score", "master_fuzzy_score")
-    scored = scored.withColumn("technical_token_score", technical_score()).withColumn("structured_score", structured_score())
     best = F.greatest("description_similarity", "master_description_similarity")
     total = best * 0.45 + F.col("part_no_similarity") * 0.20 + F.col("structured_score") * 0.25 + F.col("technical_token_score") * 0.10
     return scored.withColumn("final_score", round2(clamp(total)))

@@ -12,10 +12,10 @@ from ..functions.attributes import enrich
 from ..functions.text import domain_text, tokens
 from ..operators import blocking, classic, evaluation, evidence, groups, results, similarity, validation
 from ..operators.decisions import confidence_level
-from ..operators.reuse import reused
+from ..operators.reuse import reused, scratch
 from ..sources import export, ingest, store
 from . import oracle, scan
-from .part_master import FIELDS, duckdb_view, part_master
+from .part_master import FIELDS, MIXED, MIXED_FIELDS, duckdb_view, part_master
 
 WITH = f"with {oracle.RECORDS}"
 PAIRS = f"{WITH}, {oracle.pair_tables(FIELDS)}"
@@ -34,7 +34,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return blocking.candidate_pairs(records(spark, sf_dir), FIELDS, **options)
+    return blocking.candidate_pairs(reused(records(spark, sf_dir), "records"), FIELDS, **options)
 
 
 def record_pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -110,11 +110,8 @@ def candidate_pairs_cross_site(spark, sf_dir):
     return shown_pairs(pairs(spark, sf_dir, cross_site=True))
 
 
-CAP = 3000
-
-
 def candidate_pairs_capped(spark, sf_dir):
-    return shown_pairs(pairs(spark, sf_dir, most=CAP))
+    return shown_pairs(pairs(spark, sf_dir, cross_site=True, most=vocab.PAIR_LIMIT))
 
 
 def records_without_candidates(spark, sf_dir):
@@ -168,26 +165,60 @@ def evidence_guards(spark, sf_dir):
 
 
 def classic_scan(spark, sf_dir):
-    return results.candidates(scan.decided_pairs(part_master(spark, sf_dir), FIELDS, engine="classic"))
+    return results.candidates(scan.decided_pairs(part_master(spark, sf_dir), FIELDS, engine="classic")[0])
 
 
 def evidence_scan(spark, sf_dir):
-    return results.candidates(scan.decided_pairs(part_master(spark, sf_dir), FIELDS, engine="evidence"))
+    return results.candidates(scan.decided_pairs(part_master(spark, sf_dir), FIELDS, engine="evidence")[0])
 
 
 SHOWN = ("idx_a", "idx_b", "similarity_score", "confidence_level", "description_similarity", "tfidf_score", "fuzzy_score", "part_no_similarity", "technical_token_score", "business_status", "rule_decision", "rejection_reason", "recommended_action", "explanation")
 
 
+def shown_results(found):
+    """Candidates with their lists as texts."""
+    kinds = F.transform("differences", lambda d: F.coalesce(d["type"], d["feature"]))
+    lists = {"matched_fields": "matched_fields", "mismatched_fields": "mismatched_fields", "matched_evidence": "matched_evidence", "difference_kinds": kinds, "warnings": "warnings"}
+    return found.select(*SHOWN, *[joined(c).alias(n) for n, c in lists.items()], F.col("generic_description_warning").alias("generic_warning"), F.col("application_context_warning").alias("context_warning"))
+
+
 def classic_results(spark, sf_dir):
-    return classic_scan(spark, sf_dir).select(*SHOWN)
+    return shown_results(classic_scan(spark, sf_dir))
 
 
 def evidence_results(spark, sf_dir):
-    return evidence_scan(spark, sf_dir).select(*SHOWN)
+    return shown_results(evidence_scan(spark, sf_dir))
+
+
+def lot_pairs(spark, sf_dir):
+    """Enriched records of the mixed assortments, and all pairs inside a lot of twelve, whatever blocking would say."""
+    own = reused(enrich(part_master(spark, sf_dir, MIXED)), "records")
+    side = lambda x: own.select("TYPE_CODE", F.col("rec_idx").alias(f"idx_{x}"))
+    return own, side("a").join(side("b"), "TYPE_CODE").where("idx_a < idx_b").select("idx_a", "idx_b")
+
+
+def classic_decisions(spark, sf_dir, mode=vocab.SCAN_MODES[0]):
+    own, met = lot_pairs(spark, sf_dir)
+    return shown_results(results.candidates(classic.decide(met, own, MIXED_FIELDS, mode)))
+
+
+def classic_decisions_cross_site(spark, sf_dir):
+    return classic_decisions(spark, sf_dir, vocab.SCAN_MODES[1])
+
+
+def evidence_decisions(spark, sf_dir, cross_site=False):
+    own, met = lot_pairs(spark, sf_dir)
+    return shown_results(results.candidates(evidence.decide(met, own, MIXED_FIELDS, cross_site)))
+
+
+def evidence_decisions_cross_site(spark, sf_dir):
+    return evidence_decisions(spark, sf_dir, cross_site=True)
 
 
 def evidence_status_summary(spark, sf_dir):
-    return results.status_counts(evidence_scan(spark, sf_dir))
+    own = reused(records(spark, sf_dir), "records")
+    met = blocking.candidate_pairs(own, FIELDS).select("idx_a", "idx_b")
+    return results.status_counts(evidence.statuses(met, own, FIELDS))
 
 
 def guard_status_summary(spark, sf_dir):
@@ -251,11 +282,155 @@ def evaluation_metrics(spark, sf_dir):
     return evaluation.metrics(labels.select(F.col("toxic").alias("expected_label"), (F.col("quality") == 0).cast("int").alias("guess")))
 
 
+SYNTHETIC_FIELDS = ["CONTRACT", "UNIT_MEAS", "PRIME_COMMODITY"]
+
+
+def made_up(spark, sf_dir):
+    """Five made-up records for each supplier."""
+    return ingest.synthetic(spark, read(spark, sf_dir, "supplier").count() * 5)
+
+
+def synthetic_records(spark, sf_dir):
+    return made_up(spark, sf_dir)
+
+
 def synthetic_scan(spark, sf_dir):
-    """A scan of made-up records, as many as there are parts, up to the pair cap of an interactive scan."""
-    made = ingest.synthetic(spark, read(spark, sf_dir, "supplier").count() * 5)
-    found = scan.run_scan(made, ["CONTRACT", "UNIT_MEAS", "PRIME_COMMODITY"], threshold=70.0, most=vocab.PAIR_LIMIT).candidates
-    return found.select(*SHOWN)
+    """A scan of made-up records, up to the pair limit of an interactive scan."""
+    found = scan.run_scan(made_up(spark, sf_dir), SYNTHETIC_FIELDS, threshold=70.0, most=vocab.PAIR_LIMIT).candidates
+    return shown_results(found)
+
+
+def csv_scan(spark, sf_dir):
+    """A CSV file with aliases, missing texts, quotes and commas, as a scan reads it."""
+    path = scratch(spark, "suppliers")
+    raw = read(spark, sf_dir, "supplier").selectExpr(
+        "s_name as ` part_no `", "case s_suppkey % 4 when 0 then 'NA' when 1 then 'null' else concat(s_name, ', \"of\" ', cast(s_nationkey as string)) end as Description", "cast(s_nationkey as string) as PART_TYPE", "'' as inventory_uom"
+    )
+    raw.write.option("header", True).option("escape", '"').csv(path)
+    return ingest.read_csv(spark, path, max_rows=None, max_bytes=None)
+
+
+def file_fingerprint(spark, sf_dir):
+    path = scratch(spark, "regions")
+    read(spark, sf_dir, "region").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(path)
+    return ingest.fingerprint(spark, path).select("file_sha256")
+
+
+def input_guards(spark, sf_dir):
+    """What reading says of an empty file, a file beyond the limits, one without rows, and a good one."""
+    suppliers = read(spark, sf_dir, "supplier").selectExpr("s_name as PART_NO", "s_name as DESCRIPTION").coalesce(1)
+    full, bare, empty = (scratch(spark, n) for n in ("full", "bare", "empty"))
+    suppliers.write.option("header", True).csv(full)
+    suppliers.limit(0).write.option("header", True).csv(bare)
+    suppliers.limit(0).select("PART_NO").coalesce(1).write.text(empty)
+    rows = []
+    for case, path, limits in (("empty", empty, {}), ("no rows", bare, {}), ("bytes", full, {"max_bytes": 10}), ("rows", full, {"max_rows": 1}), ("good", full, {})):
+        try:
+            rows.append((case, "read" if ingest.read_csv(spark, path, **limits).columns else ""))
+        except ingest.RecordError as error:
+            rows.append((case, type(error).__name__))
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
+def in_memory_records(spark, sf_dir):
+    return ingest.with_description(ingest.from_records(spark, read(spark, sf_dir, "nation").selectExpr("n_name as ` description`", "case when n_nationkey % 3 = 0 then null else n_name end as part_no", "cast(n_regionkey as string) as safety_code"))).select("PART_NO", "DESCRIPTION", "HAZARD_CODE")
+
+
+def described_records(spark, sf_dir):
+    return ingest.with_description(part_master(spark, sf_dir).selectExpr("rec_idx", "case when rec_idx % 7 = 0 then null when rec_idx % 7 = 1 then '  ' else DESCRIPTION end as DESCRIPTION"))
+
+
+FIELD_TEXTS = ("", '["a", " b "]', "type_code, unit_meas,", "  contract ", "[1, 2]")
+
+
+def field_parser(spark, sf_dir):
+    return spark.createDataFrame([(text, "|".join(validation.parse_fields(text))) for text in FIELD_TEXTS], "given string, fields string")
+
+
+def spoiled(spark, sf_dir):
+    """Part records with blank descriptions, repeated part numbers and sensitive notes."""
+    return part_master(spark, sf_dir).selectExpr(
+        "case when rec_idx % 9 = 0 then 'P-0' else PART_NO end as PART_NO",
+        "case when rec_idx % 10 = 0 then ' ' else DESCRIPTION end as DESCRIPTION",
+        "MASTER_PART_DESCRIPTION", "HAZARD_CODE",
+        "case rec_idx % 50 when 3 then 'ask a.b@c.org' when 4 then 'job-1234' when 5 then 'vendor: Acme 12' end as NOTE",
+    )
+
+
+WARNED_FIELDS = ("HAZARD_CODE", "MASTER_PART_DESCRIPTION", "GONE")
+
+
+def validation_warnings(spark, sf_dir):
+    return validation.warnings(spoiled(spark, sf_dir), WARNED_FIELDS)
+
+
+STOPPED_AT = 500
+
+
+def scan_warnings(spark, sf_dir):
+    """What a scan with an absent and a sparse field says that its limit of pairs stops."""
+    said = scan.run_scan(part_master(spark, sf_dir), ["TYPE_CODE", "GONE", "MASTER_PART_DESCRIPTION"], most=STOPPED_AT).warnings
+    return spark.createDataFrame([(w["warning_type"], w["message"]) for w in said], "warning_type string, message string")
+
+
+STORED_THRESHOLD = 60.0
+
+
+def store_lots(spark, sf_dir):
+    """A store with one scan of the mixed lots, and two reviews of its best candidate."""
+    kept = store.Store(spark, scratch(spark, "store"))
+    scan_id = scan.run_stored_scan(kept, part_master(spark, sf_dir, MIXED), [*MIXED_FIELDS, "GONE"], name=" lots ", threshold=STORED_THRESHOLD)
+    best = kept.ranked_candidates(scan_id).select("idx_a", "idx_b").first()
+    for decision in ("UNSURE", "DUPLICATE"):
+        kept.add_feedback(scan_id, best["idx_a"], best["idx_b"], decision, "first")
+    return kept, scan_id
+
+
+def stored_scan(spark, sf_dir):
+    kept, scan_id = store_lots(spark, sf_dir)
+    summary = kept.summary()
+    counts = [F.lit(summary[n]).cast("long").alias(f"n_{n}") for n in ("scans", "candidates", "feedback")]
+    return kept.scans().select("name", "status", "record_count", "total_candidates", "warnings_count", "threshold", "scan_mode", *counts, F.lit(summary["latest_scan"]["name"]).alias("latest"), F.lit(kept.warnings(scan_id).first()["message"]).alias("warning"))
+
+
+def stored_candidates(spark, sf_dir):
+    """The candidates of a stored scan, the most similar first, with their reviews."""
+    kept, scan_id = store_lots(spark, sf_dir)
+    ranked = groups.numbered(kept.candidates(scan_id).withColumn("o", F.struct((-F.col("similarity_score")).alias("s"), "idx_a", "idx_b")), "o", "place")
+    return ranked.select("place", "idx_a", "idx_b", "similarity_score", "business_status", "review_status", "reviewed_by")
+
+
+def candidate_rows(spark, sf_dir):
+    """Candidates in the shape that is stored, without scores."""
+    own, met = lot_pairs(spark, sf_dir)
+    found = results.candidates(classic.decide(met, own, MIXED_FIELDS))
+    record = [f"{c}_{s}" for s in "ab" for c in ("contract", "part_no", "description", "normalized_part_no", "normalized_description")]
+    attributes = [joined(f"extracted_attributes_{s}.{n}").alias(f"{n}_{s}") for s in "ab" for n in ("product_class", "rating", "color", "generic_terms")]
+    return found.select("idx_a", "idx_b", *record, *attributes, joined("application_context_a").alias("context_a"), joined("variant_attributes_b.SIZE").alias("size_b"), joined(F.transform("critical_mismatches", lambda d: d["type"])).alias("critical"), "scan_mode", "review_status")
+
+
+def scan_groups(spark, sf_dir):
+    """Duplicate groups of decided candidates, with the fields that their pairs share and differ in."""
+    own, met = lot_pairs(spark, sf_dir)
+    found = groups.duplicate_groups(results.candidates(classic.decide(met, own, MIXED_FIELDS)))
+    return found.select("group_id", "group_name", "part_count", "pair_count", "average_score", "top_score", "confidence_level", joined("matched_fields").alias("matched_fields"), joined("mismatched_fields").alias("mismatched_fields"), "summary")
+
+
+def scored_labels(spark, sf_dir):
+    """Labelled pairs of neighbouring lot records, written and read as CSV and scored by the classic engine."""
+    path = scratch(spark, "labelled-pairs")
+    rows = part_master(spark, sf_dir, MIXED).selectExpr("rec_idx", "DESCRIPTION")
+    both = rows.toDF("pair_id", "description_a").where("pair_id % 2 = 1").join(rows.selectExpr("rec_idx - 1 as pair_id", "DESCRIPTION as description_b"), "pair_id")
+    both.selectExpr("pair_id", "description_a", "description_b", "cast(pair_id % 3 = 0 as int) as expected_label").write.option("header", True).option("escape", '"').csv(path)
+    return evaluation.score_pairs(evaluation.read_pairs(spark, path))
+
+
+def labelled_scores(spark, sf_dir):
+    return scored_labels(spark, sf_dir)
+
+
+def labelled_metrics(spark, sf_dir):
+    return evaluation.metrics(scored_labels(spark, sf_dir))
 
 
 def field_catalogue(spark, sf_dir):
@@ -266,8 +441,9 @@ def field_catalogue(spark, sf_dir):
 QUERIES = (
     normalize_records, normalize_documents, technical_tokens, extract_attributes, variant_attributes, record_flags, csv_canonical, profile_validate, high_null_fields, repeated_part_rows,
     sensitive_patterns, block_index, candidate_pairs, candidate_pairs_cross_site, candidate_pairs_capped, records_without_candidates, matched_fields, set_scores, tfidf_pairs, fuzzy_pairs,
-    part_no_similarity, classic_guards, evidence_guards, classic_results, evidence_results, evidence_status_summary, guard_status_summary, review_filter, produced_and_kept, duplicate_groups, group_members,
-    export_rows, feedback_latest, evaluation_metrics, synthetic_scan, field_catalogue,
+    part_no_similarity, classic_guards, evidence_guards, classic_results, evidence_results, evidence_status_summary, classic_decisions, classic_decisions_cross_site, evidence_decisions, evidence_decisions_cross_site, guard_status_summary, review_filter, produced_and_kept, duplicate_groups, group_members,
+    export_rows, feedback_latest, evaluation_metrics, synthetic_records, synthetic_scan, field_catalogue, csv_scan, file_fingerprint, input_guards, in_memory_records, described_records, field_parser,
+    validation_warnings, scan_warnings, stored_scan, stored_candidates, candidate_rows, scan_groups, labelled_scores, labelled_metrics,
 )
 
 
@@ -293,8 +469,65 @@ def oracle_sql() -> dict[str, str]:
     node = lambda s: f"concat_ws('|', coalesce({s}.CONTRACT, ''), coalesce({s}.PART_NO, ''), coalesce({s}.DESCRIPTION, ''))"
     scored = f"sc as (select idx_a, idx_b, {node('a')} as node_a, {node('b')} as node_b, {o.structured_score()} as similarity_score from {o.both()}), sl as (select *, case when similarity_score >= 90 then 'HIGH' when similarity_score >= 75 then 'MEDIUM' when similarity_score >= 60 then 'LOW' else 'IGNORE' end as level from sc)"
     grouped = f"{PAIRS.replace('with ', 'with recursive ', 1)}, {scored}, {o.groups('sl', GROUP_MINIMUM)}"
+    lots = f"with {o.records(duckdb_view(MIXED))}, prs as (select a.rec_idx as idx_a, b.rec_idx as idx_b from pm a join pm b on a.TYPE_CODE = b.TYPE_CODE and a.rec_idx < b.rec_idx)"
+    texts = "st as (select rec_idx, {} as t from rec), sp as (select distinct a.t as ta, b.t as tb from prs join st a on a.rec_idx = idx_a join st b on b.rec_idx = idx_b)".format(o.similarity_words("ndesc0"))
     variants = "{" + ", ".join(f"'{n}': a.v_{n}" for n in o.VARIANTS) + "}"
+    texts_of = vocab.WARNING_TEXTS
+    spoiled_rows = f"""with pm as (select case when rec_idx % 9 = 0 then 'P-0' else PART_NO end as PART_NO, case when rec_idx % 10 = 0 then ' ' else DESCRIPTION end as DESCRIPTION, MASTER_PART_DESCRIPTION, HAZARD_CODE,
+ case rec_idx % 50 when 3 then 'ask a.b@c.org' when 4 then 'job-1234' when 5 then 'vendor: Acme 12' end as NOTE from ({duckdb_view()}))"""
+    fill = lambda kind, **values: "'" + texts_of[kind].replace("'", "''").format(**{k: f"' || {v} || '" for k, v in values.items()}) + "'"
+    share = lambda f: f"floor({blank(f)} / count(*) * 1000 + 0.5) / 10"
+    columns = ("PART_NO", "DESCRIPTION", "MASTER_PART_DESCRIPTION", "HAZARD_CODE", "NOTE")
+    sensitive_cells = " union all ".join(f"select '{kind}' as k, '{what}' as what, '{c}' as c, count(*) filter (where regexp_matches(coalesce({c}, ''), '{pattern}')) as n from pm" for kind, pattern, what in vocab.SENSITIVE for c in columns)
+    made = o.synthetic("select count(*) * 5 from supplier")
+    made_records = f"select *, cast(null as varchar) as MASTER_PART_DESCRIPTION from ({made})"
+    stored = f"with {o.records(duckdb_view(MIXED))}, {o.pair_tables(MIXED_FIELDS)}, {o.classic_decisions(MIXED_FIELDS)}, st_kept as (select * from decided where similarity_score >= {STORED_THRESHOLD})"
+    sides = ("a", "b")
+    record = ", ".join(f"{o.strip(f'{s}.{f}')} as {f.lower()}_{s}" for s in sides for f in ("CONTRACT", "PART_NO", "DESCRIPTION")) + ", " + ", ".join(f"{s}.npart as normalized_part_no_{s}, {s}.ndesc as normalized_description_{s}" for s in sides)
+    record += ", " + ", ".join(f"{o.joined(f'{s}.at_{n}')} as {n}_{s}" for s in sides for n in ("product_class", "rating", "color", "generic_terms"))
+    lot_groups = f"{lots.replace('with ', 'with recursive ', 1)}, {o.classic_decisions(MIXED_FIELDS)}, sl as (select d.*, confidence_level as level, {node('a')} as node_a, {node('b')} as node_b from decided d join rec a on a.rec_idx = idx_a join rec b on b.rec_idx = idx_b), {o.groups('sl', groups.MINIMUM)}"
+    parted = lambda x: f"list_filter(string_split({x}, '|'), lambda v: v <> '')"
+    labelled = o.labelled_pairs(duckdb_view(MIXED))
     return {
+        "synthetic_records": f"with pm as ({made}) select * from pm",
+        "synthetic_scan": f"with {o.records(made_records)}, {o.pair_tables(SYNTHETIC_FIELDS, cap=vocab.PAIR_LIMIT)}, {o.classic_decisions(SYNTHETIC_FIELDS)} select * from decided where similarity_score >= 70",
+        "csv_scan": """select s_name as PART_NO, case when s_suppkey % 4 in (0, 1) then null else s_name || ', "of" ' || s_nationkey end as DESCRIPTION, cast(s_nationkey as varchar) as TYPE_CODE, cast(null as varchar) as UNIT_MEAS from supplier""",
+        "file_fingerprint": "select sha256(string_agg(r_name || chr(10), '' order by r_name)) as file_sha256 from region",
+        "input_guards": "select * from (values ('empty', 'RecordError'), ('no rows', 'RecordError'), ('bytes', 'TooLarge'), ('rows', 'TooLarge'), ('good', 'read')) v(\"case\", outcome)",
+        "in_memory_records": "select case when n_nationkey % 3 = 0 then '' else n_name end as PART_NO, n_name as DESCRIPTION, cast(n_regionkey as varchar) as HAZARD_CODE from nation",
+        "described_records": f"select rec_idx, DESCRIPTION from ({duckdb_view()}) where rec_idx % 7 not in (0, 1)",
+        "field_parser": "select * from (values ('', ''), ('[\"a\", \" b \"]', 'A|B'), ('type_code, unit_meas,', 'TYPE_CODE|UNIT_MEAS'), ('  contract ', 'CONTRACT'), ('[1, 2]', '1|2')) v(given, fields)",
+        "validation_warnings": f"""{spoiled_rows}, cells as ({sensitive_cells}), n as (select {blank('DESCRIPTION')} as e from pm),
+ r as (select coalesce(sum(c), 0)::bigint as c from (select count(*) as c from pm group by coalesce(PART_NO, '')) where c > 1),
+ sp as ({' union all '.join(f"select '{f}' as f, {share(f)} as p, {blank(f)} / count(*) as s from pm" for f in WARNED_FIELDS[:2])})
+ select 'EMPTY_DESCRIPTION' as warning_type, cast(null as varchar) as subject, {fill('EMPTY_DESCRIPTION', n='e')} as message from n where e > 0
+ union all select 'DUPLICATE_PART_NO', null, {fill('DUPLICATE_PART_NO', n='c')} from r where c > 0
+ union all select 'MISSING_SELECTED_FIELD', 'GONE', {fill('MISSING_SELECTED_FIELD', field="'GONE'")}
+ union all select 'HIGH_NULL_FIELD', f, {fill('HIGH_NULL_FIELD', field='f', percent='p')} from sp where s >= 0.5
+ union all select k, cols, {fill('SENSITIVE', n='n', what='what', columns='cols')} from (select k, what, cast(sum(n) as bigint) as n, string_agg(c, ', ' order by c) as cols from cells where n > 0 group by 1, 2)""",
+        "scan_warnings": f"""{WITH}, {o.pair_tables(['TYPE_CODE'])}, sp as (select {share('MASTER_PART_DESCRIPTION')} as p from pm)
+ select 'MISSING_SELECTED_FIELD' as warning_type, {fill('IGNORED_FIELD', field="'GONE'")} as message
+ union all select 'HIGH_NULL_FIELD', {fill('HIGH_NULL_FIELD', field="'MASTER_PART_DESCRIPTION'", percent='p')} from sp
+ union all select 'PAIR_LIMIT_REACHED', {fill('PAIR_LIMIT_REACHED', most=f"'{STOPPED_AT}'")} where (select count(*) from prs) >= {STOPPED_AT}""",
+        "stored_scan": f"""{stored} select 'lots' as name, 'COMPLETED' as status, (select count(*) from part) as record_count, count(*) as total_candidates, 1::bigint as warnings_count, {STORED_THRESHOLD}::double as threshold, '{vocab.SCAN_MODES[0]}' as scan_mode,
+ 1::bigint as n_scans, count(*) as n_candidates, 2::bigint as n_feedback, 'lots' as latest, {fill('IGNORED_FIELD', field="'GONE'")} as warning from st_kept""",
+        "stored_candidates": f"""{stored}, rk as (select row_number() over (order by similarity_score desc, idx_a, idx_b) as place, * from st_kept)
+ select place, idx_a, idx_b, similarity_score, business_status, case when place = 1 then 'DUPLICATE' else 'UNREVIEWED' end as review_status, case when place = 1 then 'first' end as reviewed_by from rk""",
+        "candidate_rows": f"""{lots}, {o.classic_decisions(MIXED_FIELDS)} select idx_a, idx_b, {record}, {o.joined('a.at_application_context')} as context_a, {o.joined('b.v_SIZE')} as size_b, difference_kinds as critical,
+ '{vocab.SCAN_MODES[0]}' as scan_mode, 'UNREVIEWED' as review_status from {o.both('decided')}""",
+        "scan_groups": f"""{lot_groups},
+ ex as (select c, adm.* from adm join comp on comp.n = node_a),
+ pg as (select c, count(*) as pair_count, floor(avg(similarity_score) * 100 + 0.5) / 100 as average_score, max(similarity_score) as top_score, min((idx_a, idx_b)) as first,
+  list_sort(list_distinct(flatten(list({parted('matched_evidence')})))) as mf, list_sort(list_distinct(flatten(list(list_concat({parted('mismatched_fields')}, {parted('difference_kinds')}))))) as mm from ex group by c),
+ parts as (select c, n, regexp_replace(n, '^[^|]*[|][^|]*[|]', '') as d from comp),
+ ng as (select c, count(*) as part_count, arg_min(d, (length(d), lower(d))) as group_name from parts group by c)
+ select row_number() over (order by first) as group_id, group_name, part_count, pair_count, average_score, top_score, {o.level('top_score')} as confidence_level, {o.joined('mf')} as matched_fields, {o.joined('mm')} as mismatched_fields,
+  part_count || ' parts are connected by ' || pair_count || ' medium/high confidence candidate pair(s). ' || case when len(mf) > 0 then 'Matched fields: ' || array_to_string(mf, ', ') || '.' else 'No shared business fields were available.' end
+  || case when len(mm) > 0 then ' Mismatched fields: ' || array_to_string(mm, ', ') || '.' else '' end || ' Review the pair-level evidence before making a master-data decision.' as summary
+ from pg join ng using (c)""",
+        "labelled_scores": f"{labelled} select pair_id, description_a, description_b, expected_label, score, guess from scored",
+        "labelled_metrics": f"""{labelled}, n as (select count(*) filter (where guess = 1 and expected_label = 1) as tp, count(*) filter (where guess = 1 and expected_label = 0) as fp, count(*) filter (where guess = 0 and expected_label = 1) as fn, count(*) filter (where guess = 0 and expected_label = 0) as tn from scored)
+ select *, case when tp + fp > 0 then floor(tp / (tp + fp) * 1000 + 0.5) / 1000 else 0 end as precision, case when tp + fn > 0 then floor(tp / (tp + fn) * 1000 + 0.5) / 1000 else 0 end as recall, case when 2 * tp + fp + fn > 0 then floor(2 * tp / (2 * tp + fp + fn) * 1000 + 0.5) / 1000 else 0 end as f1_score from n""",
         "normalize_records": f"{WITH} select rec_idx, npart as normalized_part_no, ndesc as normalized_description, ntext as normalized_text from rec",
         "normalize_documents": f"with a as (select doc_id, {o.normalize('text')} as n from documents), b as (select doc_id, {o.expand('n')} as t from a) select doc_id, len({o.words('t')}) as n_tokens, md5(t) as text_md5 from b",
         "technical_tokens": f"{WITH} select rec_idx, {show(o.TECHNICAL)} from rec",
@@ -311,13 +544,21 @@ def oracle_sql() -> dict[str, str]:
         "block_index": f"{PAIRS} select split_part(key, ':', 1) as kind, key, count(*) as n_records, min(rec_idx) as first_record from bl group by 1, 2",
         "candidate_pairs": f"{PAIRS} select * from prs",
         "candidate_pairs_cross_site": f"{WITH}, {o.pair_tables(FIELDS, cross_site=True)} select * from prs",
-        "candidate_pairs_capped": f"{WITH}, {o.pair_tables(FIELDS, cap=CAP)} select * from prs",
+        "candidate_pairs_capped": f"{WITH}, {o.pair_tables(FIELDS, cross_site=True, cap=vocab.PAIR_LIMIT)} select * from prs",
         "records_without_candidates": f"{PAIRS} select rec_idx, PART_NO from pm where rec_idx not in (select idx_a from prs union select idx_b from prs)",
         "matched_fields": f"{WITH}, {o.pair_tables(FIELDS, cross_site=True)} select idx_a, idx_b, {o.joined(matched)} as matched_fields, {o.joined(mismatched)} as mismatched_fields from {o.both()}",
         "set_scores": f"{PAIRS} select idx_a, idx_b, {o.technical_score()} as technical_score, {o.structured_score()} as structured_score, {o.business_score(FIELDS)} as business_score from {o.both()}",
-        "tfidf_pairs": f"{PAIRS}, st as (select rec_idx, {o.similarity_words('ndesc0')} as t from rec), {o.gram_cosine('select distinct a.t as ta, b.t as tb from prs join st a on a.rec_idx = idx_a join st b on b.rec_idx = idx_b')} select ta, tb, tfidf_score from cosines",
+        "tfidf_pairs": f"{PAIRS}, {texts}, {o.gram_cosine('select ta, tb from sp')} select ta, tb, tfidf_score from cosines",
         "part_no_similarity": f"with s as (select s_suppkey as i, s_nationkey as n, replace({o.expand(o.normalize('s_name'))}, ' ', '') as t from supplier), p as (select a.i as idx_a, b.i as idx_b, a.t as ta, b.t as tb from s a join s b on a.n = b.n and a.i < b.i) "
         f"select idx_a, idx_b, case when ta = '' or tb = '' then 0 else {o.round2(f'200.0::double * {o.common_length("ta", "tb")} / (length(ta) + length(tb))')} end as part_no_similarity from p",
+        "fuzzy_pairs": f"{PAIRS}, {texts}, {o.fuzzy_scores('select ta, tb from sp')} select ta, tb, fuzzy_score from fz",
+        "classic_results": f"{PAIRS}, {o.classic_decisions(FIELDS)} select * from decided",
+        "evidence_results": f"{PAIRS}, {o.evidence_decisions(FIELDS)} select * from decided",
+        "evidence_status_summary": f"{PAIRS}, {o.evidence_decisions(FIELDS)} select coalesce(business_status, 'TOTAL') as status, count(*) as n from decided group by rollup (business_status)",
+        "classic_decisions": f"{lots}, {o.classic_decisions(MIXED_FIELDS)} select * from decided",
+        "classic_decisions_cross_site": f"{lots}, {o.classic_decisions(MIXED_FIELDS, vocab.SCAN_MODES[1])} select * from decided",
+        "evidence_decisions": f"{lots}, {o.evidence_decisions(MIXED_FIELDS)} select * from decided",
+        "evidence_decisions_cross_site": f"{lots}, {o.evidence_decisions(MIXED_FIELDS, cross_site=True)} select * from decided",
         "classic_guards": f"{PAIRS} {o.classic_guards()}",
         "evidence_guards": f"{PAIRS} {o.evidence_guards()}",
         "guard_status_summary": f"{guard_rows} select coalesce(status, 'TOTAL') as status, count(*) as n from gd where status is not null group by rollup (status)",

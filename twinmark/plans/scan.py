@@ -25,16 +25,17 @@ class Scan:
     warnings: list[dict] = field(default_factory=list)
 
 
-def decided_pairs(records: DataFrame, fields=(), *, engine: str = "classic", mode: str | None = None, most: int | None = None) -> DataFrame:
-    """Decided pairs of records that have a description; ``fields`` must be usable columns."""
+def decided_pairs(records: DataFrame, fields=(), *, engine: str = "classic", mode: str | None = None, most: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """Decided pairs of records that have a description, and a warning if ``most`` cut them; ``fields`` must be usable columns."""
     mode = scan_mode(mode)
     cross_site = mode != vocab.SCAN_MODES[0]
     enriched = reused(enrich(with_index(with_description(records))), "records")
-    pairs = blocking.candidate_pairs(enriched, fields, cross_site=cross_site, most=most).select("idx_a", "idx_b")
+    pairs, warnings = blocking.limited_pairs(enriched, fields, cross_site=cross_site, most=most)
+    pairs = pairs.select("idx_a", "idx_b")
     if engine == "classic":
-        return classic.decide(pairs, enriched, fields, mode)
+        return classic.decide(pairs, enriched, fields, mode), warnings
     if engine == "evidence":
-        return evidence.decide(pairs, enriched, fields, cross_site, mode)
+        return evidence.decide(pairs, enriched, fields, cross_site, mode), warnings
     raise ValueError("engine must be classic or evidence")
 
 
@@ -49,10 +50,10 @@ def run_scan(records: DataFrame, fields=(), *, engine: str = "classic", mode: st
         records = records.withColumnRenamed("REC_IDX", "rec_idx")
     wanted = canonical_fields(fields)
     used, warnings = usable_fields(records, wanted)
-    decided = decided_pairs(records, used, engine=engine, mode=mode, most=most)
+    decided, cut = decided_pairs(records, used, engine=engine, mode=mode, most=most)
     if statuses is None and engine == "evidence":
         statuses = vocab.REVIEW_STATUSES
-    return Scan(results.kept(results.candidates(decided), threshold, statuses), used, warnings)
+    return Scan(results.kept(results.candidates(decided), threshold, statuses), used, warnings + cut)
 
 
 def run_stored_scan(store: Store, records: DataFrame, fields=(), *, name: str | None = None, threshold: float = 75.0, mode: str | None = None, **options) -> str:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SCANS = "scan_id string, name string, status string, record_count long, total_candidates long, warnings_count long, threshold double, scan_mode string, started_at timestamp, completed_at timestamp"
 WARNINGS = "scan_id string, warning_type string, message string, record_reference string, created_at timestamp"
 FEEDBACK = "scan_id string, idx_a long, idx_b long, decision string, reviewer string, comment string, created_at timestamp, feedback_id string"
+#: Columns that all candidates have; the others depend on the engine.
+CANDIDATES = "idx_a long, idx_b long, similarity_score double, confidence_level string, business_status string, explanation string, review_status string, scan_id string"
 DECISIONS = ("DUPLICATE", "NOT_DUPLICATE", "UNSURE")
 
 
@@ -73,7 +75,13 @@ class Store:
 
     def candidates(self, scan_id: str) -> DataFrame:
         """Candidates of a scan with their current review; only the partition of the scan is read."""
-        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/candidates").where(F.col("scan_id") == scan_id)
+        # the folder of the scan alone is opened, so other scans may have other columns; one without candidates has none
+        try:
+            rows = self.spark.read.option("basePath", f"{self.path}/candidates").parquet(f"{self.path}/candidates/scan_id={scan_id}")
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            rows = self.spark.createDataFrame([], CANDIDATES)
         reviews = latest_feedback(self._read("feedback", FEEDBACK).where(F.col("scan_id") == scan_id), ["idx_a", "idx_b"])
         own = reviews.select("idx_a", "idx_b", F.col("decision").alias("d"), F.col("reviewer").alias("reviewed_by"), F.col("created_at").alias("reviewed_at"))
         return rows.join(own, ["idx_a", "idx_b"], "left").withColumn("review_status", F.coalesce("d", "review_status")).drop("d")
@@ -84,12 +92,23 @@ class Store:
     def warnings(self, scan_id: str) -> DataFrame:
         return self._read("warnings", WARNINGS).where(F.col("scan_id") == scan_id)
 
+    def columns(self) -> dict[str, list[str]]:
+        """The tables that are written here, with their columns; those of candidates are those of the scans stored so far."""
+        names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+        try:
+            found = self.spark.read.parquet(f"{self.path}/candidates").columns
+        except Exception as error:
+            if not any(kind in str(error) for kind in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+                raise
+            found = [c.split()[0] for c in CANDIDATES.split(", ")]
+        return {"scans": names(SCANS), "candidates": found, "warnings": names(WARNINGS), "feedback": names(FEEDBACK)}
+
     def summary(self) -> dict:
         """Counts of scans, candidates and reviews, and the newest scan."""
         try:
             found = self.spark.read.parquet(f"{self.path}/candidates").count()
         except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+            if not any(kind in str(error) for kind in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
                 raise
             found = 0
         newest = self.scans().limit(1).collect()

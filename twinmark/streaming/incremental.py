@@ -15,7 +15,7 @@ from ..sources.ingest import with_description
 
 
 def earlier_records(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Records of the batches before this one; None if there are none yet."""
+    """Enriched records of the batches before this one; None if there are none yet."""
     try:
         return spark.read.option("mergeSchema", True).parquet(f"{path}/records").where(F.col("batch_id") < batch_id).drop("batch_id")
     except Exception as error:
@@ -27,17 +27,17 @@ def earlier_records(spark: SparkSession, path: str, batch_id: int) -> DataFrame
 def link_batch(batch: DataFrame, batch_id: int, path: str, fields=(), *, engine: str = "classic", mode: str | None = None, threshold: float = 75.0) -> None:
     """Stores the records of a batch and the candidates that hold at least one of them.
 
-    Earlier records take part only if they share a block key with the batch.  The output of a batch replaces what an
+    Records are enriched once, when they come, and stored so.  Earlier ones take part only if they share a block key
+    with the batch.  The output of a batch replaces what an
     earlier try of the same batch wrote, so a restarted stream leaves every candidate once.
     """
     spark, mode = batch.sparkSession, scan_mode(mode)
     cross_site = mode != vocab.SCAN_MODES[0]
     fresh = reused(with_description(batch), "batch")
-    fresh.write.mode("overwrite").parquet(f"{path}/records/batch_id={batch_id}")
-    own = enrich(fresh).withColumn("is_new", F.lit(True))
-    before = earlier_records(spark, path, batch_id)
-    if before is not None:
-        old = enrich(before)
+    enrich(fresh).write.mode("overwrite").parquet(f"{path}/records/batch_id={batch_id}")
+    own = spark.read.parquet(f"{path}/records/batch_id={batch_id}").withColumn("is_new", F.lit(True))
+    old = earlier_records(spark, path, batch_id)
+    if old is not None:
         keys = blocking.blocks(own, fields).select("key").distinct()
         near = blocking.blocks(old, fields).join(keys, "key", "left_semi").select("rec_idx").distinct()
         own = own.unionByName(old.join(near, "rec_idx", "left_semi").withColumn("is_new", F.lit(False)), allowMissingColumns=True)
