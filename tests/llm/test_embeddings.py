@@ -40,6 +40,7 @@ SHAPE = "vec_id long, embedding array<float>, label int"
 def test_links_against_brute_force(spark, monkeypatch, cluster, piece):
     monkeypatch.setattr(ed, "CLUSTER", cluster)
     monkeypatch.setattr(ed, "PIECE", piece)
+    monkeypatch.setattr(ed, "ASKED", 2 * piece)
     rows = make()
     got = {r.vec_id: (r.n_links, r.component_id) for r in ed.link_vectors(spark.createDataFrame(rows, SHAPE)).collect()}
     want = brute(rows)

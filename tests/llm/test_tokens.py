@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -162,3 +164,67 @@ def test_added_tokens_inside_a_text_keep_their_ids(spark, files):
         want |= {(doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes())) for start, length in packing.cut(len(ids), 1024)}
     got = packing.pack_documents(docs, files[1], files[2]).collect()
     assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+
+
+def changed(files, tmp_path, change):
+    with open(files[1], encoding="utf-8") as file:
+        spec = json.load(file)
+    change(spec)
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    return str(path)
+
+
+def swap_merges(spec):
+    merges = spec["model"]["merges"]
+    merges[3], merges[40] = merges[40], merges[3]
+
+
+def test_the_file_proves_that_the_fast_encoder_is_right(files):
+    assert tokens.same_ids(files[1], files[2])
+    assert not tokens.same_ids(files[1], files[2] + " ")
+
+
+@pytest.mark.parametrize("change", [swap_merges, lambda s: s["model"]["merges"].pop(), lambda s: s["pre_tokenizer"].update(add_prefix_space=True), lambda s: s["model"].update(dropout=0.1)])
+def test_other_files_go_to_the_library(spark, files, tmp_path, change):
+    path = changed(files, tmp_path, change)
+    assert not tokens.same_ids(path, files[2])
+    if change is not swap_merges:
+        return
+    texts = ["the other thing is there", "another text that the merges of <|endoftext|> change", None]
+    library = tokens.vocabulary_tokenizer(path)
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, files[2]).collect()
+    want = {(k, zlib.crc32(np.array([*(library.encode(t, add_special_tokens=False).ids if t else []), 2], "<u4").tobytes())) for k, t in enumerate(texts)}
+    assert {(r.doc_id, r.ids_crc32) for r in rows} == want
+
+
+def test_every_code_point_splits_alike(files):
+    """Which classes a code point belongs to is the one thing that the file does not say."""
+    fast, slow = tokens.vocabulary_encoder(files[1], files[2]), tokens.vocabulary_tokenizer(files[1])
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (c < 0x33480 or 0xE0000 <= c < 0xE0200 or c % 4093 == 0)]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)}b\n" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    for text, found in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast.encode_ordinary(text) == found.ids
+
+
+def test_very_long_texts_and_many_large_ones(spark, files):
+    encoder = tokens.rank_encoder(files[0], files[2])
+    random.seed(4)
+    words = [" ".join("".join(random.choices("abcdeé你\n", k=6)) for _ in range(2000)) for _ in range(4)]
+    large = [" ".join(words[(k + j) % 4] for j in range(40)) for k in range(3)]
+    assert min(map(len, large)) > 2 * tokens.PIECE_CHARS
+    rows = [(k, large[k % 3]) for k in range(30)] + [(99, "x" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ids = {text: encoder.encode_ordinary(text) for text in {t for _, t in rows}}
+    got = {r.doc_id: r for r in tokens.encode_documents(docs, files[0], files[2], keep_ids=False).collect()}
+    assert all(got[k].n_tokens == len(ids[t]) and got[k].ids_sha256 == hashlib.sha256(np.array(ids[t], "<u4").tobytes()).hexdigest() for k, t in rows)
+    counted = {r.doc_id: r.n_tokens for r in token_scan.count_document_tokens(docs, files[0], files[2], 50256).collect()}
+    assert counted == {k: len(ids[t]) for k, t in rows}
+    few = docs.where("doc_id in (0, 1, 99)")
+    library = tokens.vocabulary_tokenizer(files[1])
+    want = set()
+    for k, text in rows:
+        if k in (0, 1, 99):
+            own = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+            want |= {(k, start, zlib.crc32(own[start : start + length].tobytes())) for start, length in packing.cut(len(own), 1024)}
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in packing.pack_documents(few, files[1], files[2]).collect()} == want

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ship
 
-#: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
-BATCH_ROWS = 500
+#: Rows that a function of ``map_slices`` gets at a time: bounds what it makes of them.
+SLICE_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers (never raises) the number of rows that an Arrow batch carries to Python, whose workers get this package."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` with a function that gets slices of at most ``rows`` rows, in workers that get this package.
+
+    Spark bounds the batches that it sends by bytes (64 MB, or one row that is longer) and by rows; the slices are views
+    of them.  No setting of the session is touched.
+    """
+    ship(df.sparkSession)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

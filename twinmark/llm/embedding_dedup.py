@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import map_slices, store
 from .components import connected_components
 
 THRESHOLD = 0.93
-#: Vectors of a cluster aimed at, and home vectors of a shard at most: larger clusters are split.
-CLUSTER, PIECE = 2000, 4096
+#: Vectors of a cluster aimed at, home vectors of a shard and queries of a group at most: larger clusters are split.
+CLUSTER, PIECE, ASKED = 2000, 4096, 16384
 #: Rows that centroids are fitted on, at most; also bounds how many centroids there are.
 SAMPLE = 20_000
 #: Clusters whose graphs hold a vector, and clusters that a vector searches.
@@ -36,16 +36,17 @@ NEAR, FAR, CANDIDATES, ALPHA = 20, 6, 48, 1.2
 #: Beam of the greedy search, entry points, how far below the threshold the spreading still goes.
 BEAM, ENTRIES, MARGIN = 32, 16, 0.04
 QUERIES = 128
+#: Vectors that a function gets at a time.
+VECTORS = 4000
 #: Vectors of a block of exact comparison.
 BLOCK = 4096
 #: Queries with links that the audit judges on, the recall it asks for, and how often the search may be widened.
-AUDITED, RECALL, WIDENINGS = 200, 0.9, 2
+AUDITED, RECALL, WIDENINGS = 200, 0.99, 2
 
 
 def prepare(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """vec_id, label, digest, vec (unit vector, little-endian doubles); both null for vectors that link with nothing."""
     own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    small_batches(rows.sparkSession, 4000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +63,7 @@ def prepare(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> Da
                 vectors.append(unit.tobytes() if unit is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "digest", "vec"])
 
-    return own.mapInArrow(run, "vec_id long, label string, digest binary, vec binary")
+    return map_slices(own, run, "vec_id long, label string, digest binary, vec binary", VECTORS)
 
 
 def matrix(column) -> np.ndarray:
@@ -111,17 +112,25 @@ def deal(classes: DataFrame, centroids: dict, visited: int) -> DataFrame:
             out = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(dims, pa.int32()), pa.array(clusters, pa.int32()), pa.array(ranks, pa.int32())], names=["label", "id", "vec", "dim", "cluster", "rank"])
 
-    return classes.select("label", "id", "vec").mapInArrow(run, "label string, id long, vec binary, dim int, cluster int, rank int")
+    return map_slices(classes.select("label", "id", "vec"), run, "label string, id long, vec binary, dim int, cluster int, rank int", VECTORS)
 
 
 def shard(dealt: DataFrame) -> DataFrame:
-    """Splits clusters into pieces of bounded size; a vector is a node in one piece of a cluster and a query in all."""
+    """Splits clusters into pieces of bounded size, and the vectors that search a cluster into parts of bounded size.
+
+    A vector is a node in one piece of a cluster, in each part of it, and a query in one part of each piece; so a group
+    (label, dim, cluster, piece, part) is bounded however many vectors share a cluster.
+    """
     key = ["label", "dim", "cluster"]
-    pieces = dealt.where("rank = 0").groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    own = dealt.join(pieces, key, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    spread = own.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    node = (F.col("piece") == F.col("mine")) & (F.col("rank") < HELD)
-    return spread.select(*key, "piece", node.alias("node"), "id", "vec")
+    homes = F.sum(F.when(F.col("rank") == 0, 1).otherwise(0))
+    sizes = dealt.groupBy(*key).agg(F.greatest(F.ceil(homes / PIECE), F.lit(1)).cast("int").alias("pieces"), F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
+    own = dealt.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("asks", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int"))
+    held = F.col("rank") < HELD
+    place = lambda piece, part, node, query: F.struct(piece.alias("piece"), part.alias("part"), node.alias("node"), query.alias("query"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: place(p, F.col("asks"), held & (p == F.col("mine")), F.lit(True)))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: held & (q != F.col("asks")))
+    answers = F.transform(others, lambda q: place(F.col("mine"), q, F.lit(True), F.lit(False)))
+    return own.select(*key, "id", "vec", F.explode(F.concat(asked, answers)).alias("p")).select(*key, "p.*", "id", "vec")
 
 
 def robust_prune(x: np.ndarray, at: np.ndarray, candidates: np.ndarray, keep: int) -> np.ndarray:
@@ -274,7 +283,7 @@ def build(shards: DataFrame) -> DataFrame:
         lists = build_graph(matrix(group.column("vec")))
         return pa.table({"id": pa.array(ids), "neighbours": pa.array([np.unique(ids[own[own >= 0]]) for own in lists], pa.list_(pa.int64()))})
 
-    nodes = shards.where("node").groupBy("label", "dim", "cluster", "piece").applyInArrow(run, "id long, neighbours array<long>")
+    nodes = shards.where("node and query").groupBy("label", "dim", "cluster", "piece").applyInArrow(run, "id long, neighbours array<long>")
     return nodes.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
 
 
@@ -288,7 +297,7 @@ def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) ->
         # a vector may be here as node; rows are sorted by id so that roots are the least ids
         order = np.argsort(group.column("id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
-        ids, is_node = (group.column(c).to_numpy() for c in ("id", "node"))
+        ids, is_node, asks = (group.column(c).to_numpy() for c in ("id", "node", "query"))
         at = np.flatnonzero(is_node)
         forest = Forest(len(ids))
         if len(at):
@@ -306,16 +315,17 @@ def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) ->
             lists[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = place
             entries, own_row = entry_points(x), np.full(len(ids), -1, np.int64)
             own_row[at] = np.arange(len(at))
-            for start in range(0, len(ids), QUERIES):
-                part = slice(start, start + QUERIES)
+            asked = np.flatnonzero(asks)
+            for start in range(0, len(asked), QUERIES):
+                part = asked[start : start + QUERIES]
                 q, p = range_search(x, lists, every[part], own_row[part], threshold, beam, entries)
-                other = ids[start + q] != node_ids[p]
-                forest.join(start + q[other], at[p[other]])
+                other = ids[part[q]] != node_ids[p]
+                forest.join(part[q[other]], at[p[other]])
         roots = ids[forest.find(np.arange(len(ids)))]
         return pa.table({"id": pa.array(ids), "root": pa.array(roots)})
 
     joined = shards.join(graph, "id", "left")
-    return joined.groupBy("label", "dim", "cluster", "piece").applyInArrow(run, "id long, root long")
+    return joined.groupBy("label", "dim", "cluster", "piece", "part").applyInArrow(run, "id long, root long")
 
 
 def compare(groups: DataFrame, threshold: float, roots: bool = False) -> DataFrame:
@@ -408,7 +418,7 @@ def compare_sample(classes: DataFrame, sample: list, threshold: float) -> dict[i
                             total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["id", "n"])
 
-    found = classes.select("id", "label", "mult", "vec").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = map_slices(classes.select("id", "label", "mult", "vec"), run, "id long, n long", VECTORS).groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in found.collect()}
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled_ids, small_batches, store
+from .common import map_slices, sampled_ids, store
 
 BITS = 14
 ORDERS = (2, 3)
@@ -90,7 +90,7 @@ def count_grams(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(target[at]), pa.array(everything[at])], names=["bucket", "target", "everything"])
 
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "quality")
-    rows = marked.mapInArrow(run, "bucket int, target long, everything long").groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("everything").alias("e")).toPandas()
+    rows = map_slices(marked, run, "bucket int, target long, everything long").groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("everything").alias("e")).toPandas()
     target, everything = np.zeros(1 << BITS), np.zeros(1 << BITS)
     target[rows["bucket"]], everything[rows["bucket"]] = rows["t"], rows["e"]
     return target, everything
@@ -103,7 +103,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     every weight is 1 and every document is wanted.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     clean = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = store(sampled_ids(clean, "doc_id", most, "quality"), "labelled")  # bounded by ``most``, so it may be broadcast
     target, everything = count_grams(docs, sample)
@@ -116,10 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, 0.0)
         for batch in batches:
-            weights = [own.weigh((text.as_py() or "").encode())[1] for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(weights, pa.float64()), batch.column(1)], names=["weight", "quality"])
+            weights = [own.weigh((text.as_py() or "").encode())[1] for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64()), batch.column(2)], names=["doc_id", "weight", "quality"])
 
-    seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text", "quality").mapInArrow(run, "weight double, quality int").toPandas()
+    # one row for each sampled id, of rows that repeat it the least weight, so that the cut is fixed and what is collected bounded
+    weighed = map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id"), run, "doc_id long, weight double, quality int")
+    seen = weighed.groupBy("doc_id").agg(F.min("weight").alias("weight"), F.max("quality").alias("quality")).toPandas()
     good, bad = seen["weight"][seen["quality"] == 1], seen["weight"][seen["quality"] != 1]
     low = float(np.quantile(good, LOWEST)) if len(good) else 0.0
     middle = float(np.median(bad)) if len(bad) else low - WITHOUT_BAD / TOWARDS_BAD
@@ -130,7 +131,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_grams, log_weight and sample_key (log weight plus Gumbel noise) of every whole text; narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, 0.0)
@@ -144,7 +144,7 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
                 keys.append(weight + noise(doc_id, raw))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())], names=["doc_id", "n_grams", "log_weight", "sample_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_grams long, log_weight double, sample_key double")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_grams long, log_weight double, sample_key double")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, few: int = 1000) -> float:
@@ -191,7 +191,12 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFram
 
 
 def keep_documents(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with all columns; the models come from the whole ``corpus``."""
+    """The rows of ``docs`` that are drawn, with all columns; the models come from the whole ``corpus``.
+
+    As in ``select``: null and empty texts have the weight 1, repeated rows stand or fall together, rows without an id
+    are drawn like others, columns other than doc_id and text travel along whatever their names, empty ``docs`` give
+    no rows, and without good labels every row stays.
+    """
     model = fit(corpus, labels)
     weighed = store(weigh(docs, model), "weights")
     edge = least_key(weighed, model) if not weighed.isEmpty() else float("inf")
@@ -207,4 +212,4 @@ def keep_documents(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> Dat
                 ok.append(own.weigh(raw)[1] + noise(doc_id, raw) >= edge)
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_slices(docs, run, docs.schema)

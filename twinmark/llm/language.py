@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled_ids, small_batches, store, texts
+from .common import fold, map_slices, sampled_ids, store, texts
 
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 WINDOW = 256
@@ -61,49 +61,60 @@ def cut_windows(raw: bytes) -> np.ndarray:
     return windows.reshape(n, WINDOW)
 
 
-def train(windows: np.ndarray, answers: np.ndarray, classes: list[str], epochs: int = EPOCHS) -> Network:
-    """Fits the network by Adam on labelled windows."""
-    random, widest = np.random.default_rng(3), max(WIDTHS)
-    width_of = np.repeat(WIDTHS, FILTERS)
-    mask = (np.repeat(np.arange(widest), EMBEDDING)[:, None] < width_of[None, :]).astype(np.float32)
-    net = Network(
+def start_network(classes: list[str], dtype=np.float32) -> Network:
+    random, widest, n = np.random.default_rng(3), max(WIDTHS), len(WIDTHS) * FILTERS
+    return Network(
         classes,
-        random.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32),
-        (random.normal(0, 0.3, (widest * EMBEDDING, len(width_of))) * mask).astype(np.float32),
-        np.zeros(len(width_of), np.float32),
-        random.normal(0, 0.2, (len(width_of), len(classes))).astype(np.float32),
-        np.zeros(len(classes), np.float32),
+        random.normal(0, 0.5, (256, EMBEDDING)).astype(dtype),
+        (random.normal(0, 0.3, (widest * EMBEDDING, n)) * reach()).astype(dtype),
+        np.zeros(n, dtype),
+        random.normal(0, 0.2, (n, len(classes))).astype(dtype),
+        np.zeros(len(classes), dtype),
     )
+
+
+def reach() -> np.ndarray:
+    """Which rows of a column each filter reads: those of as many bytes as it is wide."""
+    return (np.repeat(np.arange(max(WIDTHS)), EMBEDDING)[:, None] < np.repeat(WIDTHS, FILTERS)[None, :]).astype(np.float32)
+
+
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean cross entropy of labelled windows, for embedding, filters, bias, output and output bias."""
+    widest, rows = max(WIDTHS), np.arange(len(x))
+    columns, response = net.pooled(x)
+    response = response.reshape(len(x), WINDOW, -1)
+    place = response.argmax(axis=1)
+    top = np.take_along_axis(response, place[:, None, :], axis=1)[:, 0] + net.bias
+    hidden = np.maximum(top, 0)
+    logits = hidden @ net.output + net.output_bias
+    logits -= logits.max(axis=1, keepdims=True)
+    share = np.exp(logits)
+    share /= share.sum(axis=1, keepdims=True)
+    share[rows, y] -= 1
+    share /= len(x)
+    back = (share @ net.output.T) * (top > 0)
+    seen = columns[rows[:, None], place]  # (n, filters, widest * EMBEDDING)
+    d_filters = np.einsum("nf,nfc->cf", back, seen) * reach()
+    d_columns = (back[:, :, None] * (net.filters * reach()).T[None]).reshape(len(x), top.shape[1], widest, EMBEDDING)
+    d_embedding = np.zeros_like(net.embedding)
+    padded = np.zeros((len(x), WINDOW + widest - 1), np.uint8)
+    padded[:, :WINDOW] = x
+    for j in range(widest):
+        np.add.at(d_embedding, padded[rows[:, None], place + j], d_columns[:, :, j])
+    return [d_embedding, d_filters, back.sum(axis=0), hidden.T @ share, share.sum(axis=0)]
+
+
+def train(windows: np.ndarray, answers: np.ndarray, classes: list[str], epochs: int = EPOCHS) -> Network:
+    """Fits the network by Adam on labelled windows."""
+    random, net = np.random.default_rng(4), start_network(classes)
     values = [net.embedding, net.filters, net.bias, net.output, net.output_bias]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    at_filter = np.arange(len(width_of))
     for _ in range(epochs):
         order = random.permutation(len(windows))
         for start in range(0, len(order), BLOCK):
             batch = order[start : start + BLOCK]
-            x, y = windows[batch], answers[batch]
-            columns, response = net.pooled(x)
-            response = response.reshape(len(x), WINDOW, -1)
-            place = response.argmax(axis=1)
-            top = np.take_along_axis(response, place[:, None, :], axis=1)[:, 0] + net.bias
-            hidden = np.maximum(top, 0)
-            logits = hidden @ net.output + net.output_bias
-            logits -= logits.max(axis=1, keepdims=True)
-            share = np.exp(logits)
-            share /= share.sum(axis=1, keepdims=True)
-            share[np.arange(len(x)), y] -= 1
-            share /= len(x)
-            back = (share @ net.output.T) * (top > 0)
-            seen = columns[np.arange(len(x))[:, None], place]  # (n, filters, widest * EMBEDDING)
-            d_filters = np.einsum("nf,nfc->cf", back, seen) * mask
-            d_columns = (back[:, :, None] * (net.filters * mask).T[None]).reshape(len(x), len(at_filter), widest, EMBEDDING)
-            d_embedding = np.zeros_like(net.embedding)
-            padded = np.zeros((len(x), WINDOW + widest - 1), np.uint8)
-            padded[:, :WINDOW] = x
-            for j in range(widest):
-                np.add.at(d_embedding, padded[np.arange(len(x))[:, None], place + j], d_columns[:, :, j])
             step += 1
-            for k, gradient in enumerate([d_embedding, d_filters, back.sum(axis=0), hidden.T @ share, share.sum(axis=0)]):
+            for k, gradient in enumerate(gradients(net, windows[batch], answers[batch])):
                 first[k] += 0.1 * (gradient - first[k])
                 second[k] += 0.001 * (gradient**2 - second[k])
                 values[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
@@ -113,10 +124,12 @@ def train(windows: np.ndarray, answers: np.ndarray, classes: list[str], epochs:
 def training_windows(docs: DataFrame, most: int) -> DataFrame:
     """(lang, window) of at most ``most`` labelled documents outside the held-out fold, from random places of each text.
 
-    Half of the windows are shortened, so that the network also learns short texts.
+    Half of the windows are shortened, so that the network also learns short texts.  Of rows that repeat an id with
+    other texts one is taken, and copies of a row give its windows once, so that the rows are bounded.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    sample = store(sampled_ids(labelled, "doc_id", most).distinct(), "language-sample")  # bounded by ``most``, so it may be broadcast
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).withColumn("own", F.xxhash64("lang", "text"))
+    ids = labelled.groupBy("doc_id").agg(F.min("own").alias("own"))
+    sample = store(sampled_ids(ids, "doc_id", most, "own"), "language-sample")  # bounded by ``most``, so it may be broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +143,11 @@ def training_windows(docs: DataFrame, most: int) -> DataFrame:
                     windows.append(raw[start : start + size].ljust(WINDOW, b"\0"))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
 
-    return labelled.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(run, "lang string, window binary")
+    return map_slices(labelled.join(F.broadcast(sample), ["doc_id", "own"], "left_semi").select("doc_id", "lang", "text"), run, "lang string, window binary").distinct()
 
 
 def fit(docs: DataFrame, most: int = LABELLED) -> Network | None:
     """Trains on text and non-null ``lang`` outside the held-out fold; None if nothing is labelled."""
-    small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = training_windows(named, most).toPandas().sort_values(["lang", "window"], kind="stable")
     if rows.empty:
@@ -194,7 +206,6 @@ def identify(docs: DataFrame, *, net: Network | None = None, id_col: str = "doc_
     and all texts if nothing is labelled get ``und`` and score 0.  Repeated rows get equal predictions; a null
     doc_id is kept and not held out; other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     net = net or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -205,4 +216,4 @@ def identify(docs: DataFrame, *, net: Network | None = None, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, texts
+from .common import map_slices, store, texts
 from .components import connected_components
 
 WORDS = 5
@@ -117,7 +117,6 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
 
 def sketch(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest (of the set), registers of every whole text; narrow, no shuffle."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -133,7 +132,7 @@ def sketch(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_
             kinds = (pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_shingles", "digest", "registers"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -162,7 +161,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, id_col: str, text
 
     own = texts(docs, id_col, text_col)
     joined = own.join(wanted.select(F.col("id").alias("doc_id"), "digest"), "doc_id").select("doc_id", "text", "digest")
-    return joined.mapInArrow(run, "id long, members binary")
+    return map_slices(joined, run, "id long, members binary")
 
 
 def filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +178,7 @@ def filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         return reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return map_slices(joined.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a long, b long", 4000)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +197,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     a = sets.select(F.col("id").alias("a"), F.col("members").alias("m_a"))
     b = sets.select(F.col("id").alias("b"), F.col("members").alias("m_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long")
+    return map_slices(pairs.join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b"), run, "a long, b long")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -222,7 +221,7 @@ def prefix_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 same = lambda column, n=len(members), k=k: pa.array(np.full(n, column[k].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([same(batch.column(0)), same(batch.column(1)), pa.array(np.full(len(members), len(members))), pa.array(members)], names=["id", "component", "n", "h"])
 
-    rows = open_rows.join(sets, "id").select("id", "component", "members").mapInArrow(spread, "id long, component long, n long, h long")
+    rows = map_slices(open_rows.join(sets, "id").select("id", "component", "members"), spread, "id long, component long, n long, h long")
     rows = store(rows, "open-shingles")
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     own = rows.join(often, "h").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("common"))
@@ -260,7 +259,6 @@ def link_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCEN
     still in several components, pairs between those come from the rarest shingles of their sets, so no link
     between components is lost; links inside a component change nothing and are left out.
     """
-    small_batches(docs.sparkSession)
     drawn = store(sketch(docs, words=words, id_col=id_col, text_col=text_col), "sketches")
     reps = store(
         drawn.where("digest is not null and doc_id is not null")

@@ -16,13 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, texts
-from .tokens import added_tokens, encode, vocabulary_encoder, vocabulary_tokenizer
+from .common import map_slices, store, texts
+from .tokens import added_tokens, encode, same_ids, vocabulary_encoder, vocabulary_tokenizer
 
 CAPACITY = 1024
 END_ID = 2
-#: Texts of each partition whose ids are compared with those of the ``tokenizers`` library.
-COMPARED = 2
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local_rank long"
 
@@ -39,28 +37,22 @@ def tokenize_pieces(docs: DataFrame, json_path: str, pattern: str, *, capacity:
     """Pieces of every whole text (null: empty), stored in the shared folder.
 
     ``part`` and ``local_rank`` number the pieces of equal length inside a task, so that ranks over the whole
-    corpus need only counts.  Ids are those of the ``tokenizers`` file.  An encoder built from the vocabulary in
-    that file finds them several times faster; each task compares its first texts with the library's own ids and
-    uses the library for all its texts if any differ.  Texts that hold an added token of the file go to the library.
+    corpus need only counts.  Ids are those of the ``tokenizers`` file.  Where the file proves that an encoder built
+    from its vocabulary gives the same ids, several times faster, that one is used; texts that hold an added token of
+    the file, and all texts of other files, go to the library.
     """
-    small_batches(docs.sparkSession)
+    proven = same_ids(json_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, slow = vocabulary_encoder(json_path, pattern), vocabulary_tokenizer(json_path)
-        part, seen, left = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), COMPARED
+        fast, slow = vocabulary_encoder(json_path, pattern) if proven else None, vocabulary_tokenizer(json_path)
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         added = added_tokens(json_path)
-        exact = lambda text: slow.encode(text or "", add_special_tokens=False).ids
-        find = lambda text: exact(text) if added and text and added.search(text) else encode(fast, text)
+        exact = lambda text: slow.encode(text, add_special_tokens=False).ids if text else []
+        find = lambda text: encode(fast, text) if proven and not (added and text and added.search(text)) else exact(text)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value = text.as_py()
-                ids = find(value)
-                if left and value:
-                    left -= 1
-                    if ids != (want := exact(value)):
-                        ids, find, left = want, exact, 0
-                ids = np.asarray([*ids, end_id], dtype="<u4")
+                ids = np.asarray([*find(text.as_py()), end_id], dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, int(seen[length])))
                     seen[length] += 1
@@ -68,7 +60,7 @@ def tokenize_pieces(docs: DataFrame, json_path: str, pattern: str, *, capacity:
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
 
-    return store(texts(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA), "pieces")
+    return store(map_slices(texts(docs, id_col, text_col), run, PIECE_SCHEMA), "pieces")
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -161,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_slices(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", 10_000)
 
 
 def pack_documents(docs: DataFrame, json_path: str, pattern: str, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

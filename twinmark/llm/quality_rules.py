@@ -11,13 +11,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, texts
+from .common import map_slices, store, texts
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -100,27 +101,29 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measurements(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and MEASURES of every whole text, in one narrow pass without a shuffle."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(zip(*(measure(text.as_py()) for text in batch.column(1)), strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *MEASURES])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+
+
+def fail_bits(rows: DataFrame) -> DataFrame:
+    """Adds fail_bits to rows with the MEASURES: one bit a rule, see RULES."""
+    bits = [F.when(F.expr(condition), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, condition in RULES]
+    return rows.withColumn("fail_bits", reduce(lambda x, y: x.bitwiseOR(y), bits))
 
 
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, MEASURES and fail_bits (one bit a rule, see RULES), one row per input row.
+    """doc_id, MEASURES and fail_bits, one row per input row, stored in the shared folder.
 
-    Null and empty texts have no words and fail ``too_few_words``; repeated rows are judged each; a null doc_id
-    is kept; other columns are ignored; an empty table gives no rows.
+    Policies and ablations read it as often as they like; the texts are not read again.  Null and empty texts have no
+    words and fail ``too_few_words``; repeated rows are judged each; a null doc_id is kept; other columns are ignored;
+    an empty table gives no rows.
     """
-    bits = [F.when(F.expr(condition), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, condition in RULES]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return measurements(docs, id_col=id_col, text_col=text_col).withColumn("fail_bits", total)
+    return store(fail_bits(measurements(docs, id_col=id_col, text_col=text_col)), "ledger")
 
 
 def rejects(policy: Policy = CURRENT):
@@ -153,24 +156,27 @@ def ablation(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns.
+    """The rows of ``docs`` that the policy keeps, with all their columns, whatever their names.
 
-    The measurements travel with the row through one Arrow pass, so nothing is joined and no id need be unique.
+    Measurements and failure bits travel with the row through one Arrow pass, and the policy's mask reads the bits, so
+    nothing is joined and no id need be unique.  Null and empty texts fail ``too_few_words``; repeated rows are judged
+    each; rows without an id are judged like others; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    names, at = docs.columns, docs.columns.index("text")
-    conditions = " or ".join(f"({condition})" for name, condition in RULES if policy.mask & BIT[name])
-    own = [f"__m{k}" for k in range(len(MEASURES))]
-    for k, m in enumerate(MEASURES):
-        conditions = re.sub(rf"\b{m}\b", own[k], conditions)
+    at, names = docs.columns.index("text"), docs.columns
+    own = docs.toDF(*[f"__c{k}" for k in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(zip(*(measure(text.as_py()) for text in batch.column(at)), strict=True)) or [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*names, *own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *MEASURES])
+
+    schema = T.StructType([*own.schema.fields, *(T.StructField(name, T.LongType()) for name in MEASURES)])
+    judged = fail_bits(map_slices(own, run, schema))
+    return judged.where(~rejects(policy)).select(*[F.col(f"__c{k}").alias(name) for k, name in enumerate(names)])
+
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in own)])
-    return docs.mapInArrow(run, schema).where(f"not ({conditions})").select(*[F.col(f"`{n}`") for n in names])
+def failing(policy: Policy) -> str:
+    return " or ".join(f"({condition})" for name, condition in RULES if policy.mask & BIT[name])
 
 
 ORACLE_SQL = r"""
@@ -199,9 +205,11 @@ m as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
  (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
  not (%s) as kept,
- (%s)::bigint as fail_bits
+ (%s)::bigint as fail_bits, not (%s) as kept_v1, not (%s) as kept_v3
 from m
 """ % (
-    " or ".join(f"({condition})" for name, condition in RULES if CURRENT.mask & BIT[name]),
+    failing(CURRENT),
     " + ".join(f"(case when {condition} then {BIT[name]} else 0 end)" for name, condition in RULES),
+    failing(POLICIES["v1-base"]),
+    failing(POLICIES["v3-lenient"]),
 )

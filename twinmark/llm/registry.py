@@ -42,7 +42,8 @@ def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    older = [(~quality_rules.rejects(quality_rules.POLICIES[version])).alias(name) for version, name in (("v1-base", "kept_v1"), ("v3-lenient", "kept_v3"))]
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", *older)
 
 
 def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, texts
+from .common import map_slices, store, texts
 from .tokens import encode, rank_encoder
 
 #: Ids in a block.
@@ -34,7 +34,6 @@ def write_flat(docs: DataFrame, rank_path: str, pattern: str, end_id: int, *, dt
     without regard to documents.  Rows with ``doc_ids`` tell only the order in which documents were written,
     not where they lie.  A null text is an empty document: its separator alone.
     """
-    small_batches(docs.sparkSession)
     if end_id > np.iinfo(dtype).max:
         raise ValueError(f"the end id {end_id} does not fit {dtype}")
 
@@ -63,7 +62,7 @@ def write_flat(docs: DataFrame, rank_path: str, pattern: str, end_id: int, *, dt
         if order:
             yield row(order_no, None, order)
 
-    return store(texts(docs, id_col, text_col).mapInArrow(run, BLOCK_SCHEMA), "flat-tokens")
+    return store(map_slices(texts(docs, id_col, text_col), run, BLOCK_SCHEMA), "flat-tokens")
 
 
 def read_flat(spark: SparkSession, path: str, *, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -82,12 +81,11 @@ def read_flat(spark: SparkSession, path: str, *, dtype: str = "<u2", block_ids:
                 for no, start in enumerate(range(0, len(data), size)):
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([no], pa.int64()), pa.array([data[start : start + size].to_pybytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file_id", "block_no", "payload", "doc_ids"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCK_SCHEMA)
+    return map_slices(spark.read.format("binaryFile").load(path).select("path", "content"), run, BLOCK_SCHEMA)
 
 
 def scan_separators(blocks: DataFrame, end_id: int, *, dtype: str = "<u2") -> DataFrame:
     """One summary a block: n_ids, ends (positions of separators inside the block)."""
-    small_batches(blocks.sparkSession, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +96,7 @@ def scan_separators(blocks: DataFrame, end_id: int, *, dtype: str = "<u2") -> Da
                 ends.append(np.flatnonzero(ids == end_id))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file_id", "block_no", "n_ids", "ends"])
 
-    return blocks.where("payload is not null").select("file_id", "block_no", "payload").mapInArrow(run, "file_id string, block_no long, n_ids long, ends array<long>")
+    return map_slices(blocks.where("payload is not null").select("file_id", "block_no", "payload"), run, "file_id string, block_no long, n_ids long, ends array<long>", 16)
 
 
 def count_tokens(blocks: DataFrame, end_id: int, *, dtype: str = "<u2") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import map_slices, texts
 
 #: Characters of text that one call of the encoder gets at most, where a safe boundary allows it.
 PIECE_CHARS = 1 << 18
@@ -68,6 +68,38 @@ def vocabulary_encoder(json_path: str, pattern: str):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Fixed value: the pattern that the byte-level pre-tokenizer of ``tokenizers`` splits by.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.lru_cache(maxsize=4)
+def same_ids(json_path: str, pattern: str) -> bool:
+    """Whether ``vocabulary_encoder`` gives the library's ids for every text without an added token, proven from the file.
+
+    Both repeat the lowest-ranked merge.  The library merges listed pairs only, in the order of the list; the encoder
+    merges whatever two neighbours make a token, in the order of ids.  They agree if the file splits texts by ``pattern``
+    and changes them in no other way, knows all bytes, lists merges in the order of the ids they make, and its merges
+    alone turn the text of every token into that token.  For the first merge in which they differed would join two
+    neighbours to a token whose own text the listed merges leave in those two parts.
+    """
+    from tokenizers import Tokenizer
+
+    with open(json_path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, symbols, special = spec["model"], byte_symbols(), {x["content"] for x in spec.get("added_tokens") or []}
+    split = spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")) and not any(spec.get(x) for x in ("normalizer", "truncation", "padding"))
+    bytewise = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and pattern == BYTE_LEVEL
+    vocab = {token: i for token, i in model["vocab"].items() if token not in special}
+    if not (plain and bytewise and all(s in vocab for s in symbols) and all(c in symbols for token in vocab for c in token)):
+        return False
+    made = [vocab.get("".join(pair.split(" ") if isinstance(pair, str) else pair), -1) for pair in model["merges"]]
+    if made != sorted(set(made)) or -1 in made:
+        return False
+    found = Tokenizer(vocabulary_tokenizer(json_path).model).encode_batch(list(vocab), add_special_tokens=False)
+    return all(x.ids == [i] for x, i in zip(found, vocab.values(), strict=True))
+
+
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     """Cuts a long text where every encoding has a boundary anyway; a stretch without one stays whole.
 
@@ -114,7 +146,6 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, *, id_col: s
     A null doc_id is passed through; repeated rows give repeated results; other columns are ignored.
     The work is one narrow pass: no shuffle, memory bounded by an Arrow batch.
     """
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,4 +165,4 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, *, id_col: s
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return map_slices(texts(docs, id_col, text_col), run, schema)

@@ -8,6 +8,7 @@ from abuse.  A logistic model over the hits gives the score.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,18 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled_ids, small_batches, store
+from .common import fold, map_slices, sampled_ids, store
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that lexicon and weights are fitted on, at most.
 LABELLED = 8000
-#: Terms kept at most, the best supported first; bounds what is sent to executors.
-TERMS = 1000
 #: How many terms the chance alone may be expected to bring into the lexicon.
 BY_CHANCE = 0.5
 #: Share of toxic contexts that a term needs, and distinct words that a stem needs.
 PURITY, STEM_WORDS = 0.95, 4
-STEM_LENGTHS = range(4, 9)
+#: Letters of a stem; a longer common beginning has a stem of the largest length inside it.
+STEM_LENGTHS = range(4, 17)
 #: Words of fewer letters must match exactly.
 EDITABLE = 5
 #: Words on each side of a hit that are read for its context.
@@ -140,10 +140,10 @@ class Automaton:
             return self.words[token]
         except KeyError:
             word = plain(token)
-            found = self.search(word) if len(word) > 2 else None
+            found = self.search(word) if word else None
             if not (found and found[1] == 0) and not word.isalpha():
                 read = word.translate(SIGNS)
-                other = self.search(read) if read != word and len(read) > 2 else None
+                other = self.search(read) if read != word else None
                 if other and (found is None or other[1] < found[1]):
                     found = (other[0], max(other[1], 1))
             if len(self.words) > 300_000:
@@ -206,7 +206,6 @@ def contexts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
     Uses are told apart by their neighbours, so a text that is copied many times supports its words once.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -217,21 +216,30 @@ def contexts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 padded = ["", *words, ""]
                 rows = {}
                 for k, word in enumerate(words):
-                    if len(word) > 2:
+                    if word:
                         rows[word, xxhash.xxh3_64_intdigest(f"{padded[k]} {padded[k + 2]}") - (1 << 63)] = None
                 if rows:
                     names, uses = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([toxic] * len(names), pa.int32()), pa.array(uses, pa.int64())], names=["word", "toxic", "use"])
 
     marked = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    return marked.mapInArrow(run, "word string, toxic int, use long").distinct()
+    return map_slices(marked, run, "word string, toxic int, use long").distinct()
 
 
-def learn_terms(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[tuple[str, bool]]:
-    """The lexicon: (term, is a stem).  At most ``most`` rows each of words and stems reach the driver.
+def least_support(support: dict[int, int], base: float) -> int:
+    """The least number of uses that chance makes all toxic for at most BY_CHANCE terms; ``support`` counts terms by uses."""
+    n = 2
+    while sum(c for s, c in support.items() if s >= n) * base**n > BY_CHANCE:
+        n += 1
+    return n
+
+
+def learn_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, bool]]:
+    """The lexicon: (term, is a stem), of words of any length.  What reaches the driver are the terms that pass.
 
     A term must be used in enough different contexts, nearly all of them toxic, that chance would bring fewer
-    than BY_CHANCE such terms.  A stem must besides begin enough different words.
+    than BY_CHANCE such terms.  A stem must besides begin enough different words.  There is no other limit on their
+    number; they are words of the labelled sample, whose size bounds them, and do not grow with the corpus.
     """
     counts = store(contexts_of(docs, sample).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("uses")), "words")
     whole = counts.agg(F.sum("bad"), F.sum("uses")).first()
@@ -241,21 +249,21 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[t
 
     def enough(rows: DataFrame) -> DataFrame:
         """Rows whose support is beyond chance; the support that takes is found from how many terms have each."""
-        support = {r["uses"]: r["n"] for r in rows.groupBy(F.least("uses", F.lit(64)).alias("uses")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        least = next((n for n in range(2, 65) if sum(c for s, c in support.items() if s >= n) * base**n <= BY_CHANCE), 64)
-        return rows.where((F.col("bad") >= least) & (F.col("bad") >= F.lit(PURITY) * F.col("uses"))).orderBy(F.desc("bad"), "term").limit(most)
+        most = math.ceil(math.log(BY_CHANCE / max(rows.count(), 1)) / math.log(base)) if base < 1 else 2  # as many uses always suffice
+        support = {r["uses"]: r["n"] for r in rows.groupBy(F.least("uses", F.lit(max(most, 2))).alias("uses")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        return rows.where((F.col("bad") >= least_support(support, base)) & (F.col("bad") >= F.lit(PURITY) * F.col("uses")))
 
-    words = [r["term"] for r in enough(counts.select(F.col("word").alias("term"), "bad", "uses")).collect()]
+    words = sorted(r["term"] for r in enough(counts.select(F.col("word").alias("term"), "bad", "uses")).collect())
     cuts = F.explode(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("term")
     stems = counts.select("word", "bad", "uses", cuts).where("term is not null").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("n_words"), F.max("bad").alias("top"))
     # no single word may carry a stem: else its beginning is no stem but a piece of that word
-    found = sorted((r["term"] for r in enough(stems.where(f"n_words >= {STEM_WORDS} and 2 * top < bad")).collect()), key=len)
-    shortest: list[str] = []
+    found = sorted((r["term"] for r in enough(stems.where(f"n_words >= {STEM_WORDS} and 2 * top < bad")).collect()), key=lambda s: (len(s), s))
+    shortest: dict[str, None] = {}
+    begun = lambda word: any(word[:n] in shortest for n in STEM_LENGTHS)
     for stem in found:
-        if not any(stem.startswith(s) for s in shortest):
-            shortest.append(stem)
-    kept = [w for w in words if not any(w.startswith(s) for s in shortest)]
-    return [(s, True) for s in shortest] + [(w, False) for w in kept]
+        if not begun(stem):
+            shortest[stem] = None
+    return [(s, True) for s in shortest] + [(w, False) for w in words if not begun(w)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
@@ -264,7 +272,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     Labels without an id or a value are ignored; of several for one id the largest counts.  Without toxic labels
     the lexicon is empty and every score is the same.
     """
-    small_batches(docs.sparkSession)
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = store(sampled_ids(labelled.where(fold("doc_id", FOLDS) != HELD_OUT), "doc_id", most, "toxic"), "toxicity-sample")  # bounded by ``most``
@@ -287,9 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
                         answers.append(toxic)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(answers, pa.int32())], names=["term", "toxic"])
 
-    marked = own.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    marked = own.join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id")
     trust = np.full(len(terms), PRIOR[0] / PRIOR[1])
-    for row in marked.mapInArrow(edited, "term int, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect():
+    for row in map_slices(marked, edited, "term int, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).collect():
         trust[row["term"]] = (row["bad"] + PRIOR[0]) / (row["n"] + PRIOR[1])
     trust = np.clip(2 * trust - 1, 0, 1)  # even odds are worth nothing
 
@@ -297,9 +304,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
         automaton = Automaton(terms)
         for batch in batches:
             values = [features(text.as_py(), automaton, trust).tolist() for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "doc_id"])
 
-    seen = marked.mapInArrow(rows, "x array<double>, toxic int").toPandas()
+    # one row for each sampled id, however many rows of the corpus repeat it
+    seen = map_slices(marked, rows, "x array<double>, toxic int, doc_id long").groupBy("doc_id").agg(F.max("x").alias("x"), F.max("toxic").alias("toxic")).orderBy("doc_id").toPandas()
     x, y = np.array(seen["x"].tolist()).reshape(-1, len(FEATURES)), seen["toxic"].to_numpy(float)
     weights, bias = logistic(x, y)
     return Model(terms, trust, weights, bias)
@@ -327,7 +335,6 @@ def score(docs: DataFrame, labels: DataFrame | None = None, *, model: Model | No
     of a text without hits.  Repeated rows get equal scores; a null doc_id is kept and not held out; columns other
     than doc_id and text are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,5 +354,5 @@ def score(docs: DataFrame, labels: DataFrame | None = None, *, model: Model | No
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    out = own.mapInArrow(run, "doc_id long, score double, predicted int, n_hits long, n_edited long, n_quoted long")
+    out = map_slices(own, run, "doc_id long, score double, predicted int, n_hits long, n_edited long, n_quoted long")
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits", "n_edited", "n_quoted")
