@@ -223,7 +223,8 @@ def prefix_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     rows = map_slices(open_rows.join(sets, "id").select("id", "component", "members"), spread, "id long, component long, n long, h long")
     rows = store(rows, "open-shingles")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # the aggregates by shingle are written before they are joined, so that a shingle of very many rows can be split
+    often = store(rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "frequencies")
     own = rows.join(often, "h").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("common"))
     longest = f"(n - ({percent} * n + 99) div 100 + 1)"  # the bound for the smallest partner
     common = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
@@ -235,7 +236,7 @@ def prefix_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
     )
     placed = store(placed, "prefixes")
     counts = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("h").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", F.col("top.component").alias("main"))
+    main = store(counts.groupBy("h").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1").select("h", F.col("top.component").alias("main")), "main-components")
     split = store(placed.join(main, "h"), "split-shingles")
     side = lambda df, x: df.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "place")])
     met = side(split.where("component <> main"), "a").join(side(split, "b"), "h").where(
