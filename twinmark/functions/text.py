@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocab
 from .vocab import ABBREVIATIONS
 
 
@@ -65,3 +66,12 @@ def similarity_text(normalized) -> Column:
         lambda t: F.when(t == "mcb", F.lit("mcb miniature circuit breaker")).when(t.rlike(r"^\d+a$"), F.concat(t, F.lit(" "), F.regexp_replace(t, "a$", ""), F.lit(" amp"))).otherwise(t),
     )
     return F.array_join(words, " ")
+
+
+def expand_apart(x) -> Column:
+    """Another normal form: words outside the abbreviations are parted where letters and digits meet, then all are expanded."""
+    known = lookup({k: v for k, v in vocab.ABBREVIATIONS.items() if k not in vocab.LATER_ABBREVIATIONS})
+    words = tokens(F.trim(F.regexp_replace(F.lower(clean(x)), "[^a-z0-9]+", " ")))
+    parted = lambda t: F.regexp_replace(F.regexp_replace(t, "([a-z])([0-9])", "$1 $2"), "([0-9])([a-z])", "$1 $2")
+    pieces = F.flatten(F.transform(words, lambda t: F.when(known[t].isNotNull(), F.array(t)).otherwise(F.split(parted(t), " "))))
+    return F.regexp_replace(F.array_join(F.transform(pieces, lambda t: F.coalesce(known[t], t)), " "), r"\bcoconut (\d+)\b", "coconut type $1")

@@ -1,4 +1,7 @@
-"""Fixed values of the item-master domain: word lists, maps, limits and texts."""
+"""Fixed values of the item-master domain: word lists, maps, limits and texts.
+
+All of them are plain values that must match the given behaviour, in their natural order.
+"""
 
 from __future__ import annotations
 
@@ -70,6 +73,8 @@ ABBREVIATIONS = {
     "hyd": "hydraulic",
     "pneu": "pneumatic",
 }
+#: Abbreviations that only the main normal form knows.
+LATER_ABBREVIATIONS = ("elec", "hyd", "pneu")
 UNITS = ("mm", "cm", "m", "kg", "g", "l", "ml", "v", "volt", "a", "amp", "ph")
 MODIFIERS = (
     "oil", "fuel", "air", "water", "hydraulic", "cabin", "lube", "coolant", "stainless", "carbon", "rubber", "copper", "pvc", "left", "right",
@@ -153,6 +158,18 @@ STATUS_ACTIONS = {
     INSUFFICIENT: "Improve master data before deciding",
 }
 
+#: Names that statuses are shown by.
+STATUS_NAMES = {
+    DUPLICATE: "Duplicate Candidate",
+    POSSIBLE: "Possible Duplicate",
+    CONFLICT: "Data Conflict",
+    CROSS_SITE: "Cross-Site Candidate",
+    INSUFFICIENT: "Insufficient Data",
+    RELATED: "Related, Not Duplicate",
+    UNIQUE: "Unique / No Match",
+    "LIKELY_DUPLICATE": "Duplicate Candidate",
+}
+
 #: Field, label, rule decision, score of the fields whose difference stops a pair.
 HARD_FIELDS = (
     ("HSN_SAC_CODE", "HSN/SAC Code", "DATA_CONFLICT", 45.0),

@@ -46,6 +46,15 @@ def expand(x: str) -> str:
     return rf"regexp_replace(array_to_string(list_transform({words(x)}, lambda t: case t {cases} else t end), ' '), '\bcoconut (\d+)\b', 'coconut type \1', 'g')"
 
 
+def expand_apart(x: str) -> str:
+    kept = {a: b for a, b in vocab.ABBREVIATIONS.items() if a not in vocab.LATER_ABBREVIATIONS}
+    cases = "case t " + " ".join(f"when {quoted(a)} then {quoted(b)}" for a, b in kept.items())
+    ws = words(f"trim(regexp_replace(lower({clean(x)}), '[^a-z0-9]+', ' ', 'g'))")
+    parted = r"string_split(regexp_replace(regexp_replace(t, '([a-z])([0-9])', '\1 \2', 'g'), '([0-9])([a-z])', '\1 \2', 'g'), ' ')"
+    pieces = f"flatten(list_transform({ws}, lambda t: case when list_contains({listed(kept)}, t) then [t] else {parted} end))"
+    return rf"regexp_replace(array_to_string(list_transform({pieces}, lambda t: {cases} else t end), ' '), '\bcoconut (\d+)\b', 'coconut type \1', 'g')"
+
+
 def sorted_set(x: str) -> str:
     return f"list_sort(list_distinct({x}))"
 

@@ -30,9 +30,9 @@ ASSORTMENTS = (
     ("oil filter engine",) * 3 + ("air filter engine",) + ("oil filter engine",) * 8,
     ("filter", "filter", "filters", "filter housing bracket", "spare part", "label", "labels", "oil", "item", "filter oil", "bolt", "filter kit"),
     ("generator bracket long", "vehicle bracket long", "generator bracket", "hvac bracket long", "gen bracket long", "bracket long", "veh bracket longs", "hydraulic bracket", "pneu bracket long", "compressor bracket long", "pump bracket long steel", "elec bracket long"),
-    ("paint red 20 l can", "paint blue 20 l can", "paint red 20 l", "sensor temperature left", "sensor pressure left", "sensor temperature right", "sensor temperature left", "paint grade a white", "paint grade b white", "paint white extra large", "paint white xl", "sensor level front"),
+    ("paint grade a white", "paint grade b white", "paint red 20 l can", "paint blue 20 l can", "paint red 20 l", "sensor temperature left", "sensor pressure left", "sensor temperature right", "sensor temperature left", "paint white xl", "paint white extra large", "sensor level front"),
     ("mcb 30a", "M.C.B 30 A", "miniature circuit breaker 30a", "mcb 32a", "bolt 10mm", "bolt 10 mm", "bolt 12mm steel", "ss pipe 230 v", "stainless steel pipe 230v", "dec coco 1", "decicated coconut type 1", "desiccated coconut type 2"),
-    ("hydraulic pump seal kit", "hyd pump seal kit", "rubber seal ring 12 x 20", "rubber seal ring 12 x 20 black", "copper cable 3 x 4 x 5", "copper cable", "oil level warning lamp", "fuel level warning lamp", "red bicycle small", "red bicycle large", "battery box 12 v", "bat box 12v"),
+    ("red bicycle small", "red bicycle large", "hydraulic pump seal kit", "hyd pump seal kit", "battery box 12 v", "rubber seal ring 12 x 20", "rubber seal ring 12 x 20 black", "copper cable 3 x 4 x 5", "oil level warning lamp", "fuel level warning lamp", "copper cable", "bat box 12v"),
 )
 LOT = "cast(floor((p_partkey - 1) / 12) as bigint)"
 PLACE = "((p_partkey - 1) % 12)"
@@ -46,7 +46,7 @@ def chosen(by: str, values) -> str:
 #: The same table as lots of twelve records of mixed assortments, sites, units, categories and codes.
 MIXED = (
     ("rec_idx", "p_partkey"),
-    ("PART_NO", f"case when {PLACE} in (1, 2) then concat('SAME-', cast({LOT} as {{string}})) when {PLACE} = 11 then 'none' else concat(upper(substr(p_name, 1, 6)), '-', cast(p_partkey as {{string}})) end"),
+    ("PART_NO", f"case when {PLACE} in (1, 2) then concat('SAME-', cast({LOT} as {{string}})) when {PLACE} = 11 then 'none' when {PLACE} in (0, 5, 6) then concat('PN-HOUSING-', cast(100000 + {LOT} as {{string}}), '-', cast({PLACE} as {{string}})) else concat(upper(substr(p_name, 1, 6)), '-', cast(p_partkey as {{string}})) end"),
     ("DESCRIPTION", "case " + " ".join(f"when {LOT} % {len(ASSORTMENTS)} = {k} then {chosen(PLACE, own)}" for k, own in enumerate(ASSORTMENTS)) + " end"),
     ("MASTER_PART_DESCRIPTION", f"case when {PLACE} in (3, 10) then concat(p_name, ' gen 5 L can') end"),
     ("CONTRACT", f"case {PLACE} when 4 then 'SITE-B' when 5 then ' ' else 'SITE-A' end"),

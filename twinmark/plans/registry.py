@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, vocab
+from ..functions import fuzzy, shown, vocab
 from ..functions.attributes import enrich
-from ..functions.text import domain_text, tokens
+from ..functions.text import domain_text, expand_apart, tokens
 from ..operators import blocking, classic, evaluation, evidence, groups, results, similarity, validation
 from ..operators.decisions import confidence_level
 from ..operators.reuse import reused, scratch
@@ -206,13 +206,14 @@ def classic_decisions_cross_site(spark, sf_dir):
     return classic_decisions(spark, sf_dir, vocab.SCAN_MODES[1])
 
 
-def evidence_decisions(spark, sf_dir, cross_site=False):
+def evidence_decisions(spark, sf_dir, fields=MIXED_FIELDS, cross_site=False):
     own, met = lot_pairs(spark, sf_dir)
-    return shown_results(results.candidates(evidence.decide(met, own, MIXED_FIELDS, cross_site)))
+    return shown_results(results.candidates(evidence.decide(met, own, fields, cross_site)))
 
 
 def evidence_decisions_cross_site(spark, sf_dir):
-    return evidence_decisions(spark, sf_dir, cross_site=True)
+    """With one selected field, so that pairs without any matching evidence occur."""
+    return evidence_decisions(spark, sf_dir, MIXED_FIELDS[1:], cross_site=True)
 
 
 def evidence_status_summary(spark, sf_dir):
@@ -409,6 +410,32 @@ def candidate_rows(spark, sf_dir):
     return found.select("idx_a", "idx_b", *record, *attributes, joined("application_context_a").alias("context_a"), joined("variant_attributes_b.SIZE").alias("size_b"), joined(F.transform("critical_mismatches", lambda d: d["type"])).alias("critical"), "scan_mode", "review_status")
 
 
+def parted_texts(spark, sf_dir):
+    """Another normal form of descriptions and part numbers, which parts letters from digits."""
+    return part_master(spark, sf_dir, MIXED).select("rec_idx", expand_apart("DESCRIPTION").alias("description"), expand_apart("PART_NO").alias("part_no"))
+
+
+def safe_filenames(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", export.safe_filename(F.when(F.col("page_id") % 10 == 0, F.lit("/?")).otherwise(F.col("url"))).alias("filename"))
+
+
+def candidate_view(spark, sf_dir):
+    """What a result list shows of exported candidates."""
+    own, met = lot_pairs(spark, sf_dir)
+    found = results.candidates(classic.decide(met, own, MIXED_FIELDS))
+    rows = export.export_rows(found).withColumnsRenamed({"score": "exported_score"})
+    text = lambda c: F.col(c)
+    return rows.select(
+        "part_no_a", "part_no_b", "description_a", "description_b", shown.score(F.lit(None), text("exported_score"), text("similarity_score")).alias("score"), shown.number(text("explanation")).alias("no_number"),
+        shown.status(text("business_status"), text("review_status")).alias("status"), shown.display(text("matched_fields")).alias("matched"), F.size(shown.listed(text("matched_evidence"))).alias("n_evidence"), shown.display(text("rejection_reason")).alias("reason"),
+    )
+
+
+def field_picker(spark, sf_dir):
+    """Fields that a user may select."""
+    return field_catalogue(spark, sf_dir).where("not required").select("field", "display")
+
+
 def scan_groups(spark, sf_dir):
     """Duplicate groups of decided candidates, with the fields that their pairs share and differ in."""
     own, met = lot_pairs(spark, sf_dir)
@@ -443,7 +470,7 @@ QUERIES = (
     sensitive_patterns, block_index, candidate_pairs, candidate_pairs_cross_site, candidate_pairs_capped, records_without_candidates, matched_fields, set_scores, tfidf_pairs, fuzzy_pairs,
     part_no_similarity, classic_guards, evidence_guards, classic_results, evidence_results, evidence_status_summary, classic_decisions, classic_decisions_cross_site, evidence_decisions, evidence_decisions_cross_site, guard_status_summary, review_filter, produced_and_kept, duplicate_groups, group_members,
     export_rows, feedback_latest, evaluation_metrics, synthetic_records, synthetic_scan, field_catalogue, csv_scan, file_fingerprint, input_guards, in_memory_records, described_records, field_parser,
-    validation_warnings, scan_warnings, stored_scan, stored_candidates, candidate_rows, scan_groups, labelled_scores, labelled_metrics,
+    validation_warnings, scan_warnings, stored_scan, stored_candidates, candidate_rows, candidate_view, field_picker, parted_texts, safe_filenames, scan_groups, labelled_scores, labelled_metrics,
 )
 
 
@@ -515,6 +542,12 @@ def oracle_sql() -> dict[str, str]:
  select place, idx_a, idx_b, similarity_score, business_status, case when place = 1 then 'DUPLICATE' else 'UNREVIEWED' end as review_status, case when place = 1 then 'first' end as reviewed_by from rk""",
         "candidate_rows": f"""{lots}, {o.classic_decisions(MIXED_FIELDS)} select idx_a, idx_b, {record}, {o.joined('a.at_application_context')} as context_a, {o.joined('b.v_SIZE')} as size_b, difference_kinds as critical,
  '{vocab.SCAN_MODES[0]}' as scan_mode, 'UNREVIEWED' as review_status from {o.both('decided')}""",
+        "parted_texts": f"with pm as ({duckdb_view(MIXED)}) select rec_idx, {o.expand_apart('DESCRIPTION')} as description, {o.expand_apart('PART_NO')} as part_no from pm",
+        "safe_filenames": r"select page_id, coalesce(nullif(regexp_replace(case when page_id % 10 = 0 then '/?' else url end, '[^\p{L}\p{N}\-_.]', '', 'g'), ''), 'export.csv') as filename from pages",
+        "candidate_view": f"""{lots}, {o.classic_decisions(MIXED_FIELDS)} select {', '.join(f"{o.strip(f'{s}.{f}')} as {f.lower()}_{s}" for f in ('PART_NO', 'DESCRIPTION') for s in sides)}, floor(similarity_score * 10 + 0.5) / 10 as score, 0.0::double as no_number,
+ case business_status {' '.join(f"when '{k}' then '{v}'" for k, v in vocab.STATUS_NAMES.items())} end as status, case when matched_fields = '' then '-' else replace(matched_fields, '|', '; ') end as matched,
+ case when matched_evidence = '' then 0 else 1 end as n_evidence, case when rejection_reason = '' then '-' else rejection_reason end as reason from {o.both('decided')}""",
+        "field_picker": "select * from (values " + ", ".join(f"({o.quoted(f)}, {o.quoted(d)})" for f, d, r in vocab.FIELDS if not r) + ") v(field, display)",
         "scan_groups": f"""{lot_groups},
  ex as (select c, adm.* from adm join comp on comp.n = node_a),
  pg as (select c, count(*) as pair_count, floor(avg(similarity_score) * 100 + 0.5) / 100 as average_score, max(similarity_score) as top_score, min((idx_a, idx_b)) as first,
@@ -558,7 +591,7 @@ def oracle_sql() -> dict[str, str]:
         "classic_decisions": f"{lots}, {o.classic_decisions(MIXED_FIELDS)} select * from decided",
         "classic_decisions_cross_site": f"{lots}, {o.classic_decisions(MIXED_FIELDS, vocab.SCAN_MODES[1])} select * from decided",
         "evidence_decisions": f"{lots}, {o.evidence_decisions(MIXED_FIELDS)} select * from decided",
-        "evidence_decisions_cross_site": f"{lots}, {o.evidence_decisions(MIXED_FIELDS, cross_site=True)} select * from decided",
+        "evidence_decisions_cross_site": f"{lots}, {o.evidence_decisions(MIXED_FIELDS[1:], cross_site=True)} select * from decided",
         "classic_guards": f"{PAIRS} {o.classic_guards()}",
         "evidence_guards": f"{PAIRS} {o.evidence_guards()}",
         "guard_status_summary": f"{guard_rows} select coalesce(status, 'TOTAL') as status, count(*) as n from gd where status is not null group by rollup (status)",
