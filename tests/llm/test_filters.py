@@ -114,6 +114,8 @@ def test_licenses(spark, odd, nothing):
         (5, "licensed under nothing at all"),
         (6, "Licensed under CC BY-NC 4.0."),
         (7, "K cc by"),
+        (8, "Redistribution and use in source and binary forms, with or without modification, are permitted (subject to the limitations in the disclaimer below) provided that the following conditions are met"),
+        (9, "Redistribution and use in source and binary forms " + "far away " * 30 + "are permitted provided that the following conditions are met"),
     ]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].labels, got[1].base_labels, got[1].n_base, got[1].first_word) == ("apache", "", 0, None) and got[1].score == 1.0
@@ -121,6 +123,9 @@ def test_licenses(spark, odd, nothing):
     assert got[3].labels == "gpl" and got[4].labels == "gpl" and got[5].labels == "" and got[5].score == 0
     assert got[6].base_labels == "cc-by" and got[6].labels == "cc-by,cc-by-nc"
     assert got[7].first_word == 1
+    assert got[8].labels == "bsd" and got[9].labels == ""
+    both = licenses.scan(spark.createDataFrame([(1, "all rights waived, all rights reserved")], "doc_id long, text string"), phrases=(*licenses.PHRASES, ("all rights", "rights"))).first()
+    assert (both.n_base, both.base_labels, both.first_word, both.last_word) == (3, "reserved,rights", 0, 3)
     spans = licenses.spans(spark.createDataFrame(rows[3:4], "doc_id long, text string")).first()
     assert (spans.first_word, spans.end_word) == (4, 13) and math.isclose(spans.coverage, 9 / 12) or spans.coverage >= licenses.COVERAGE
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(nothing).count() == 0

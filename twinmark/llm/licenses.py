@@ -2,8 +2,8 @@
 
 Every rolling word k-gram of a text is joined by its hash to the positions it has in license templates.  A hit
 votes for the diagonal of its offset (position in the text less position in the template); votes on
-neighbouring diagonals, which insertions and deletions cause, are merged, and a span counts if the words that its
-hits confirm make up enough of the template.  All of it runs as DataFrame operations.
+neighbouring diagonals, which insertions and deletions cause, are merged, spans that a longer insertion parts are
+chained, and a span counts if the words that its hits confirm make up enough of the template.  All of it runs as DataFrame operations.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 
 K = 3
-#: Diagonals this close are one span; the share of a template's words that a span must confirm.
-NEAR, COVERAGE = 2, 0.8
+#: Diagonals this close are one span; spans this many words apart are one if the template goes on in the later one; the
+#: share of a template's words that a span must confirm.
+NEAR, GAP, COVERAGE = 2, 20, 0.8
 #: What separates words: all ASCII but letters and digits (upper case is lowered first).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,12 +57,28 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
 
 
+def phrase_places(words: Column, phrases) -> Column:
+    """Structs (i, code): the word at which a phrase starts and the number of the phrase.
+
+    Phrases with the same first word are looked for one after the other, so that none hides another.
+    """
+    rounds: list[dict[str, tuple[int, str]]] = []
+    for number, (phrase, _) in enumerate(phrases):
+        first = phrase.split()[0]
+        free = next((r for r in rounds if first not in r), None)
+        if free is None:
+            rounds.append(free := {})
+        free[first] = (number, phrase)
+    found = [F.filter(F.transform(phrase_at(words, list(r.values())), lambda code, i: F.when(code.isNotNull(), F.struct(i.alias("i"), code.alias("code")))), lambda s: s.isNotNull()) for r in rounds]
+    return F.concat(*found)
+
+
 def phrase_at(words: Column, phrases) -> Column:
-    """For each word the number of the phrase that starts there, else null."""
+    """For each word the number of the phrase (number, text) that starts there, else null."""
 
     def at(word: Column, i: Column) -> Column:
         value = F.lit(None).cast("int")
-        for number, (phrase, _) in reversed(list(enumerate(phrases))):
+        for number, phrase in reversed(phrases):
             first, *rest = phrase.split()
             same = reduce(lambda c, x: c & F.coalesce(F.get(words, i + x[0]) == x[1], F.lit(False)), enumerate(rest, 1), word == first)
             value = F.when(same, F.lit(number)).otherwise(value)
@@ -101,8 +118,17 @@ def spans(docs: DataFrame, templates=TEMPLATES, *, k: int = K, id_col: str = "do
         .groupBy("key1", "key2", "template", "label", "t_words", "span")
         .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("first_word"), (F.max("high") + k).alias("end_word"))
     )
+    # a longer insertion leaves two spans on far diagonals: they are chained if the second goes on where the first ended
+    down = Window.partitionBy("key1", "key2", "template").orderBy("first_word", "span")
+    goes_on = (F.col("first_word") - F.lag("end_word").over(down) <= GAP) & (F.array_min("places") > F.lag(F.array_max("places")).over(down))
+    merged = (
+        merged.withColumn("step", F.when(goes_on, 0).otherwise(1))
+        .withColumn("chain", F.sum("step").over(down))
+        .groupBy("key1", "key2", "template", "label", "t_words", "chain")
+        .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
+    )
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(*[p + j for j in range(k)])))))
-    return merged.withColumn("coverage", covered / F.col("t_words")).where(F.col("coverage") >= COVERAGE).drop("places", "span", "t_words")
+    return merged.withColumn("coverage", covered / F.col("t_words")).where(F.col("coverage") >= COVERAGE).drop("places", "chain", "t_words")
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:
@@ -119,7 +145,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, *, id_col: str =
     no labels and score 0.  Repeated rows get equal results; a null doc_id is kept; other columns are ignored; an
     empty table gives no rows.
     """
-    found = F.filter(F.transform(phrase_at(F.col("words"), phrases), lambda code, i: F.when(code.isNotNull(), F.struct(i.alias("i"), code.alias("code")))), lambda s: s.isNotNull())
+    found = phrase_places(F.col("words"), phrases)
     names = F.array(*[F.lit(label) for _, label in phrases])
     base = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(id_col, text_col), word_list(F.col(text_col)).alias("words"))
@@ -166,12 +192,17 @@ tg as (select n, label, len(tw) as t_words, j - 1 as t_pos, array_to_string(tw[j
   from (select *, unnest(range(1, len(tw) - {k - 2})) as j from t)),
 g as (select rid, i - 1 as pos, array_to_string(ws[i:i + {k - 1}], ' ') as g from p where i <= len(ws) - {k - 1}
   and ws[i] in (select distinct split_part(g, ' ', 1) from tg)),
-h as (select rid, n, label, t_words, t_pos, pos - t_pos as diagonal from g join tg using (g)),
+h as (select rid, n, label, t_words, t_pos, pos, pos - t_pos as diagonal from g join tg using (g)),
 s as (select *, case when diagonal - lag(diagonal) over (partition by rid, n order by diagonal) <= {NEAR} then 0 else 1 end as step
   from (select distinct rid, n, label, t_words, diagonal from h)),
 c as (select *, sum(step) over (partition by rid, n order by diagonal) as span from s),
-cov as (select rid, n, label, t_words, span, count(distinct t_pos + o) as covered
-  from h join c using (rid, n, label, t_words, diagonal), (select unnest(range({k})) as o) group by all),
+hs as (select rid, n, label, t_words, t_pos, pos, span from h join c using (rid, n, label, t_words, diagonal)),
+sp as (select rid, n, span, min(pos) as first_word, max(pos) + {k} as end_word, min(t_pos) as t_low, max(t_pos) as t_high from hs group by all),
+ln as (select *, case when first_word - lag(end_word) over w <= {GAP} and t_low > lag(t_high) over w then 0 else 1 end as step
+  from sp window w as (partition by rid, n order by first_word, span)),
+ch as (select rid, n, span, sum(step) over (partition by rid, n order by first_word, span) as chain from ln),
+cov as (select rid, n, label, t_words, chain, count(distinct t_pos + o) as covered
+  from hs join ch using (rid, n, span), (select unnest(range({k})) as o) group by all),
 best as (select rid, list_distinct(list(label)) as more, max(covered / t_words) as best from cov
   where covered / t_words >= {COVERAGE} group by rid)
 select doc_id, len(ws) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
