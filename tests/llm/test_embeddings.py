@@ -51,6 +51,25 @@ def test_links_against_brute_force(spark, monkeypatch, cluster, piece):
         assert got == want
 
 
+def test_large_clusters_are_dealt_by_centroids_of_their_own(spark, monkeypatch):
+    for name, value in {"CLUSTER": 25, "SAMPLE": 160, "SPLIT": 60, "SUBSAMPLE": 80, "DEALT": 64, "PIECE": 50, "ASKED": 90}.items():
+        monkeypatch.setattr(ed, name, value)
+    rows = make(6)
+    ready = ed.prepare(spark.createDataFrame(rows, SHAPE), "vec_id", "embedding", "label")
+    classes = ready.groupBy("digest", "label").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("mult"), F.first("vec").alias("vec")).cache()
+    centroids = ed.fit_centroids(classes, classes.count())
+    second = ed.fit_second_level(classes, centroids)
+    assert second is not None and second.where("n > 60").count() == second.count()
+    first, dealt = ed.deal(classes, centroids, 3), ed.refine(ed.deal(classes, centroids, 3), second, 3).cache()
+    assert dealt.where("rank = 0").count() == classes.count() == dealt.where("rank = 0").select("id").distinct().count()
+    assert dealt.select("id", "cluster").distinct().count() == dealt.count() and dealt.agg(F.max("rank")).first()[0] == 2
+    largest = lambda df: df.where("rank = 0").groupBy("label", "cluster").count().agg(F.max("count")).first()[0]
+    assert largest(dealt) < largest(first)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.link_vectors(spark.createDataFrame(rows, SHAPE)).collect()}
+    want = brute(rows)
+    assert all(got[i][0] <= want[i][0] for i in want) and sum(v[0] for v in got.values()) >= 0.98 * sum(v[0] for v in want.values())
+
+
 def test_odd_vectors(spark):
     v, w = [1.0, 2.0, 0.0], [0.0, 0.0, 3.0]
     rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, v, 1), (4, v, None), (5, None, 0), (6, [0.0] * 3, 0), (7, [1.0, None, 2.0], 0), (8, [1.0, math.inf, 0.0], 0), (9, w, 0), (None, v, 0), (10, [], 0), (11, [1.0, 2.0], 0), (12, [2.0, 4.0, 0.001], 0)]

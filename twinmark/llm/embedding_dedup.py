@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Vectors of a label are dealt to overlapping cluster shards.  Each shard builds one flat layer of a proximity graph
+Vectors of a label are dealt to overlapping cluster shards, large clusters by centroids of their own.  Each shard builds one flat layer of a proximity graph
 whose neighbour lists are robust-pruned, and the lists of a vector from all its shards are united.  Every vector
 then searches the shards around it: greedily from the shard's medoids, and from whatever it finds in range the
 search spreads along the graph until nothing new is in range.  Links are decided on exact double-precision
@@ -27,8 +27,12 @@ from .components import connected_components
 THRESHOLD = 0.93
 #: Vectors of a cluster aimed at, home vectors of a shard and queries of a group at most: larger clusters are split.
 CLUSTER, PIECE, ASKED = 2000, 4096, 16384
-#: Rows that centroids are fitted on, at most; also bounds how many centroids there are.
+#: Rows that centroids are fitted on, at most; also bounds how many centroids there are on the first level.
 SAMPLE = 20_000
+#: Clusters of more home vectors than this get centroids of their own, fitted on so many of their rows; at most so many.
+SPLIT, SUBSAMPLE, SUBCLUSTERS = 4000, 4000, 500
+#: Vectors that are dealt to the second level in one task.
+DEALT = 16384
 #: Clusters whose graphs hold a vector, and clusters that a vector searches.
 HELD, VISITED = 2, 3
 #: Neighbours by robust pruning, long-range neighbours, candidates for both, slack of the pruning.
@@ -72,6 +76,19 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
 
 
+def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centers of unit vectors, of unit length."""
+    random = np.random.default_rng(11)
+    centers = x[random.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        near = (x @ centers.T).argmax(axis=1)
+        for c in range(k):
+            own = x[near == c]
+            center = own.sum(axis=0) if len(own) else x[random.integers(len(x))]
+            centers[c] = center / max(np.linalg.norm(center), 1e-300)
+    return centers
+
+
 def fit_centroids(classes: DataFrame, total: int) -> dict[tuple[str, int], np.ndarray]:
     """Centroids by label and dimension, fitted on at most SAMPLE rows; none for labels that fit one shard."""
     sample = classes.select("label", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
@@ -80,17 +97,8 @@ def fit_centroids(classes: DataFrame, total: int) -> dict[tuple[str, int], np.nd
     for (label, size), part in sample.groupby([sample["label"], sample["vec"].str.len()]):
         x = np.frombuffer(b"".join(part["vec"]), "<f8").reshape(len(part), -1)
         k = min(int(np.ceil(len(x) * share / CLUSTER)), len(x) // 8)
-        if k < 2:
-            continue
-        random = np.random.default_rng(11)
-        centers = x[random.choice(len(x), k, replace=False)]
-        for _ in range(8):
-            near = (x @ centers.T).argmax(axis=1)
-            for c in range(k):
-                own = x[near == c]
-                center = own.sum(axis=0) if len(own) else x[random.integers(len(x))]
-                centers[c] = center / max(np.linalg.norm(center), 1e-300)
-        found[label, size // 8] = centers
+        if k >= 2:
+            found[label, size // 8] = k_means(x, k)
     return found
 
 
@@ -115,6 +123,68 @@ def deal(classes: DataFrame, centroids: dict, visited: int) -> DataFrame:
     return map_slices(classes.select("label", "id", "vec"), run, "label string, id long, vec binary, dim int, cluster int, rank int", VECTORS)
 
 
+def fit_second_level(classes: DataFrame, centroids: dict) -> DataFrame | None:
+    """(label, dim, cluster, n, centers) of the clusters with more than SPLIT home vectors; none if there are none.
+
+    As many clusters as there are first centroids are counted.  The centroids of a cluster are fitted where a sample of
+    its rows lies, drawn by hash, so their number grows with the corpus and nothing of them reaches the driver.
+    """
+    key = ["label", "dim", "cluster"]
+    homes = deal(classes, centroids, 1)
+    large = store(homes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(f"n > {SPLIT}"), "large-clusters")
+    if not centroids or large.isEmpty():
+        return None
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = homes.join(F.broadcast(large), key).where(part * F.col("n") < SUBSAMPLE)  # at most one row a first centroid is broadcast
+
+    def run(group: pa.Table) -> pa.Table:
+        x, n = matrix(group.column("vec")), group.column("n")[0].as_py()
+        centers = k_means(x, max(1, min(-(-n // CLUSTER), SUBCLUSTERS, len(x) // 8)))
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in key}, "n": pa.array([n]), "centers": pa.array([centers.astype("<f8").tobytes()], pa.binary())})
+
+    return store(drawn.select(*key, "n", "vec").groupBy(*key).applyInArrow(run, "label string, dim int, cluster int, n long, centers binary"), "second-centroids")
+
+
+def refine(dealt: DataFrame, second: DataFrame | None, visited: int) -> DataFrame:
+    """Deals the rows of large clusters on to the nearest of their own centroids; the ranks of both levels add up.
+
+    Rows of a cluster are split by hash, and each part meets the centroids of its cluster once.
+    """
+    if second is None:
+        return dealt
+    key = ["label", "dim", "cluster"]
+    parts = second.withColumn("parts", F.ceil(F.col("n") * visited / DEALT).cast("int"))
+    sizes = F.broadcast(parts.select(*key, "parts"))  # at most one row a first centroid
+    rows = dealt.join(sizes, key, "left")
+    own = rows.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), F.col("parts")).cast("int"))
+    centers = parts.select(*key, "centers", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def run(group: pa.Table, found: pa.Table) -> pa.Table:
+        schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cluster", pa.int32()), ("rank", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())])
+        if not group.num_rows:
+            return schema.empty_table()
+        x = matrix(group.column("vec"))
+        c = np.frombuffer(found.column("centers")[0].as_py(), "<f8").reshape(-1, x.shape[1])
+        rank, cluster = group.column("rank").to_numpy(), group.column("cluster").to_numpy()
+        at, sub, total = [], [], []
+        for start in range(0, len(x), 1024):
+            order = np.argsort(-(x[start : start + 1024] @ c.T), axis=1, kind="stable")[:, :visited]
+            place = rank[start : start + 1024, None] + np.arange(order.shape[1])[None]
+            row, column = np.nonzero(place < visited)
+            at.append(start + row)
+            sub.append(order[row, column])
+            total.append(place[row, column])
+        at, sub, total = (np.concatenate(part) for part in (at, sub, total))
+        # first-level numbers stay below the offset, so numbers of the two levels never meet
+        number = (cluster[at].astype(np.int64) + 1) * 1024 + SAMPLE + sub
+        out = group.take(pa.array(at))
+        return pa.table([out.column("label"), out.column("dim"), pa.array(number.astype(np.int32)), pa.array(total.astype(np.int32)), out.column("id"), out.column("vec")], schema=schema)
+
+    names = [*key, "rank", "id", "vec"]
+    split = own.groupBy(*key, "part").cogroup(centers.groupBy(*key, "part")).applyInArrow(run, "label string, dim int, cluster int, rank int, id long, vec binary")
+    return rows.where("parts is null").select(*names).unionByName(split)
+
+
 def shard(dealt: DataFrame) -> DataFrame:
     """Splits clusters into pieces of bounded size, and the vectors that search a cluster into parts of bounded size.
 
@@ -430,7 +500,7 @@ def recall(truth: dict[int, int], counts: DataFrame) -> float:
         return 1.0
     asked = counts.sparkSession.createDataFrame([(i,) for i in true], "id long")
     found = {r["id"]: r["found"] for r in counts.join(F.broadcast(asked), "id").select("id", "found").collect()}
-    hit = {i: min(found.get(i, 0), n) for i, n in true.items()}
+    hit = {i: max(0, n - abs(found.get(i, 0) - n)) for i, n in true.items()}  # links too many are as wrong as missing ones
     return min(sum(hit.values()) / sum(true.values()), sum(hit[i] / n for i, n in true.items()) / len(true))
 
 
@@ -468,9 +538,10 @@ def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str =
         found = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
         return found, store(count_links(classes, found, threshold), "counts")
 
+    second = fit_second_level(classes, centroids)
     visited, beam = VISITED, BEAM
     for turn in range(WIDENINGS + 1):
-        shards = store(shard(deal(classes, centroids, visited)), "shards")
+        shards = store(shard(refine(deal(classes, centroids, visited), second, visited)), "shards")
         graph = store(build(shards), "graph")
         searched = store(search(shards, graph, threshold, beam), "searched")
         found, counts = connect(searched.select("id", "root"))
