@@ -52,9 +52,9 @@ def blocks(enriched: DataFrame, fields=()) -> DataFrame:
 def matches(enriched: DataFrame, fields=(), cross_site: bool = False) -> DataFrame:
     """(idx_a, idx_b, keys) of pairs that share block keys and may be compared, each pair once; idx_a < idx_b.
 
-    Every record carries all its keys to each of its blocks, and a pair is kept in the block of the least key that both
-    have.  So no pair is made twice, none is shuffled again to be made distinct, and what it shares is known where it
-    is found.
+    Every record carries its sorted keys to each of its blocks, and a pair is kept in the block of the least key that
+    both have: where the keys before it have nothing in common.  So no pair is made twice, none is shuffled again to be
+    made distinct, and what it shares is known where it is found.
 
     Two values of a selected field (and of the site, unless ``cross_site``) are compatible if they are equal or one is
     blank.  Records that have all of them are joined on key and values together, which keeps the block of a
@@ -63,15 +63,15 @@ def matches(enriched: DataFrame, fields=(), cross_site: bool = False) -> DataFra
     scope = list(fields) + ([] if cross_site or "CONTRACT" in fields else ["CONTRACT"])
     values = [field_value(enriched, f).alias(f"v{k}") for k, f in enumerate(scope)]
     names = [f"v{k}" for k in range(len(scope))]
-    own = reused(enriched.select("rec_idx", F.lower(strip("PART_NO")).alias("p"), *values, F.transform(block_keys(enriched, fields), lambda b: b["key"]).alias("keys")), "block-keys")
+    own = reused(enriched.select("rec_idx", F.lower(strip("PART_NO")).alias("p"), *values, F.array_sort(F.transform(block_keys(enriched, fields), lambda b: b["key"])).alias("keys")), "block-keys")
     complete = reduce(lambda a, b: a & b, [F.col(n) != "" for n in names], F.lit(True))
-    rows = own.select("*", F.explode("keys").alias("key"), complete.alias("complete"))
+    rows = own.select("*", F.posexplode("keys").alias("pos", "key"), complete.alias("complete")).withColumn("before", F.slice("keys", F.lit(1), F.col("pos")))
 
     def side(x: str, only) -> DataFrame:
-        return rows.where(only).select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec_idx", "p", "complete", "keys", "key", *names)])
+        return rows.where(only).select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec_idx", "p", "complete", "keys", "before", "key", *names)])
 
     shared = F.array_intersect("keys_a", "keys_b")
-    once = (F.col("key_a") == F.array_min(shared)) & ((F.col("p_a") == "") | (F.col("p_a") != F.col("p_b")))
+    once = ((F.col("p_a") == "") | (F.col("p_a") != F.col("p_b"))) & ~F.arrays_overlap("before_a", "before_b")
     key = F.col("key_a") == F.col("key_b")
     same = [F.col(f"{n}_a") == F.col(f"{n}_b") for n in names]
     whole = side("a", F.col("complete")).join(side("b", F.col("complete")), reduce(lambda a, b: a & b, same, key) & (F.col("rec_idx_a") < F.col("rec_idx_b")) & once)
