@@ -49,40 +49,46 @@ def blocks(enriched: DataFrame, fields=()) -> DataFrame:
     return enriched.select("rec_idx", F.posexplode(block_keys(enriched, fields)).alias("pos", "b")).select("rec_idx", "b.kind", "b.key", "pos")
 
 
-def matches(enriched: DataFrame, fields=(), cross_site: bool = False) -> DataFrame:
-    """(idx_a, idx_b, keys) of pairs that share block keys and may be compared, each pair once; idx_a < idx_b.
+def keyed(enriched: DataFrame, fields, cross_site: bool) -> tuple[DataFrame, list[str]]:
+    """rec_idx, part number, values of the scope (selected fields and site), which of them there are, sorted block keys."""
+    scope = list(fields) + ([] if cross_site or "CONTRACT" in fields else ["CONTRACT"])
+    names = [f"v{k}" for k in range(len(scope))]
+    values = [field_value(enriched, f).alias(n) for n, f in zip(names, scope, strict=True)]
+    there = reduce(lambda x, y: x + y, [F.when(v != "", 1 << k).otherwise(0) for k, v in enumerate(values)], F.lit(0))
+    keys = F.array_sort(F.transform(block_keys(enriched, fields), lambda b: b["key"]))
+    return reused(enriched.select("rec_idx", F.lower(strip("PART_NO")).alias("p"), *values, there.alias("there"), keys.alias("keys")), "block-keys"), names
+
 
-    Every record carries its sorted keys to each of its blocks, and a pair is kept in the block of the least key that
-    both have: where the keys before it have nothing in common.  So no pair is made twice, none is shuffled again to be
-    made distinct, and what it shares is known where it is found.
+def matches(own: DataFrame, names: list[str]) -> DataFrame:
+    """(idx_a, idx_b) of pairs of keyed records that share a block key and may be compared, each once; idx_a < idx_b.
 
-    Two values of a selected field (and of the site, unless ``cross_site``) are compatible if they are equal or one is
-    blank.  Records that have all of them are joined on key and values together, which keeps the block of a
-    frequent token small; only records with a blank value are joined on the key alone.
+    Two values of the scope are compatible if they are equal or one is blank: records must agree in the fields that both
+    have.  Which sets of fields two records can have in common is known from the few kinds of records there are, so
+    every record takes part once for each such set that it has, and is joined on key, set and values.  No block of a
+    frequent token is joined as a whole unless records have none of the values.
+
+    Every row carries hashes of the keys before its own, and a pair is kept where those have nothing in common: in
+    the block of the least key that both share.  So no pair is made twice, and none is shuffled to be made distinct.
     """
-    scope = list(fields) + ([] if cross_site or "CONTRACT" in fields else ["CONTRACT"])
-    values = [field_value(enriched, f).alias(f"v{k}") for k, f in enumerate(scope)]
-    names = [f"v{k}" for k in range(len(scope))]
-    own = reused(enriched.select("rec_idx", F.lower(strip("PART_NO")).alias("p"), *values, F.array_sort(F.transform(block_keys(enriched, fields), lambda b: b["key"])).alias("keys")), "block-keys")
-    complete = reduce(lambda a, b: a & b, [F.col(n) != "" for n in names], F.lit(True))
-    rows = own.select("*", F.posexplode("keys").alias("pos", "key"), complete.alias("complete")).withColumn("before", F.slice("keys", F.lit(1), F.col("pos")))
-
-    def side(x: str, only) -> DataFrame:
-        return rows.where(only).select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec_idx", "p", "complete", "keys", "before", "key", *names)])
-
-    shared = F.array_intersect("keys_a", "keys_b")
-    once = ((F.col("p_a") == "") | (F.col("p_a") != F.col("p_b"))) & ~F.arrays_overlap("before_a", "before_b")
-    key = F.col("key_a") == F.col("key_b")
-    same = [F.col(f"{n}_a") == F.col(f"{n}_b") for n in names]
-    whole = side("a", F.col("complete")).join(side("b", F.col("complete")), reduce(lambda a, b: a & b, same, key) & (F.col("rec_idx_a") < F.col("rec_idx_b")) & once)
-    shown = (F.least("rec_idx_a", "rec_idx_b").alias("idx_a"), F.greatest("rec_idx_a", "rec_idx_b").alias("idx_b"), shared.alias("keys"))
-    pairs = whole.select(*shown)
-    if not names:
-        return pairs
-    fits = [(F.col(f"{n}_a") == "") | (F.col(f"{n}_b") == "") | s for n, s in zip(names, same, strict=True)]
-    ordered = F.col("complete_b") & (F.col("rec_idx_a") != F.col("rec_idx_b")) | (~F.col("complete_b") & (F.col("rec_idx_a") < F.col("rec_idx_b")))
-    partial = side("a", ~F.col("complete")).join(side("b", F.lit(True)), reduce(lambda a, b: a & b, fits, key) & ordered & once)
-    return pairs.unionAll(partial.select(*shown))
+    kinds = [r["there"] for r in own.select("there").distinct().collect()]  # as many as there are sets of fields, at most
+    common = sorted({a & b for a in kinds for b in kinds})
+    sets = F.filter(F.array(*[F.lit(c) for c in common]).cast("array<int>"), lambda c: c.bitwiseAND(F.col("there")) == c)
+    rows = own.select("rec_idx", "p", "there", *names, "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes"), F.explode(sets).alias("both"))
+    known = [F.when(F.col("both").bitwiseAND(F.lit(1 << k)) != 0, F.col(n)).otherwise("").alias(n) for k, n in enumerate(names)]
+    rows = rows.select("rec_idx", "p", "there", "both", *known, "hashes", F.posexplode("keys").alias("pos", "key"))
+    rows = rows.select("rec_idx", "p", "there", "both", *names, "key", F.slice("hashes", F.lit(1), F.col("pos")).alias("before"))
+    side = lambda x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
+    same = reduce(lambda x, y: x & y, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("key", "both", *names)])
+    may = (F.col("rec_idx_a") < F.col("rec_idx_b")) & (F.col("there_a").bitwiseAND(F.col("there_b")) == F.col("both_a")) & ((F.col("p_a") == "") | (F.col("p_a") != F.col("p_b")))
+    met = side("a").join(side("b"), same & may & ~F.arrays_overlap("before_a", "before_b"))
+    return met.select(F.col("rec_idx_a").alias("idx_a"), F.col("rec_idx_b").alias("idx_b"))
+
+
+def with_keys(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Adds the keys that the records of each pair share."""
+    hint = F.broadcast if few_records(own) else (lambda df: df)
+    side = lambda x: hint(own.select(F.col("rec_idx").alias(f"idx_{x}"), F.col("keys").alias(f"keys_{x}")))
+    return pairs.join(side("a"), "idx_a").join(side("b"), "idx_b").select("idx_a", "idx_b", F.array_intersect("keys_a", "keys_b").alias("keys"))
 
 
 def capped(found: DataFrame, index: DataFrame, most: int) -> tuple[DataFrame, bool]:
@@ -97,27 +103,31 @@ def capped(found: DataFrame, index: DataFrame, most: int) -> tuple[DataFrame, bo
     firsts = placed.groupBy("idx_a", "idx_b").agg(F.min("place").alias("place"))
     last = firsts.orderBy("place").limit(most).agg(F.max("place").alias("place"), F.count(F.lit(1)).alias("n")).first()
     if last["n"] < most:
-        return found, False
+        return placed.groupBy("idx_a", "idx_b").agg(F.collect_set("key").alias("keys")), False
     p = last["place"]
     edge = F.struct(*[F.lit(p[k]).alias(n) for k, n in enumerate(("rec_idx", "pos", "idx_a", "idx_b"))])
     return placed.where(F.col("place") <= edge).groupBy("idx_a", "idx_b").agg(F.collect_set("key").alias("keys")), True
 
 
 def limited_pairs(enriched: DataFrame, fields=(), *, cross_site: bool = False, most: int | None = None) -> tuple[DataFrame, list[dict]]:
-    """idx_a, idx_b, candidate_reasons, matched_blocks of each pair, and a warning if ``most`` stopped the search."""
-    found, warnings = matches(enriched, fields, cross_site), []
-    if most is not None:
-        found, reached = capped(found, blocks(enriched, fields), most)
-        if reached:
-            warnings.append({"warning_type": "PAIR_LIMIT_REACHED", "message": vocab.WARNING_TEXTS["PAIR_LIMIT_REACHED"].format(most=most)})
-    kind = lambda k: F.substring_index(k, ":", 1)
-    reason = lambda k: reduce(lambda c, x: c.when(kind(k) == x, F.lit(REASONS[x])), list(REASONS)[1:], F.when(kind(k) == "selected", F.lit(REASONS["selected"])))
-    return found.select("idx_a", "idx_b", F.array_sort(F.array_distinct(F.transform("keys", reason))).alias("candidate_reasons"), F.array_sort("keys").alias("matched_blocks")), warnings
+    """idx_a, idx_b of each pair, and a warning if ``most`` stopped the search."""
+    own, names = keyed(enriched, fields, cross_site)
+    found = matches(own, names)
+    if most is None:
+        return found, []
+    found, reached = capped(with_keys(found, own), blocks(enriched, fields), most)
+    return found, [{"warning_type": "PAIR_LIMIT_REACHED", "message": vocab.WARNING_TEXTS["PAIR_LIMIT_REACHED"].format(most=most)}] if reached else []
 
 
 def candidate_pairs(enriched: DataFrame, fields=(), *, cross_site: bool = False, most: int | None = None) -> DataFrame:
     """idx_a, idx_b, candidate_reasons, matched_blocks: each pair once, with what it shares."""
-    return limited_pairs(enriched, fields, cross_site=cross_site, most=most)[0]
+    own, names = keyed(enriched, fields, cross_site)
+    found = with_keys(matches(own, names), own)
+    if most is not None:
+        found = capped(found, blocks(enriched, fields), most)[0]
+    kind = lambda k: F.substring_index(k, ":", 1)
+    reason = lambda k: reduce(lambda c, x: c.when(kind(k) == x, F.lit(REASONS[x])), list(REASONS)[1:], F.when(kind(k) == "selected", F.lit(REASONS["selected"])))
+    return found.select("idx_a", "idx_b", F.array_sort(F.array_distinct(F.transform("keys", reason))).alias("candidate_reasons"), F.array_sort("keys").alias("matched_blocks"))
 
 
 def field_matches(fields, a: str = "a", b: str = "b") -> tuple[Column, Column]:

@@ -39,7 +39,7 @@ def pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def record_pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     own = reused(records(spark, sf_dir), "records")
-    return blocking.join_records(blocking.candidate_pairs(own, FIELDS, **options), own)
+    return blocking.join_records(blocking.limited_pairs(own, FIELDS, **options)[0], own)
 
 
 def with_fields(df: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def candidate_pairs_capped(spark, sf_dir):
 
 
 def records_without_candidates(spark, sf_dir):
-    found = pairs(spark, sf_dir)
+    found = blocking.limited_pairs(reused(records(spark, sf_dir), "records"), FIELDS)[0]
     met = found.select(F.col("idx_a").alias("rec_idx")).union(found.select("idx_b"))
     return part_master(spark, sf_dir).select("rec_idx", "PART_NO").join(met, "rec_idx", "left_anti")
 
@@ -218,7 +218,7 @@ def evidence_decisions_cross_site(spark, sf_dir):
 
 def evidence_status_summary(spark, sf_dir):
     own = reused(records(spark, sf_dir), "records")
-    met = blocking.candidate_pairs(own, FIELDS).select("idx_a", "idx_b")
+    met = blocking.limited_pairs(own, FIELDS)[0]
     return results.status_counts(evidence.statuses(met, own, FIELDS))
 
 

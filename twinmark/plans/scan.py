@@ -31,7 +31,7 @@ def decided_pairs(records: DataFrame, fields=(), *, engine: str = "classic", mod
     cross_site = mode != vocab.SCAN_MODES[0]
     enriched = reused(enrich(with_index(with_description(records))), "records")
     pairs, warnings = blocking.limited_pairs(enriched, fields, cross_site=cross_site, most=most)
-    pairs = pairs.select("idx_a", "idx_b")
+    pairs = pairs.select("idx_a", "idx_b")  # keys, if the limit needed them, go no further
     if engine == "classic":
         return classic.decide(pairs, enriched, fields, mode), warnings
     if engine == "evidence":

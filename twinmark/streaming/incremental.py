@@ -43,7 +43,7 @@ def link_batch(batch: DataFrame, batch_id: int, path: str, fields=(), *, engine:
         own = own.unionByName(old.join(near, "rec_idx", "left_semi").withColumn("is_new", F.lit(False)), allowMissingColumns=True)
     own = reused(own, "batch-records")
     flags = own.select("rec_idx", "is_new")
-    pairs = blocking.candidate_pairs(own, fields, cross_site=cross_site).select("idx_a", "idx_b")
+    pairs = blocking.limited_pairs(own, fields, cross_site=cross_site)[0]
     pairs = pairs.join(flags.toDF("idx_a", "new_a"), "idx_a").join(flags.toDF("idx_b", "new_b"), "idx_b").where("new_a or new_b").select("idx_a", "idx_b")
     decided = classic.decide(pairs, own, fields, mode) if engine == "classic" else evidence.decide(pairs, own, fields, cross_site, mode)
     results.kept(results.candidates(decided), threshold).write.mode("overwrite").parquet(f"{path}/candidates/batch_id={batch_id}")
