@@ -104,6 +104,23 @@ def test_filter_keeps_what_is_similar():
                 assert nd.possible(nd.registers(base)[None], nd.registers(other)[None], np.array([n]), np.array([n]), 80)[0]
 
 
+def test_the_map_of_bits_misses_no_id(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from twinmark.llm import common
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("__x")).union(spark.sql("select cast(null as long), 'y'"))
+    ids = spark.range(0, 3000, 7).withColumnRenamed("id", "i")
+    for bits in (1 << 25, 1 << 10):
+        monkeypatch.setattr(common, "MAP_BITS", bits)
+        found = common.perhaps_among(rows, "doc_id", ids)
+        assert found.count() == 3001 and found.columns == ["doc_id", "__x", "__perhaps"]
+        assert found.where("doc_id % 7 = 0 and not __perhaps").count() == 0
+        said_no = found.where("not __perhaps").count()
+        assert (said_no >= 2565) if bits > 1 << 20 else (1500 < said_no < 2572)
+    assert common.perhaps_among(rows, "doc_id", ids.where("false")).where("__perhaps").count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -83,3 +83,23 @@ def sampled_ids(df: DataFrame, id_col: str, most: int, *carry: str) -> DataFrame
         .orderBy(F.xxhash64(F.col(id_col)), F.col(id_col), *[F.col(c) for c in carry])
         .limit(most)
     )
+
+
+#: Bits of the map of ``perhaps_among``: 4 MB, whatever the corpus.
+MAP_BITS = 1 << 25
+
+
+def perhaps_among(df: DataFrame, col: str, ids: DataFrame, flag: str = "__perhaps") -> DataFrame:
+    """Adds a flag that is false only where a long column is surely not among the ids (first column of ``ids``).
+
+    A map of hashed bits, of one fixed size, is made of all ids and broadcast.  Where it says no, a row need not be
+    shuffled to be joined with them; the more ids there are, the less it saves, and it never decides alone.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(5)), F.lit(MAP_BITS))
+    name = ids.columns[0]
+    bits = ids.select(slot(name).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    place = F.bitmap_bit_position(slot(col))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined = df.withColumn("__bucket", F.bitmap_bucket_number(slot(col))).join(F.broadcast(bits), "__bucket", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias(flag))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, store, texts
+from .common import map_slices, perhaps_among, store, texts
 from .components import connected_components
 
 WORDS = 5
@@ -159,7 +159,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, id_col: str, text
                     found.append(raw)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "members"])
 
-    own = texts(docs, id_col, text_col)
+    own = perhaps_among(texts(docs, id_col, text_col), "doc_id", wanted.select("id")).where("__perhaps")  # other texts are not shuffled
     joined = own.join(wanted.select(F.col("id").alias("doc_id"), "digest"), "doc_id").select("doc_id", "text", "digest")
     return map_slices(joined, run, "id long, members binary")
 
@@ -307,12 +307,13 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int =
     """The rows of ``docs`` without near duplicates: of each component the row with the least doc_id stays.
 
     Of rows that repeat a kept doc_id one stays.  Rows without a doc_id stay: nothing could name them as copies.
-    Texts are shuffled once, by doc_id.
+    Only texts that may have to go are shuffled, by doc_id.
     """
     linked = link_documents(docs, words=words, percent=percent).where("doc_id is not null")
     ids = store(linked.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept-ids")
     gone = ids.where("not kept or rows > 1").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    marked = perhaps_among(docs, "doc_id", gone)
+    rest = marked.where("not __perhaps").select(*docs.columns).unionByName(marked.where("__perhaps").join(gone, "doc_id", "left_anti").select(*docs.columns))
     repeated = ids.where("kept and rows > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
