@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,11 +31,20 @@ def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     ship(df.sparkSession)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+        yield from run(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+        give_back_memory()
 
     return df.mapInArrow(sliced, schema)
 
 
+def give_back_memory() -> None:
+    """Returns freed memory to the system, so that workers that wait for their next task stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors share.
 

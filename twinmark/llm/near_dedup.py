@@ -44,7 +44,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

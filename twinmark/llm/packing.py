@@ -44,10 +44,10 @@ def tokenize_pieces(docs: DataFrame, json_path: str, pattern: str, *, capacity:
     proven = same_ids(json_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, slow = vocabulary_encoder(json_path, pattern) if proven else None, vocabulary_tokenizer(json_path)
+        fast = vocabulary_encoder(json_path, pattern) if proven else None
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         added = added_tokens(json_path)
-        exact = lambda text: slow.encode(text, add_special_tokens=False).ids if text else []
+        exact = lambda text: vocabulary_tokenizer(json_path).encode(text, add_special_tokens=False).ids if text else []
         find = lambda text: encode(fast, text) if proven and not (added and text and added.search(text)) else exact(text)
         for batch in batches:
             rows: list[tuple] = []
