@@ -204,3 +204,20 @@ def test_service(spark, tmp_path):
     assert service.kept_data(store, str(tmp_path / "made")).where("table = 'input' and column like 'sha256:%'").count() >= 1
     with pytest.raises(ValueError):
         service.load_test(store, 1)
+
+
+def test_pair_limit_makes_few_pairs(spark, monkeypatch):
+    made, keep = {}, blocking.reused
+
+    def counted(df, name="reused"):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    df = enrich(spark.range(400).selectExpr("id as rec_idx", "concat('P-', id) as PART_NO", "'oil filter engine' as DESCRIPTION", "'A' as CONTRACT"))
+    every = {(r.idx_a, r.idx_b) for r in blocking.limited_pairs(df)[0].collect()}
+    assert len(every) == 400 * 399 // 2
+    monkeypatch.setattr(blocking, "reused", counted)
+    found, said = blocking.limited_pairs(df, most=500)
+    assert sorted((r.idx_a, r.idx_b) for r in found.collect()) == sorted(every)[:500] and said
+    assert made["placed-pairs"] < len(every) / 4
