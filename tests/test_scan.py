@@ -221,3 +221,17 @@ def test_pair_limit_makes_few_pairs(spark, monkeypatch):
     found, said = blocking.limited_pairs(df, most=500)
     assert sorted((r.idx_a, r.idx_b) for r in found.collect()) == sorted(every)[:500] and said
     assert made["placed-pairs"] < len(every) / 4
+
+
+def test_alike_records_are_paired_as_classes(spark):
+    """120 records of which 60 are alike but for their part numbers, as are 40 others; two of the rest share a part number."""
+    rows = [(k, f"P-{k}" if k < 118 else "P-X", ["oil filter engine", "air filter engine", "copper cable"][0 if k < 60 else 1 if k < 100 else 2], "S1" if k % 2 else "") for k in range(120)]
+    df = enrich(spark.createDataFrame(rows, "rec_idx long, PART_NO string, DESCRIPTION string, CONTRACT string"))
+    found = blocking.alike(df, reads=["DESCRIPTION"])
+    wanted = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and ((a[0] < 100) == (b[0] < 100))}
+    for ordered in (False, True):
+        pairs = (found.ordered() if ordered else found.pairs)
+        assert pairs.count() < 50
+        got = [(r.idx_a, r.idx_b) for r in found.all_pairs(pairs, ordered).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    assert found.sized(found.pairs).agg(F.sum("n_pairs")).first()[0] == len(wanted)
