@@ -62,3 +62,10 @@ def test_the_mixed_lots_reach_every_branch(duck):
     assert set(evidence.recommended_action) | set(wide.recommended_action) == set(vocab.STATUS_ACTIONS.values()) | {"Manual review recommended", "Not likely duplicate"}
     for text in ("but rating differs", "but color differs", "but function/media differs", "but type code differs", "HSN/SAC values differ", "Safety code values differ", "Matching evidence includes", "Matching evidence is limited"):
         assert evidence.explanation.str.contains(text, regex=False).any() or wide.explanation.str.contains(text, regex=False).any(), text
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+def test_part_scores_are_made_for_rows_of_many_names(spark):
+    """No row a pair goes to Python."""
+    plan = registry.part_no_similarity(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan and plan.index("Generate") < plan.index("ArrowEvalPython")

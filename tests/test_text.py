@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,16 @@ def test_context_order(spark):
     df = spark.createDataFrame([("GEN-1", "hvac gen pump")], "p string, d string")
     assert df.select(attributes.application_context("p", "d")).first()[0] == ["generator", "hvac", "pump"]
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_crossed_part_scores_equal_those_of_single_pairs(monkeypatch):
+    """Long, blank, absent and foreign texts, and rows without texts, in chunks of any size."""
+    texts = ["abc123", "ab12c", "", None, "ä1", "a\0b", "a" * 63 + "b", "b" * 63, "c1" * 32, "1"]
+    a = [texts[k : k + k % 4] for k in range(10)] + [[]]
+    b = [texts[9 - k : 9 - k + (k + 1) % 5] for k in range(10)] + [["x"]]
+    want = [[fuzzy.part_score(x, y) for x in p for y in q] for p, q in zip(a, b, strict=True)]
+    for pairs in (1, 7, 10_000):
+        monkeypatch.setattr(fuzzy, "CROSS", pairs)
+        kind = pa.list_(pa.string())
+        assert fuzzy.cross_scores(pa.array(a, kind), pa.array(b, kind)).to_pylist() == want
+    assert fuzzy.cross_scores(pa.array([], kind), pa.array([], kind)).to_pylist() == []
