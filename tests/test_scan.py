@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from twinmark.functions import vocab
 from twinmark.functions.attributes import enrich
-from twinmark.operators import blocking, evaluation, groups, results, validation
+from twinmark.operators import blocking, evaluation, groups, results, similarity, validation
 from twinmark.plans import service
 from twinmark.plans.scan import run_scan, run_stored_scan
 from twinmark.sources import export, ingest
@@ -235,3 +235,15 @@ def test_alike_records_are_paired_as_classes(spark):
         got = [(r.idx_a, r.idx_b) for r in found.all_pairs(pairs, ordered).collect()]
         assert len(got) == len(set(got)) and set(got) == wanted
     assert found.sized(found.pairs).agg(F.sum("n_pairs")).first()[0] == len(wanted)
+
+
+def test_scores_of_classes_equal_those_of_records(spark):
+    """Technical tokens of one record alone set no class apart and still count."""
+    rows = [(1, "pump 11 20mm", "A1 5"), (2, "pump 12 20mm", "A2 5"), (3, "pump 13 x 4 30mm", "A3"), (4, "pump", ""), (5, "pump red 2 l", "A5 5 5"), (6, "pump 16 20mm", "A6 5")]
+    own = enrich(spark.createDataFrame([(i, p, d) for i, d, p in rows], "rec_idx long, PART_NO string, DESCRIPTION string"))
+    pairs = own.select(F.col("rec_idx").alias("idx_a")).crossJoin(own.select(F.col("rec_idx").alias("idx_b"))).where("idx_a < idx_b")
+    shared = similarity.with_shared_technical(own)
+    both = blocking.join_records(pairs, shared).select(similarity.technical_score().alias("x"), similarity.shared_technical_score().alias("y")).collect()
+    assert len(both) == 15 and all(r.x == r.y for r in both) and len({r.x for r in both}) > 3
+    alike = shared.where("rec_idx in (1, 2, 6)").select(F.to_json("shared_technical")).distinct()
+    assert alike.count() == 1
