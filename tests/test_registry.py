@@ -69,3 +69,12 @@ def test_part_scores_are_made_for_rows_of_many_names(spark):
     """No row a pair goes to Python."""
     plan = registry.part_no_similarity(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan and plan.index("Generate") < plan.index("ArrowEvalPython")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+@pytest.mark.parametrize("name", ["export_rows"])
+def test_results_are_made_for_pairs_of_classes(spark, name):
+    """Rows of pairs come from generators over finished rows: nothing but part numbers is joined or scored for a pair."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan or "Generate posexplode" in plan
+    assert "regexp" not in plan
