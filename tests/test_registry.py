@@ -72,7 +72,7 @@ def test_part_scores_are_made_for_rows_of_many_names(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["export_rows", "classic_results"])
+@pytest.mark.parametrize("name", ["export_rows", "classic_results", "evidence_results"])
 def test_results_are_made_for_pairs_of_classes(spark, name):
     """Rows of pairs come from generators over finished rows: nothing but part numbers is joined or scored for a pair."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
