@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from twinmark.functions import vocab
 from twinmark.functions.attributes import enrich
-from twinmark.operators import blocking, evaluation, groups, results, similarity, validation
+from twinmark.operators import blocking, evaluation, groups, results, reuse, similarity, validation
 from twinmark.plans import service
 from twinmark.plans.scan import run_scan, run_stored_scan
 from twinmark.sources import export, ingest
@@ -247,3 +247,22 @@ def test_scores_of_classes_equal_those_of_records(spark):
     assert len(both) == 15 and all(r.x == r.y for r in both) and len({r.x for r in both}) > 3
     alike = shared.where("rec_idx in (1, 2, 6)").select(F.to_json("shared_technical")).distinct()
     assert alike.count() == 1
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_only_records_counted_as_few_are_broadcast(spark, tmp_path, monkeypatch, few):
+    """The files of records that repeat are small, so Spark by itself would broadcast them, however many there are."""
+    monkeypatch.setattr(reuse, "BROADCAST_ROWS", 100 if few else 1)
+    rows = [{"PART_NO": f"A{k}", "DESCRIPTION": "oil filter", "TYPE_CODE": "T"} for k in range(4)]
+    enrich(ingest.with_index(ingest.from_records(spark, rows))).write.parquet(str(tmp_path / "records"))
+    own = spark.read.parquet(str(tmp_path / "records"))
+    pairs = own.agg(F.min("rec_idx").alias("idx_a"), F.max("rec_idx").alias("idx_b"))
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    joined = blocking.join_records(pairs, own)
+    assert planned(joined) == (2 if few else 0) and joined.count() == 1
+    if not few:
+        monkeypatch.setattr(blocking, "BROADCAST_ROWS", 1)
+        met = blocking.matches(*blocking.keyed(own, ["TYPE_CODE"], False))
+        assert planned(met) == 0 and met.count() == 6
+        scored = similarity.string_scores(pairs, own, {"text_description": ""}, parts=False)
+        assert scored.count() == 1
