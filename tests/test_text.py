@@ -114,3 +114,10 @@ def test_crossed_part_scores_equal_those_of_single_pairs(monkeypatch):
         kind = pa.list_(pa.string())
         assert fuzzy.cross_scores(pa.array(a, kind), pa.array(b, kind)).to_pylist() == want
     assert fuzzy.cross_scores(pa.array([], kind), pa.array([], kind)).to_pylist() == []
+
+
+def test_nothing_constant_is_lowered_while_planning(spark):
+    df = spark.createDataFrame([(v,) for v in (" None ", "NAN", "nan x", "none\n", None, "Ab")], "x string")
+    assert [r.y for r in df.select(clean("x").alias("y")).collect()] == ["", "", "nan x", "", "", "Ab"]
+    plan = df.select(F.lower(clean("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE" not in plan  # a branch that is a constant would be lowered in the driver
