@@ -152,3 +152,43 @@ def test_exact_comparison_over_blocks(spark, monkeypatch):
     groups = ready.select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("mult"), "vec")
     got = ed.compare(groups, 0.93, roots=True).groupBy("id").agg(F.sum("found").alias("n")).collect()
     assert {r.id: r.n for r in got} == {i: n for i, (n, _) in brute(rows).items()}
+
+
+def test_rows_without_links_are_known_from_their_lists():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24))
+    x[:40] = x[40:80] + rng.normal(size=(40, 24)) * 0.2
+    x[80:150] = x[150] + rng.normal(size=(70, 24)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = ed.build_graph(x)
+    assert (ed.without_links(x, lists, 0.93) == ((x @ x.T >= 0.93).sum(axis=1) == 1)).all()
+    assert ed.without_links(x[:1], ed.build_graph(x[:1]), 0.93).tolist() == [True]
+
+
+def test_a_search_from_outside_sees_its_entry_points():
+    """The first entry point stands in for the own row that a query from outside lacks; it may be the one in range."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    entries = ed.entry_points(x)
+    q, p = ed.range_search(x, ed.build_graph(x), x[entries], np.full(len(entries), -1), 0.999, entries=entries)
+    assert list(zip(q.tolist(), p.tolist(), strict=True)) == list(enumerate(entries.tolist()))
+
+
+def test_only_what_may_find_links_is_searched(spark, monkeypatch):
+    """Of vectors in three clusters that each hold two thirds, those with links search the clusters that hold them."""
+    monkeypatch.setattr(ed, "CLUSTER", 140)
+    rows = [r for r in make(11) if r[2] == 0]
+    rng = np.random.default_rng(12)
+    rows += [(10_000 + i, rng.normal(size=16).astype(np.float32).tolist(), 0) for i in range(400 - len(rows))]
+    ready = ed.prepare(spark.createDataFrame(rows, SHAPE), "vec_id", "embedding", "label")
+    classes = ready.groupBy("digest", "label").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("mult"), F.first("vec").alias("vec")).cache()
+    centroids = ed.fit_centroids(classes, classes.count())
+    assert [len(c) for c in centroids.values()] == [3]
+    few = ed.held_together(centroids, None)
+    assert few == {("0", 16)} and ed.deal(classes, centroids, 3, few).count() == 2 * classes.count()
+    assert ed.held_together(centroids, spark.createDataFrame([("0", 16)], "label string, dim int")) == frozenset()
+    searched = ed.search(ed.shard(ed.deal(classes, centroids, 3, few)), ed.build(ed.shard(ed.deal(classes, centroids, 3, few))), 0.93, ed.BEAM)
+    assert searched.count() == 2 * classes.count()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.link_vectors(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got == brute(rows)

@@ -3,7 +3,8 @@
 Vectors of a label are dealt to overlapping cluster shards, large clusters by centroids of their own.  Each shard builds one flat layer of a proximity graph
 whose neighbour lists are robust-pruned, and the lists of a vector from all its shards are united.  Every vector
 then searches the shards around it: greedily from the shard's medoids, and from whatever it finds in range the
-search spreads along the graph until nothing new is in range.  Links are decided on exact double-precision
+search spreads along the graph until nothing new is in range.  Where a vector's list, which holds its nearest
+vector, shows that nothing is in range, the search of that shard ends at once.  Links are decided on exact double-precision
 cosines.  What is found to be connected is then compared all with all in blocks, which counts every link once and
 for both of its ends.  A sample of queries is compared with brute force after every search; the search is widened
 while its recall is too low, and if that does not help, vectors are compared all with all.
@@ -40,6 +41,8 @@ NEAR, FAR, CANDIDATES, ALPHA = 20, 6, 48, 1.2
 #: Beam of the greedy search, entry points, how far below the threshold the spreading still goes.
 BEAM, ENTRIES, MARGIN = 32, 16, 0.04
 QUERIES = 128
+#: Pairs of a query and a row that are compared at a time in the search.
+LOOKED = 8192
 #: Vectors that a function gets at a time.
 VECTORS = 4000
 #: Vectors of a block of exact comparison.
@@ -102,8 +105,11 @@ def fit_centroids(classes: DataFrame, total: int) -> dict[tuple[str, int], np.nd
     return found
 
 
-def deal(classes: DataFrame, centroids: dict, visited: int) -> DataFrame:
-    """One row per vector and cluster that it searches: label, dim, cluster, rank (0: its home), id, vec."""
+def deal(classes: DataFrame, centroids: dict, visited: int, few: frozenset = frozenset()) -> DataFrame:
+    """One row per vector and cluster that it searches: label, dim, cluster, rank (0: its home), id, vec.
+
+    Vectors of the labels and dimensions in ``few`` search the clusters that hold them and no others.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +118,7 @@ def deal(classes: DataFrame, centroids: dict, visited: int) -> DataFrame:
             for k, (label, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 x = np.frombuffer(raw, "<f8")
                 centers = shared.value.get((label, len(x)))
-                order = [0] if centers is None else np.argsort(-(centers @ x), kind="stable")[:visited].tolist()
+                order = [0] if centers is None else np.argsort(-(centers @ x), kind="stable")[: HELD if (label, len(x)) in few else visited].tolist()
                 rows += [k] * len(order)
                 clusters += order
                 ranks += range(len(order))
@@ -145,6 +151,17 @@ def fit_second_level(classes: DataFrame, centroids: dict) -> DataFrame | None:
     return store(drawn.select(*key, "n", "vec").groupBy(*key).applyInArrow(run, "label string, dim int, cluster int, n long, centers binary"), "second-centroids")
 
 
+def held_together(centroids: dict, second: DataFrame | None) -> frozenset:
+    """(label, dimension) of which any two vectors are nodes of one cluster, as each is held by more than half of them.
+
+    Clusters with centroids of their own hold their vectors in other ways, so their labels are left out.
+    """
+    few = {key for key, centers in centroids.items() if len(centers) < 2 * HELD}
+    if second is not None and few:  # at most one row a first centroid
+        few -= {(r["label"], r["dim"]) for r in second.select("label", "dim").distinct().collect()}
+    return frozenset(few)
+
+
 def refine(dealt: DataFrame, second: DataFrame | None, visited: int) -> DataFrame:
     """Deals the rows of large clusters on to the nearest of their own centroids; the ranks of both levels add up.
 
@@ -257,6 +274,22 @@ def entry_points(x: np.ndarray) -> np.ndarray:
     return np.unique(chosen)
 
 
+def without_links(x: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows have nothing in range but themselves.
+
+    The lists must hold the nearest other row of every row, as those of ``build_graph`` do: pruning takes it first.  So
+    where no listed neighbour is in range, no row is, and there is nothing to search for.
+    """
+    nearest = np.full(len(x), -9.0)
+    for start in range(0, len(x), QUERIES):
+        own = lists[start : start + QUERIES]
+        row, column = np.nonzero(own >= 0)
+        values = np.full(own.shape, -9.0)
+        values[row, column] = np.einsum("md,md->m", x[own[row, column]], x[start + row])
+        nearest[start : start + QUERIES] = values.max(axis=1)
+    return nearest < threshold - 1e-9  # the graph is built by matrix products, which may differ in the last digits
+
+
 def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, beam: int = BEAM, entries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of all that is found with cosine >= threshold.
 
@@ -265,63 +298,62 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.
     """
     b, n = len(queries), len(x)
     entries = entry_points(x) if entries is None else entries
-    seen, rows = np.zeros((b, n), bool), np.arange(b)
+    seen, kept = np.zeros(b * n, bool), []
+
+    def look(flat: np.ndarray) -> np.ndarray:
+        """Cosines of the places query * n + row, which are marked as seen; only these are gathered, some at a time."""
+        seen[flat] = True
+        values = np.empty(len(flat))
+        for s in range(0, len(flat), LOOKED):
+            q, p = np.divmod(flat[s : s + LOOKED], n)
+            values[s : s + LOOKED] = np.einsum("md,md->m", x[p], queries[q])
+        return values
+
     start = np.hstack([np.broadcast_to(entries, (b, len(entries))), np.where(own >= 0, own, entries[0])[:, None]])
-    values = np.einsum("bmd,bd->bm", x[start], queries)
-    values[np.arange(b)[own < 0], -1] = -9.0
-    values[:, :-1][start[:, :-1] == start[:, -1:]] = -9.0
-    np.put_along_axis(seen, start, True, axis=1)
-    places, done = start.copy(), values <= -9.0
-    kept = [(places, values)]
+    fresh = np.ones(start.shape, bool)
+    fresh[own < 0, -1] = False  # these have no row of their own, and their first entry point counts once
+    fresh[:, :-1] &= (start[:, :-1] != start[:, -1:]) | (own < 0)[:, None]
+    values, flat = np.full(start.shape, -9.0), np.arange(b)[:, None] * n + start
+    values[fresh] = look(flat[fresh])
+    kept.append((flat[fresh], values[fresh]))
+    # the beams of the queries that still have a place to expand; the others are left out of every further round
+    rows, places, done = np.arange(b), start, ~fresh
     for _ in range(8 * beam):
-        order = np.argsort(-values, axis=1, kind="stable")[:, :beam]
-        places, values, done = (np.take_along_axis(part, order, axis=1) for part in (places, values, done))
+        if places.shape[1] > beam:
+            order = np.argpartition(-values, beam - 1, axis=1)[:, :beam]
+            places, values, done = (np.take_along_axis(part, order, axis=1) for part in (places, values, done))
         waiting = np.where(done, -9.0, values)
         best = waiting.argmax(axis=1)
-        active = waiting[rows, best] > -9.0
-        if not active.any():
+        every = np.arange(len(rows))
+        active = waiting[every, best] > -9.0
+        if not active.all():
+            rows, places, values, done, best = rows[active], places[active], values[active], done[active], best[active]
+            every = np.arange(len(rows))
+        if not len(rows):
             break
-        done[rows, best] = True
-        new = np.where(active[:, None], lists[places[rows, best]], -1)
-        fresh = (new >= 0) & ~seen[rows[:, None], new]
-        seen[np.nonzero(fresh)[0], new[fresh]] = True
-        found = np.where(fresh, np.einsum("bmd,bd->bm", x[new], queries), -9.0)
-        kept.append((new, found))
+        done[every, best] = True
+        new = lists[places[every, best]]
+        flat = rows[:, None] * n + new
+        fresh = new >= 0
+        fresh &= ~seen[np.where(fresh, flat, 0)]
+        found = np.full(new.shape, -9.0)
+        found[fresh] = look(flat[fresh])
+        kept.append((flat[fresh], found[fresh]))
         places, values, done = np.hstack([places, new]), np.hstack([values, found]), np.hstack([done, ~fresh])
-    hit_q: list[np.ndarray] = []
-    hit_x: list[np.ndarray] = []
-
-    def take(q: np.ndarray, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sure = v >= threshold
-        hit_q.append(q[sure])
-        hit_x.append(p[sure])
-        near = v >= threshold - MARGIN
-        return q[near], p[near]
-
-    flat_q = np.concatenate([np.repeat(rows, part.shape[1]) for part, _ in kept])
-    flat_p, flat_v = (np.concatenate([part[k].ravel() for part in kept]) for k in (0, 1))
-    q, p = take(flat_q, flat_p, flat_v)
-    first = np.unique(q * n + p)
-    q, p = first // n, first % n
-    hit_q, hit_x = ([np.concatenate(hit_q)], [np.concatenate(hit_x)])
-    while len(q):
-        next_q, next_p = [], []
-        for part in range(0, len(q), 4096):
-            around = lists[p[part : part + 4096]]
-            whose = np.repeat(q[part : part + 4096], around.shape[1])
-            around = around.ravel()
-            fresh = around >= 0
-            fresh[fresh] = ~seen[whose[fresh], around[fresh]]
-            pairs = np.unique(whose[fresh] * n + around[fresh])
-            own_q, own_p = pairs // n, pairs % n
-            seen[own_q, own_p] = True
-            cos = np.concatenate([np.einsum("md,md->m", x[own_p[s : s + 50_000]], queries[own_q[s : s + 50_000]]) for s in range(0, max(len(pairs), 1), 50_000)])
-            on = take(own_q, own_p, cos)
-            next_q.append(on[0])
-            next_p.append(on[1])
-        q, p = np.concatenate(next_q), np.concatenate(next_p)
-    pairs = np.unique(np.concatenate(hit_q) * n + np.concatenate(hit_x))
-    return pairs // n, pairs % n
+    flat, values = (np.concatenate(part) for part in zip(*kept, strict=True))
+    hits, front = [flat[values >= threshold]], np.unique(flat[values >= threshold - MARGIN])
+    while len(front):
+        further = []
+        for part in range(0, len(front), 4096):
+            q, p = np.divmod(front[part : part + 4096], n)
+            around = lists[p]
+            flat = (q[:, None] * n + around)[around >= 0]
+            flat = np.unique(flat[~seen[flat]])
+            values = look(flat)
+            hits.append(flat[values >= threshold])
+            further.append(flat[values >= threshold - MARGIN])
+        front = np.concatenate(further)
+    return np.divmod(np.unique(np.concatenate(hits)), n)
 
 
 class Forest:
@@ -385,7 +417,9 @@ def search(shards: DataFrame, graph: DataFrame, threshold: float, beam: int) ->
             lists[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = place
             entries, own_row = entry_points(x), np.full(len(ids), -1, np.int64)
             own_row[at] = np.arange(len(at))
-            asked = np.flatnonzero(asks)
+            alone = np.zeros(len(ids), bool)
+            alone[at] = without_links(x, lists, threshold)
+            asked = np.flatnonzero(asks & ~alone)
             for start in range(0, len(asked), QUERIES):
                 part = asked[start : start + QUERIES]
                 q, p = range_search(x, lists, every[part], own_row[part], threshold, beam, entries)
@@ -539,9 +573,10 @@ def link_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, id_col: str =
         return found, store(count_links(classes, found, threshold), "counts")
 
     second = fit_second_level(classes, centroids)
+    few = held_together(centroids, second)
     visited, beam = VISITED, BEAM
     for turn in range(WIDENINGS + 1):
-        shards = store(shard(refine(deal(classes, centroids, visited), second, visited)), "shards")
+        shards = store(shard(refine(deal(classes, centroids, visited, few), second, visited)), "shards")
         graph = store(build(shards), "graph")
         searched = store(search(shards, graph, threshold, beam), "searched")
         found, counts = connect(searched.select("id", "root"))
