@@ -2,9 +2,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinmark.llm import near_dedup, packing, quality_rules, registry
+from twinmark.llm import importance, near_dedup, packing, quality_rules, registry
 from twinmark.llm.common import table
 
 from .test_near_dedup import brute
@@ -52,3 +53,15 @@ def test_run_applies_all_stages(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns)
     assert found.select("doc_id").distinct().count() < table(spark, SF, "documents").count()
     assert near_dedup.WORDS == 5 and near_dedup.PERCENT == 80 and packing.CAPACITY == 1024
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(20,0)", "string"])
+def test_selection_takes_ids_of_other_types(spark, kind):
+    """Keys that were shifted outside may come as decimals or doubles; the same documents are drawn, with their ids as they came."""
+    docs, labels = (table(spark, SF, name) for name in ("documents", "labels"))
+    docs = docs.where("doc_id < 60").unionByName(docs.where("doc_id < 60").selectExpr("doc_id + 1000 as doc_id", "reverse(text) as text", "lang", "source", "n_chars"))
+    other = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = importance.keep_documents(other, other, labels)
+    assert found.schema == other.schema
+    want = sorted((r.doc_id, r.text) for r in importance.keep_documents(docs, docs, labels).collect())
+    assert 0 < len(want) < docs.count() and sorted((int(r.doc_id), r.text) for r in found.collect()) == want

@@ -194,22 +194,25 @@ def keep_documents(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> Dat
     """The rows of ``docs`` that are drawn, with all columns; the models come from the whole ``corpus``.
 
     As in ``select``: null and empty texts have the weight 1, repeated rows stand or fall together, rows without an id
-    are drawn like others, columns other than doc_id and text travel along whatever their names, empty ``docs`` give
-    no rows, and without good labels every row stays.
+    are drawn like others, ids of other types than long count as the same numbers and come back as they were, columns
+    other than doc_id and text travel along whatever their names, empty ``docs`` give no rows, and without good labels
+    every row stays.
     """
     model = fit(corpus, labels)
     weighed = store(weigh(docs, model), "weights")
     edge = least_key(weighed, model) if not weighed.isEmpty() else float("inf")
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    text_at, last = docs.columns.index("text"), len(docs.columns)
+    # the id as a long, as ``weigh`` takes it; ids may be of any type that casts, and its name is longer than any other
+    numbered = docs.withColumn("_" * (1 + max(map(len, docs.columns))), F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, 0.0)
         for batch in batches:
             ok = []
-            for doc_id, text in zip(batch.column(id_at).to_pylist(), batch.column(text_at), strict=True):
+            for doc_id, text in zip(batch.column(last).to_pylist(), batch.column(text_at), strict=True):
                 raw = (text.as_py() or "").encode()
                 ok.append(own.weigh(raw)[1] + noise(doc_id, raw) >= edge)
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            yield batch.select(list(range(last))).filter(pa.array(ok, pa.bool_()))
 
-    return map_slices(docs, run, docs.schema)
+    return map_slices(numbered, run, docs.schema)
