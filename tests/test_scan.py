@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from twinmark.functions import vocab
 from twinmark.functions.attributes import enrich
-from twinmark.operators import blocking, evaluation, groups, results, reuse, similarity, validation
+from twinmark.operators import blocking, classic, evaluation, groups, results, reuse, similarity, validation
 from twinmark.plans import service
+from twinmark.plans.part_master import MIXED, part_master
 from twinmark.plans.scan import run_scan, run_stored_scan
 from twinmark.sources import export, ingest
 from twinmark.sources.store import Store
@@ -266,3 +267,19 @@ def test_only_records_counted_as_few_are_broadcast(spark, tmp_path, monkeypatch,
         assert planned(met) == 0 and met.count() == 6
         scored = similarity.string_scores(pairs, own, {"text_description": ""}, parts=False)
         assert scored.count() == 1
+
+
+def test_guards_are_scored_on_short_values(spark):
+    """Status and score without texts equal those of the whole guard, in both modes; only short texts pass through the joins."""
+    own = enrich(part_master(spark, "/root/testdata/sf0.001", MIXED)).where("rec_idx < 72").withColumn("PART_NO", F.concat(F.lit("p"), F.col("rec_idx").cast("string"))).cache()
+    pairs = own.selectExpr("rec_idx as idx_a", "TYPE_CODE").join(own.selectExpr("rec_idx as idx_b", "TYPE_CODE"), "TYPE_CODE").where("idx_a < idx_b").drop("TYPE_CODE")
+    values = own.select("rec_idx", *classic.guard_values(own))
+    assert {kind for name, kind in values.dtypes if name != "rec_idx"} == {"string"}
+    seen = set()
+    for mode in vocab.SCAN_MODES:
+        whole = blocking.join_records(pairs, own).withColumn("variant_mismatches", classic.variant_mismatches())
+        want = {(r.idx_a, r.idx_b, r.status, r.score) for r in whole.select("idx_a", "idx_b", classic.hard_guard(whole, mode).alias("g")).select("idx_a", "idx_b", "g.status", "g.score").collect()}
+        short = blocking.join_records(pairs, values)
+        assert {(r.idx_a, r.idx_b, r.status, r.score) for r in short.select("idx_a", "idx_b", classic.guard_score(short, mode).alias("g")).select("idx_a", "idx_b", "g.status", "g.score").collect()} == want
+        seen |= {s for *_, s, _ in want}
+    assert {vocab.CONFLICT, vocab.RELATED, vocab.UNIQUE, vocab.CROSS_SITE, None} <= seen
