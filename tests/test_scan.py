@@ -283,3 +283,23 @@ def test_guards_are_scored_on_short_values(spark):
         assert {(r.idx_a, r.idx_b, r.status, r.score) for r in short.select("idx_a", "idx_b", classic.guard_score(short, mode).alias("g")).select("idx_a", "idx_b", "g.status", "g.score").collect()} == want
         seen |= {s for *_, s, _ in want}
     assert {vocab.CONFLICT, vocab.RELATED, vocab.UNIQUE, vocab.CROSS_SITE, None} <= seen
+
+
+def test_groups_of_classes_equal_those_of_pairs(spark):
+    """Classes of many alike records, one record twice in two classes, a class paired with itself alone: no pair is opened."""
+    texts = ["oil filter engine", "oil filter engine red", "copper cable", "steel pipe 10mm"]
+    rows = [(k, f"P-{k}" if k != 41 else "P-40", texts[k // 20], "S1" if k % 2 else "S2") for k in range(78)]
+    rows[41] = (41, "P-40", texts[2], "S2")
+    own = enrich(spark.createDataFrame(rows, "rec_idx long, PART_NO string, DESCRIPTION string, CONTRACT string")).cache()
+    found = blocking.alike(own, ["CONTRACT"], reads=["attrs"])
+    df = found.valued(own, ["attrs"]).select("cls_a", "cls_b", "n_pairs", similarity.structured_score().alias("similarity_score")).where("similarity_score >= 40").cache()
+    pairs = found.all_pairs(df.drop("n_pairs"))
+    assert pairs.count() == df.agg(F.sum("n_pairs")).first()[0] > 10 * df.count()
+    for s in "ab":
+        pairs = pairs.join(own.select(F.col("rec_idx").alias(f"idx_{s}"), *[F.col(f).alias(f"{f.lower()}_{s}") for f in ("CONTRACT", "PART_NO", "DESCRIPTION")]), f"idx_{s}")
+    none = F.array().cast("array<string>")
+    shape = pairs.select("*", F.lit("HIGH").alias("confidence_level"), none.alias("matched_evidence"), none.alias("mismatched_fields"), F.array().cast("array<struct<type:string,feature:string>>").alias("differences"), F.lit("").alias("explanation")).cache()
+    want = sorted(map(tuple, groups.duplicate_groups(shape, 40.0).collect()), key=repr)
+    assert sorted(map(tuple, groups.class_groups(df, found, own).collect()), key=repr) == want and len(want) > 1
+    members = groups.class_members(df, found, own)[0].select("node", "component").distinct()
+    assert sorted(members.collect()) == sorted(groups.members(shape, 40.0).collect())
