@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from twinmark.functions import vocab
 from twinmark.functions.attributes import enrich
-from twinmark.operators import blocking, classic, evaluation, groups, results, reuse, similarity, validation
+from twinmark.operators import blocking, classic, evaluation, evidence, groups, results, reuse, similarity, validation
 from twinmark.plans import service
 from twinmark.plans.part_master import MIXED, part_master
 from twinmark.plans.scan import run_scan, run_stored_scan
@@ -303,3 +303,16 @@ def test_groups_of_classes_equal_those_of_pairs(spark):
     assert sorted(map(tuple, groups.class_groups(df, found, own).collect()), key=repr) == want and len(want) > 1
     members = groups.class_members(df, found, own)[0].select("node", "component").distinct()
     assert sorted(members.collect()) == sorted(groups.members(shape, 40.0).collect())
+
+
+def test_statuses_of_classes_equal_those_of_pairs(spark):
+    """Some pairs of classes are open until part numbers are scored; the others are counted, never opened."""
+    texts = ["oil filter engine", "oil filter engine kit", "bolt", "paint red 20 l", "paint blue 20 l"]
+    rows = [(k, f"AB{k}-{k % 3}-HOUSING" if k % 4 else f"Q{k}", texts[k // 6], "S1", "7" if k % 6 == 0 else "8" if k % 6 == 1 else None) for k in range(30)]
+    own = enrich(spark.createDataFrame(rows, "rec_idx long, PART_NO string, DESCRIPTION string, CONTRACT string, HSN_SAC_CODE string"))
+    own = similarity.with_shared_technical(own).cache()
+    found = blocking.alike(own, ["CONTRACT"], reads=["CONTRACT", "HSN_SAC_CODE", "attrs", "is_generic", "shared_technical", *similarity.evidence_texts(own)])
+    got = evidence.class_statuses(found, own).cache()
+    want = evidence.statuses(found.all_pairs(found.pairs), own, ["CONTRACT"]).groupBy("business_status").count()
+    assert sorted(map(tuple, got.groupBy("business_status").agg(F.sum("n_pairs")).collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() < found.all_pairs(found.pairs).count() and want.count() > 3
